@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, secrets
+from . import langid, packing, quality, secrets, tokencount, tokenfiles
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_token_count": tokencount.op2_token_count,
+    "op3_quality_rules": quality.op3_quality_rules,
+    "op7_token_files": tokenfiles.op7_token_files,
+    "op8_packing": packing.op8_packing,
     "op10_language_id": langid.op10_language_id,
 }
 ORACLE = dict(secrets.ORACLE)
