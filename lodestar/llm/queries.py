@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import langid, packing, quality, secrets, tokencount, tokenfiles
+from . import embedding, langid, mixing, ngramjoin, packing, quality, secrets, tokencount, tokenfiles
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_token_count": tokencount.op2_token_count,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_mixing": mixing.op4_mixing,
+    "op5_embedding_dedup": embedding.op5_embedding_dedup,
     "op7_token_files": tokenfiles.op7_token_files,
     "op8_packing": packing.op8_packing,
+    "op9_ngram_join": ngramjoin.op9_ngram_join,
     "op10_language_id": langid.op10_language_id,
 }
 ORACLE = dict(secrets.ORACLE)
