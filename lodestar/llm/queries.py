@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding, langid, mixing, ngramjoin, packing, quality, secrets, tokencount, tokenfiles
+from . import embedding, langid, linededup, mixing, ngramjoin, packing, quality, secrets, tokencount, tokenfiles
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_mixing": mixing.op4_mixing,
     "op5_embedding_dedup": embedding.op5_embedding_dedup,
+    "op6_line_dedup": linededup.op6_line_dedup,
     "op7_token_files": tokenfiles.op7_token_files,
     "op8_packing": packing.op8_packing,
     "op9_ngram_join": ngramjoin.op9_ngram_join,
