@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable
+from operator import itemgetter
 
 import numpy as np
 
@@ -20,8 +21,18 @@ _UNITS = {
     "word_bpe_49k.json": re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_L}]+|[0-9]|[^\s{_L}0-9]+"),
 }
 _FOLDED = {"word_bpe_49k.json"}
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable ones stand for themselves."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = (chr(0x100 + i) for i in range(256))
+    return {b: chr(b) if b in own else next(rest) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
 #: Units remembered in one worker, and characters encoded at once.
-REMEMBER, AT_ONCE = 350_000, 2_000_000
+REMEMBER, AT_ONCE = 700_000, 2_000_000
 
 
 class _Memo(dict):
@@ -52,13 +63,14 @@ class Encoder:
             path = os.path.join(directory, file)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.units = _UNITS.get(file)
         self.fold = file in _FOLDED
         self.remember = remember
         self.memo = _Memo()
-        self.offset = np.zeros(1 << 16, np.int64)
-        self.length = np.zeros(1 << 16, np.int64)
+        self.offset = np.zeros(1 << 16, np.int32)
+        self.length = np.zeros(1 << 16, np.int32)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
@@ -66,7 +78,9 @@ class Encoder:
         new = self.memo.pending
         if not new:
             return
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        # A unit needs no cutting, so the library's model takes it as it is, in the letters that stand for bytes.
+        merge, letters = self.model.tokenize, _LETTERS
+        got = [[t.id for t in merge(u.encode().decode("latin-1").translate(letters))] for u in new]
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         first, total = len(self.memo) - len(new), int(lengths.sum())
         while len(self.memo) > len(self.length):
@@ -87,18 +101,22 @@ class Encoder:
         self.used = int(self.offset[n - 1] + self.length[n - 1]) if n else 0
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
-        cut, get = self.units.findall, self.memo.__getitem__
-        numbers, counts = [], []
+        cut = self.units.findall
+        units: list[str] = []
+        counts = []
         for t in texts:
             found = cut(t.lower() if self.fold else t)
             counts.append(len(found))
-            numbers.append(np.fromiter(map(get, found), np.int64, len(found)))
+            units += found
+        got = itemgetter(*units)(self.memo) if len(units) > 1 else tuple(self.memo[u] for u in units)
+        at = np.fromiter(got, np.int32, len(units))
         self._learn()
-        at = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
         lengths = self.length[at]
-        ends = np.cumsum(lengths)
+        ends = np.cumsum(lengths, dtype=np.int32)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.offset[at] - (ends - lengths), lengths) + np.arange(total)]
+        where = np.repeat(self.offset[at] - (ends - lengths), lengths)
+        where += np.arange(total, dtype=np.int32)
+        ids = self.flat[where]
         self._forget()
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
