@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from lodestar.plans import aggregates, geography, graphs, joins, projections, scores, states, windows  # noqa: F401  they register on import
+from lodestar.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
