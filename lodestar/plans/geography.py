@@ -1 +1,91 @@
-"""Queries."""
+"""Geometry queries over coordinates derived from keys."""
+
+from __future__ import annotations
+
+
+from pyspark.sql import functions as F
+
+from lodestar.functions import geo
+from lodestar.operators import tracks
+from lodestar.plans.joins import C, S, customers, hav, suppliers
+from lodestar.registry import query
+
+
+@query("g01_geodesic")
+def geodesic(t):
+    return suppliers(t).select("s_suppkey", F.round(geo.geodesic(F.lit(36.5), F.lit(45.3), F.col("s_lon"), F.col("s_lat")), 6).alias("km"))
+
+
+@query("g02_haversine", f"SELECT s_suppkey, round({hav('36.5::DOUBLE', '45.3::DOUBLE', 's_lon', 's_lat')}, 6) AS km, round({hav('36.5::DOUBLE', '45.3::DOUBLE', 's_lon', 's_lat', '6371.0')}, 6) AS km_mean FROM {S}")
+def haversine(t):
+    return suppliers(t).select("s_suppkey", F.round(geo.haversine(36.5, 45.3, "s_lon", "s_lat"), 6).alias("km"), F.round(geo.haversine(36.5, 45.3, "s_lon", "s_lat", geo.MEAN_RADIUS), 6).alias("km_mean"))
+
+
+@query("g03_bearing", f"SELECT s_suppkey, round((degrees(atan2(sin(radians(s_lon - 36.5)) * cos(radians(s_lat)), cos(radians(45.3)) * sin(radians(s_lat)) - sin(radians(45.3)) * cos(radians(s_lat)) * cos(radians(s_lon - 36.5)))) + 360) % 360, 6) AS deg FROM {S}")
+def bearing(t):
+    return suppliers(t).select("s_suppkey", F.round(geo.bearing(36.5, 45.3, "s_lon", "s_lat"), 6).alias("deg"))
+
+
+@query("g04_destination", f"SELECT s_suppkey, round((degrees(radians(s_lon) + atan2(sin(radians(h)) * sin(a) * cos(radians(s_lat)), cos(a) - sin(radians(s_lat)) * sin(radians(q)))) + 540) % 360 - 180, 6) AS lon, round(q, 6) AS lat FROM (SELECT *, degrees(asin(sin(radians(s_lat)) * cos(a) + cos(radians(s_lat)) * sin(a) * cos(radians(h)))) AS q FROM (SELECT *, (s_suppkey * 37 % 360)::DOUBLE AS h, 250 / 6371.0088::DOUBLE AS a FROM {S}))")
+def destination(t):
+    d = suppliers(t).select("s_suppkey", geo.destination("s_lon", "s_lat", (F.col("s_suppkey") * 37 % 360).cast("double"), 250).alias("d"))
+    return d.select("s_suppkey", F.round("d.lon", 6).alias("lon"), F.round("d.lat", 6).alias("lat"))
+
+
+@query("g06_ellipse", f"SELECT s_suppkey, round(a, 6) AS a, round(CASE WHEN a < c THEN 0 ELSE greatest(0.5, sqrt(greatest(0, a * a - c * c))) END, 6) AS b, round(c, 6) AS c, a < c AS impossible FROM (SELECT s_suppkey, 16.5 * 1.852 * (1 + s_suppkey % 400) / 2 AS a, {hav('36.5::DOUBLE', '45.3::DOUBLE', 's_lon', 's_lat')} / 2 AS c FROM {S})")
+def ellipse(t):
+    x = suppliers(t).select("s_suppkey", geo.ellipse(geo.haversine(36.5, 45.3, "s_lon", "s_lat"), (1 + F.col("s_suppkey") % 400).cast("double"), 16.5).alias("e"))
+    return x.select("s_suppkey", F.round("e.semi_major_km", 6).alias("a"), F.round("e.semi_minor_km", 6).alias("b"), F.round("e.focal_half_km", 6).alias("c"), "e.impossible")
+
+
+@query("g07_point_in_ring", f"SELECT s_suppkey FROM {S} WHERE s_lat > -20 AND s_lat < 60 AND s_lon > -100 AND s_lon < 20 + s_lat")
+def point_in_ring(t):
+    corners = [(-100.0, -20.0), (0.0, -20.0), (80.0, 60.0), (-100.0, 60.0), (-100.0, -20.0)]
+    ring = F.array(*(F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in corners))
+    return suppliers(t).where(geo.in_ring("s_lon", "s_lat", ring)).select("s_suppkey")
+
+
+@query("g08_to_polyline", f"SELECT s_suppkey, round(111.32 * least(d1, d2), 6) AS km FROM (SELECT s_suppkey, sqrt(pow((0 - s_lon) * k, 2) + pow(greatest(-40.0 - s_lat, least(0, 10.0 - s_lat)) + greatest(0, -40.0 - s_lat) - greatest(-40.0 - s_lat, 0), 2) * 0 + pow(CASE WHEN s_lat < -40 THEN -40 - s_lat WHEN s_lat > 10 THEN s_lat - 10 ELSE 0 END, 2)) AS d1, sqrt(pow(k * CASE WHEN s_lon < 0 THEN -s_lon WHEN s_lon > 60 THEN s_lon - 60 ELSE 0 END, 2) + pow(10 - s_lat, 2)) AS d2 FROM (SELECT *, cos(radians(s_lat)) AS k FROM {S}))")
+def to_polyline(t):
+    line = F.array(*(F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in ((0.0, -40.0), (0.0, 10.0), (60.0, 10.0))))
+    return suppliers(t).select("s_suppkey", F.round(geo.to_polyline_km("s_lon", "s_lat", line), 6).alias("km"))
+
+
+@query("g12_hulls")
+def hulls(t):
+    x = suppliers(t).join(t.supplier.select("s_suppkey", "s_nationkey"), "s_suppkey")
+    return tracks.hulls(x, "s_nationkey", "s_lon", "s_lat").select("s_nationkey", "points")
+
+
+@query("g13_great_circle")
+def great_circle(t):
+    x = suppliers(t).where("s_suppkey <= 20").select("s_suppkey", F.posexplode(geo.great_circle(36.5, 45.3, "s_lon", "s_lat", 9)).alias("i", "p"))
+    return x.select("s_suppkey", "i", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
+
+
+@query("g15_longest_chain")
+def longest_chain(t):
+    """Longest feasible chains of one day's events of a user, between the first and the last."""
+    e = t.events.select((F.col("user_id")).alias("gap_id"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).alias("t"), (F.col("value") / 50).alias("lon"), ((F.col("event_id") * 37 % 200) / 100.0).alias("lat"))
+    ends = e.groupBy("gap_id").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    edge = ends.select("gap_id", F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("id"), (F.col("a") - 1).alias("t")), F.struct(F.lit(-2).cast("long").alias("id"), (F.col("b") + 1).alias("t")))).alias("x")).select("gap_id", "x.id", "x.t", F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"))
+    return tracks.longest_chains(e.unionByName(edge), 12.0).select("gap_id", "detections", F.round("length_km", 6).alias("length_km"))
+
+
+@query("c10_nearest_to_view", f"SELECT c_custkey FROM {C} WHERE c_lon BETWEEN -60 AND 60 AND c_lat BETWEEN -40 AND 40 ORDER BY pow(c_lon - 10, 2) + pow(c_lat - 5, 2), c_custkey LIMIT 12")
+def nearest_to_view(t):
+    c = customers(t).where("c_lon BETWEEN -60 AND 60 AND c_lat BETWEEN -40 AND 40")
+    return c.orderBy(F.pow(F.col("c_lon") - 10, 2) + F.pow(F.col("c_lat") - 5, 2), "c_custkey").limit(12).select("c_custkey")
+
+
+@query("c13_planar", f"SELECT s_suppkey, round(111.32 * sqrt(pow((36.5 - s_lon) * cos(radians(s_lat)), 2) + pow(45.3 - s_lat, 2)), 6) AS km FROM {S}")
+def planar(t):
+    return suppliers(t).select("s_suppkey", F.round(geo.planar_km("s_lon", "s_lat", 36.5, 45.3), 6).alias("km"))
+
+
+@query("q02_circles", f"SELECT count(*) AS points, round(max({hav('36.5::DOUBLE', '45.3::DOUBLE', 'lon', 'lat')}), 3) AS far FROM (SELECT degrees(radians(36.5) + atan2(sin(h) * sin(a) * cos(radians(45.3)), cos(a) - sin(radians(45.3)) * sin(q))) AS lon, degrees(q) AS lat FROM (SELECT *, asin(sin(radians(45.3)) * cos(a) + cos(radians(45.3)) * sin(a) * cos(h)) AS q FROM (SELECT radians(i % 64 * {360 / 64}) AS h, 30 / 6371.0088::DOUBLE AS a FROM range(65) r(i))))")
+def circles(t):
+    ring = t.spark.range(1).select(F.explode(geo.circle(36.5, 45.3, 30.0)).alias("p"))
+    return ring.agg(F.count("*").alias("points"), F.round(F.max(geo.haversine(36.5, 45.3, F.col("p.lon"), F.col("p.lat"))), 3).alias("far"))
+
+
