@@ -1,7 +1,7 @@
 """Quality rules from tokeniser fertility.
 
 A public vocabulary with byte fallback measures each whole text: characters per token, share of byte-fallback
-tokens and entropy of the tokens in bits, the latter over the most that the text's length allows. Each script
+tokens and entropy of the tokens, over eight bits or, of a short text, over the most that its length allows. Each script
 has its own band; a text outside its band is rejected. Base rules on words come first.
 
 Defined results: null and empty texts have no words and fail the base rule; a text without letters is of script
@@ -21,6 +21,8 @@ from .common import text_batches
 
 VOCABULARY = "piece_bpe_32k.model"
 SYMBOLS = b"#*$%&|<>"
+#: Entropy that counts as full; a text of fewer tokens can reach only the logarithm of their number.
+FULL_BITS = 8.0
 
 
 @dataclass(frozen=True)
@@ -116,13 +118,13 @@ class Fertility:
         self.byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
 
     def measure(self, text: str) -> tuple[int, float, float, float]:
-        """Tokens, characters per token, byte share and entropy over log2 of the tokens (at most of the vocabulary)."""
+        """Tokens, characters per token, byte share and relative entropy."""
         ids = np.array(self.model.encode(text, num_threads=1), np.int64) if text else np.zeros(0, np.int64)
         if not len(ids):
             return 0, 0.0, 0.0, 0.0
         counts = np.unique(ids, return_counts=True)[1] / len(ids)
         entropy = float(-(counts * np.log2(counts)).sum())
-        most = np.log2(min(len(ids), len(self.byte)))
+        most = min(np.log2(len(ids)), FULL_BITS)
         return len(ids), len(text) / len(ids), float(self.byte[ids].mean()), entropy / most if most > 0 else 1.0
 
 
