@@ -89,7 +89,7 @@ def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
 def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame:
     """(node, component) of every node of edges(a, b); component is the smallest node reachable.
 
-    Rounds of: hook each node to its smallest neighbour, jump pointers twice, contract the edges.
+    Rounds of: hook each node to its smallest neighbour, jump pointers, contract the edges.
     Every round is aggregates with map-side combine and joins of two freshly read tables, so that
     adaptive execution can split the edges of a star's centre; only edge counts reach the driver.
     An empty table of edges gives an empty result; loops and repeated edges are harmless.
@@ -102,20 +102,16 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc") ->
     while not cur.isEmpty():
         both = cur.select("a", "b").unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up"))
-        parent = scratch.save(hook, f"{tag}_p{k}_0")
-        schema_p = parent.schema
-        for j in (1, 2):
-            above = scratch.load(f"{tag}_p{k}_{j - 1}", schema_p).select(F.col("node").alias("up"), F.col("up").alias("top"))
-            parent = scratch.save(parent.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up")), f"{tag}_p{k}_{j}")
-        scratch.drop(f"{tag}_p{k}_0", f"{tag}_p{k}_1")
-        levels.append(f"{tag}_p{k}_2")
-        pa_ = parent.select(F.col("node").alias("a"), F.col("up").alias("ua"))
-        pb_ = parent.select(F.col("node").alias("b"), F.col("up").alias("ub"))
-        half = scratch.save(cur.join(pa_, "a").select("ua", "b"), f"{tag}_h{k}")
-        nxt = half.join(pb_, "b").where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()
+        above = scratch.save(hook, f"{tag}_q{k}")
+        schema_p = above.schema
+        jump = above.join(above.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left")
+        parent = scratch.save(jump.select("node", F.coalesce("top", "up").alias("up")), f"{tag}_p{k}")
+        levels.append(f"{tag}_p{k}")
+        half = cur.join(parent.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a")
+        nxt = half.join(parent.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b").where("ua <> ub")
         k += 1
-        cur = scratch.save(nxt, f"{tag}_e{k}")
-        scratch.drop(f"{tag}_e{k - 1}", f"{tag}_h{k - 1}")
+        cur = scratch.save(nxt.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), f"{tag}_e{k}")
+        scratch.drop(f"{tag}_e{k - 1}", f"{tag}_q{k - 1}")
     if not levels:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
     out = scratch.load(levels[0], schema_p).select("node", F.col("up").alias("component"))
