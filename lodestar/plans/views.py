@@ -78,11 +78,11 @@ def ranked_candidates(t):
     return c.select("c_custkey", z.alias("z"), F.posexplode("o").alias("i", "s")).select("c_custkey", "s.name", F.round(F.exp(-F.col("s.km") / 3000) / F.col("z"), 8).alias("p"), (F.col("i") + 1).alias("rank"))
 
 
-@query("m14_arrival", "SELECT l_orderkey, l_linenumber, round(l_extendedprice / 10 / greatest(1, l_quantity * 8 + l_tax * 100 * cos(radians(l_partkey % 360))), 9) AS hours FROM lineitem")
+@query("m14_arrival", "SELECT l_orderkey, l_linenumber, round(l_extendedprice / 18.52 / greatest(1, l_quantity * 8 + l_tax * 100 * cos(radians(l_partkey % 360))), 6) AS hours FROM lineitem")
 def arrival(t):
     """Hours to go at the speed over ground that the wind leaves."""
     ground = F.greatest(F.lit(1.0), F.col("l_quantity") * 8 + F.col("l_tax") * 100 * F.cos(F.radians(F.col("l_partkey") % 360)))
-    return t.lineitem.select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") / 10 / ground, 9).alias("hours"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") / 18.52 / ground, 6).alias("hours"))
 
 
 @query("m16_owner", "SELECT l_suppkey, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) ELSE 'mixed' END AS owner FROM lineitem WHERE l_orderkey % 100 = 0 GROUP BY 1")
