@@ -86,6 +86,15 @@ def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
 
+#: Rows of a few numbers each that may be sent to every executor, tens of megabytes at most.
+BROADCAST_ROWS = 400_000
+
+
+def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, marked for broadcast if its count allows it; else joins exchange both sides."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame:
     """(node, component) of every node of edges(a, b); component is the smallest node reachable.
 
