@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, text_batches, unsigned_crc
@@ -88,13 +88,26 @@ def _write_block(out, codec: Codec, rank: np.ndarray, docs: list[int], ids: list
     return len(flat)
 
 
+def _bisect(bounds: list[int], x: Column) -> Column:
+    """Number of the ascending bounds below x, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    table = F.array(*map(F.lit, bounds))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda lo, b: F.when(F.try_element_at(table, lo + b) < x, lo + b).otherwise(lo))
+
+
 def write_tokens(docs: DataFrame, out: str, scratch: Scratch, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json", directory: str | None = None, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """Encode the texts into files under out; the manifest: shard, seq, path, n_docs, n_ids, base (ids before)."""
     spark = docs.sparkSession
     text_batches(spark)
-    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    shards = max(1, -(-chars // shard_chars))
     null = -(1 << 63)  # stands for a missing document id
+    doc_id = F.coalesce(F.col(key).cast("long"), F.lit(null)).alias("doc_id")
+    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    shards = int(max(1, -(-chars // shard_chars)))
+    # Bounds come from a scan of the ids alone; a range exchange would sample whole texts.
+    bounds = docs.select(doc_id).agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], max(10_000, 20 * shards))).first()[0] or []
+    bounds = bounds if shards > 1 else []
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -110,7 +123,7 @@ def write_tokens(docs: DataFrame, out: str, scratch: Scratch, key: str = "doc_id
                 names=["shard", "seq", "doc_id", "n", "ids"])
             seq += n
 
-    ordered = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(null)).alias("doc_id"), F.col(text).alias("text")).repartitionByRange(int(shards), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = docs.select(doc_id, F.col(text).alias("text")).repartitionById(shards, _bisect(bounds, F.col("doc_id"))).sortWithinPartitions("doc_id", F.xxhash64("text"))
     draft = scratch.save(ordered.mapInArrow(encode, "shard long, seq long, doc_id long, n long, ids binary"), "draft", "zstd")
     gc.collect()
     spark._jvm.System.gc()  # lets Spark drop the shuffle of whole texts before the files are written
