@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import timeops
+from lodestar.sources.tables import save_card
 
 
 def time_split(df: DataFrame, ts: str, cutoff: Column) -> tuple[DataFrame, DataFrame]:
@@ -64,13 +63,9 @@ class Danger:
 
     def save(self, path: str, card: dict) -> None:
         """Model, calibration and card; `latest` names the card last written."""
-        spark = self.trees.stages[-1]._java_obj and DataFrame  # noqa: F841  the session is found by the writers
         self.trees.write().overwrite().save(f"{path}/trees")
         self.calibration.write().overwrite().save(f"{path}/isotonic")
-        from pyspark.sql import SparkSession
-
-        session = SparkSession.getActiveSession()
-        session.createDataFrame([(json.dumps(card | {"features": self.features}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/latest")
+        save_card(SparkSession.getActiveSession(), f"{path}/latest", card | {"features": self.features})
 
 
 def ablation(model: Danger, df: DataFrame, key: list[str], typical: dict[str, float], top: int = 5, least: float = 0.01) -> DataFrame:
