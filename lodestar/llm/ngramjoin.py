@@ -14,7 +14,8 @@ full: first each index entry's smallest member with the others, then, among what
 all remaining pairs; entries with many members are compared block by block as matrix products.
 
 Defined results: a text without words, or null, has the empty set and links with nothing; fewer words than a
-shingle make one shingle of all; repeated rows are copies of one another; an empty table gives an empty result;
+shingle make one shingle of all; repeated rows are copies of one another; a row
+without a doc_id has no result; an empty table gives an empty result;
 other columns are ignored.
 """
 

@@ -144,8 +144,8 @@ class Encoder:
             lost[won] = False
             at, slot = at[lost], (slot[lost] + 1) & mask
 
-    def _runs(self, texts: list[str]) -> list[np.ndarray] | None:
-        """Ids of simple texts, whose units are runs of one class; None if a unit is too long to go by its hash."""
+    def _runs(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of simple texts, whose units are runs of one class. A text with a unit too long to go by its hash is matched."""
         joined = "".join(texts)
         code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -160,8 +160,10 @@ class Encoder:
         if self.fold:
             own = kind[at] <= 3
             at, ends = at[own], ends[own]
-        if len(at) and int((ends - at).max()) > LONGEST:
-            return None
+        if len(long := at[ends - at > LONGEST]):
+            apart = set((np.searchsorted(starts, long, side="right") - 1).tolist())
+            rest = iter(self._runs([t for i, t in enumerate(texts) if i not in apart]))
+            return [self._matched(t) if i in apart else next(rest) for i, t in enumerate(texts)]
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.noise[code] * self.powers[: len(code)], dtype=np.uint64)])
         h = (sums[ends] - sums[at]) * self.inverses[at]
         h[h == 0] = 1
@@ -205,8 +207,7 @@ class Encoder:
 
         def flush() -> None:
             nonlocal size
-            got = self._runs([t for _, t in simple]) if simple else []
-            for (i, t), ids in zip(simple, got if got is not None else (self._matched(t) for _, t in simple)):
+            for (i, _), ids in zip(simple, self._runs([t for _, t in simple])):
                 out[i] = ids
             simple.clear()
             size = 0

@@ -165,6 +165,16 @@ def test_encoder_equals_the_tokenizer(file):
             assert ids.tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids, repr(t and t[:40])
 
 
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_on_random_texts(file):
+    r, e = random.Random(1), Encoder(file, remember=300)
+    odd = ["—", "...", "€5", "a1b2", "x,y", "(z)", "“q”", "z" * 300, "don't", "\n", " ", "\t"]
+    letters = lambda: "".join(r.choice("abcéÀß") for _ in range(r.randrange(1, 9)))
+    texts = [r.choice([" ", "\n", " "]).join(letters() if r.random() < 0.7 else r.choice([*odd, str(r.randrange(10**6))]) for _ in range(r.randrange(60))) + r.choice(["", " ", "\n"]) for _ in range(300)]
+    for t, ids in zip(texts, e.encode(texts)):
+        assert ids.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t[:40])
+
+
 def plain_base(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
