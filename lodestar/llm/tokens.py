@@ -33,7 +33,7 @@ def _byte_letters() -> dict[int, str]:
 
 _LETTERS = _byte_letters()
 #: Units remembered in one worker, characters encoded at once, and the longest unit that is known by its hash.
-REMEMBER, AT_ONCE, LONGEST = 1_200_000, 1_000_000, 200
+REMEMBER, AT_ONCE, LONGEST = 500_000, 400_000, 200
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _CODES = 0x2100
 
