@@ -2,10 +2,10 @@
 
 A line's sketch holds the smallest hashes of its character shingles, taken where a word begins (or at every
 ideograph), which is a fixed sample of them. Runs of consecutive sketch values are its bands: two lines alike share
-a run however their other values shift. In every band, the smallest line meets the others; lines it is linked with
-go under its name, and the names that still share a band meet again. Each candidate pair is verified by the exact Jaccard
-similarity of all its character shingles, and of every component the line that comes first, by document id and
-place, stays.
+a run however their other values shift. In every band, the smallest line meets the others; then, among what these
+links have not joined, all remaining pairs of the band meet, block by block where a band has many lines. Each candidate
+pair is verified by the exact Jaccard similarity of all its character shingles, and of every component the line that
+comes first, by document id and place, stays.
 
 Defined results: blank lines always stay and are no part of the result; null and empty texts have no lines; a line
 shorter than a shingle is one shingle; lines equal byte by byte are one line, so of equal lines the first stays;
@@ -25,7 +25,8 @@ from .common import BROADCAST_ROWS, Scratch, connected_components, small
 SHINGLE, SIMILAR = 8, 0.8
 #: Sketch values of a line and values in a band.
 SKETCH, RUN = 10, 3
-ROUNDS = 2
+#: Lines of a band that meet in one task.
+BLOCK = 256
 
 
 def _release(spark) -> None:
@@ -75,6 +76,16 @@ def _similar(pairs: DataFrame, texts: DataFrame, size: int, similar: float) -> D
     return common.where(F.col("i") >= F.lit(similar) * (F.col("n") - F.col("i")) - 1e-9).select("a", "b")
 
 
+def _unjoined(rows: DataFrame) -> DataFrame:
+    """Pairs(a, b), a < b, of rows(band, id, members, part) that share a band but no part."""
+    chunks = F.ceil(F.col("members") / F.lit(float(BLOCK))).cast("int")
+    dealt = rows.withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("chunks")).cast("int"))
+    one = dealt.select("band", F.col("mine").alias("i"), F.explode(F.sequence("mine", F.col("chunks") - 1)).alias("j"), F.col("id").alias("x"), F.col("part").alias("px"))
+    two = dealt.select("band", F.explode(F.sequence(F.lit(0), "mine")).alias("i"), F.col("mine").alias("j"), F.col("id").alias("y"), F.col("part").alias("py"))
+    met = one.join(two, ["band", "i", "j"]).where("px <> py and (i < j or x < y)")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", size: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
     """doc_id, line_no, keep_doc, keep_line (the line of its component that stays) and kept, for each line not blank."""
     spark = docs.sparkSession
@@ -85,31 +96,23 @@ def dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "t
     lines = scratch.save(lines, "lines")
     _release(spark)
     rows = lines.select("id", F.explode("bands").alias("band"))
-    heads = rows.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("top")).where("a <> top")
+    heads = rows.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("members")).where("members > 1")
     heads = scratch.save(heads, "bands")
     _release(spark)
-    shared = scratch.save(rows.join(small(heads.select("band", "a")), "band").select("band", "id", "a"), "shared")
-    found = None
-    texts = None
-    for k in range(ROUNDS):
-        if k:
-            part = found.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
-            seen = shared.select("band", "id").join(part.withColumnRenamed("node", "id"), "id", "left").select("band", F.coalesce("component", "id").alias("part"))
-            parts = scratch.save(seen.distinct(), f"seen{k}")
-            low = scratch.save(parts.groupBy("band").agg(F.min("part").alias("a"), F.max("part").alias("top")).where("a <> top").select("band", "a"), f"low{k}")
-            pairs = parts.join(low, "band").where("part <> a").select("a", F.col("part").alias("b")).distinct().join(scratch.load("pairs0", pairs0), ["a", "b"], "left_anti")
-        else:
-            pairs = shared.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-        pairs = scratch.save(pairs, f"pairs{k}")
-        if not k:
-            pairs0 = pairs.schema
-            # The text of every line that shares a band, by the place of its first copy: no line is common there.
-            wanted = scratch.save(shared.select("id").distinct().join(lines.select("id", "first"), "id").select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")), "wanted")
-            texts = exploded(docs, key, text).join(small(wanted), ["doc_id", "line_no"]).select("id", "line").dropDuplicates(["id"])
-            texts = scratch.save(texts, "texts")
-            _release(spark)
-        links = scratch.save(_similar(pairs, texts, size, similar), f"links{k}")
-        found = links if found is None else found.unionByName(links)
+    shared = scratch.save(rows.join(small(heads), "band").select("band", "id", "a", "members"), "shared")
+    stars = scratch.save(shared.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "stars")
+    # The text of every line that shares a band, by the place of its first copy: no line is common there.
+    wanted = scratch.save(shared.select("id").distinct().join(lines.select("id", "first"), "id").select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")), "wanted")
+    texts = exploded(docs, key, text).join(small(wanted), ["doc_id", "line_no"]).select("id", "line").dropDuplicates(["id"])
+    texts = scratch.save(texts, "texts")
+    _release(spark)
+    links = scratch.save(_similar(stars, texts, size, similar), "links")
+    part = scratch.save(connected_components(links, scratch, "stars"), "star_part")
+    named = shared.join(part.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "members", F.coalesce("component", "id").alias("part"))
+    named = scratch.save(named, "named")
+    mixed = scratch.save(named.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band"), "mixed")
+    pairs = scratch.save(_unjoined(scratch.save(named.join(small(mixed), "band"), "open")).join(stars, ["a", "b"], "left_anti"), "pairs")
+    found = links.unionByName(scratch.save(_similar(pairs, texts, size, similar), "more"))
     part = scratch.save(connected_components(found, scratch, "last"), "part")
     member = part.select(F.col("node").alias("id"), "component").join(lines.select("id", "first", "check"), "id")
     firsts = scratch.save(member.groupBy("component").agg(F.min("first").alias("keep")), "firsts")

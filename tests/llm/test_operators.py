@@ -452,6 +452,18 @@ def test_line_dedup(spark, folder):
     assert all(kept == (keep == k) for k, (keep, kept) in got.items())
 
 
+def test_all_lines_of_a_band_meet(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "BLOCK", 8, raising=False)
+    monkeypatch.setattr(linededup, "bands", lambda lines, size: lines.drop("line").withColumn("bands", F.array(F.lit(1).cast("long"))))
+    r = random.Random(3)
+    rows = []
+    for i in range(30):  # pairs unlike the others
+        line = "https://" + "".join(r.choice("abcdefghijklmnop") for _ in range(60))
+        rows += [(2 * i, line + "0"), (2 * i + 1, line + "1")]
+    got = {(r["doc_id"], r["line_no"]): (r["keep_doc"], r["keep_line"]) for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect()}
+    assert got == plain_lines(rows) and len(set(got.values())) == 30
+
+
 def test_rewrite_keeps_blank_lines_and_drops_emptied_documents(spark):
     rows = [(1, "one line of words here\n\nanother line of words", "en", "s", 1), (2, "one line of words here", "en", "s", 1), (3, "fresh text of its own\none line of words here\n", "en", "s", 1), (4, None, "en", "s", 1), (5, "", "en", "s", 1)]
     df = spark.createDataFrame(rows, DOCS)
