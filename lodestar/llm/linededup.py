@@ -1,8 +1,8 @@
 """Fuzzy line dedup by MinHash, DataFrame functions only.
 
-A line's sketch holds the smallest hashes of its character shingles, taken where a word begins (or at every
-ideograph), which is a fixed sample of them. Runs of consecutive sketch values are its bands: two lines alike share
-a run however their other values shift. In every band, the smallest line meets the others; then, among what these
+A line's sketch holds the smallest hashes of all its character shingles. Runs of consecutive sketch values are its
+bands: two lines alike share a run however their other values shift. A line of few shingles has as bands all triples
+of so many of its smallest hashes that lines alike must share one. In every band, the smallest line meets the others; then, among what these
 links have not joined, all remaining pairs of the band meet, block by block where a band has many lines. Each candidate
 pair is verified by the exact Jaccard similarity of all its character shingles, and of every component the line that
 comes first, by document id and place, stays.
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, Scratch, connected_components, small
 
 SHINGLE, SIMILAR = 8, 0.8
-#: Sketch values of a line and values in a band.
-SKETCH, RUN = 10, 3
+#: Sketch values of a line, values in a band, and shingles up to which a line's bands are all triples.
+SKETCH, RUN, FEW = 16, 3, 24
 #: Lines of a band that meet in one task.
 BLOCK = 256
 
@@ -41,25 +41,29 @@ def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
     return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def sample(line: Column, size: int) -> Column:
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?!\s)(?=(.{{1,{size}}}))(?:\p{{IsIdeographic}}|[^\s\p{{IsIdeographic}}]+)"), F.lit(1))
-
-
-def bands(lines: DataFrame, size: int = SHINGLE, sketch: int = SKETCH, run: int = RUN) -> DataFrame:
-    """lines with bands, an array of longs, in place of their text."""
-    rest = [c for c in lines.columns if c != "line"]
-    hashed = lines.select(*rest, F.slice(F.sort_array(F.array_distinct(F.transform(sample(F.col("line"), size), lambda s: F.xxhash64(s)))), 1, sketch).alias("_low"))
-    low = F.col("_low")
-    runs = F.transform(F.sequence(F.lit(1), F.size(low) - run + 1), lambda i: F.xxhash64(*(F.element_at(low, i + j) for j in range(run))))
-    return hashed.select(*rest, F.when(F.size(low) >= run, runs).when(F.size(low) > 0, F.array(F.xxhash64(F.lit("short"), F.array_join(F.transform(low, lambda x: x.cast("string")), ",")))).otherwise(F.array().cast("array<bigint>")).alias("bands"))
-
-
 def shingle_set(line: Column, size: int = SHINGLE) -> Column:
     """Hashes of all shingles of a line, each once."""
     every = F.when(F.length(line) < size, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
     return F.array_distinct(F.transform(every, lambda s: F.xxhash64(s)))
 
 
+def bands(lines: DataFrame, size: int = SHINGLE, sketch: int = SKETCH, similar: float = SIMILAR) -> DataFrame:
+    """lines with bands, an array of longs, in place of their text."""
+    rest = [c for c in lines.columns if c != "line"]
+    every = lines.select(*rest, F.sort_array(shingle_set(F.col("line"), size)).alias("_all"))
+    n = F.size("_all")
+    # Of lines alike each lacks n - ceil(similar n) of its hashes at most, so their RUN smallest common ones are here.
+    lacks = n - F.ceil(F.lit(similar) * n - 1e-9).cast("int")
+    cut = every.select(*rest, F.slice("_all", 1, sketch).alias("_low"), F.when(n <= FEW, F.slice("_all", F.lit(1), lacks + RUN)).alias("_few"), n.alias("_n"))
+    low, few = F.col("_low"), F.col("_few")
+    at = F.element_at
+    runs = F.transform(F.sequence(F.lit(1), F.size(low) - RUN + 1), lambda i: F.xxhash64(*(at(low, i + j) for j in range(RUN))))
+    triples = F.flatten(F.transform(F.sequence(F.lit(1), F.size(few) - 2), lambda i: F.flatten(F.transform(
+        F.sequence(i + 1, F.size(few) - 1), lambda j: F.transform(F.sequence(j + 1, F.size(few)), lambda k: F.xxhash64(at(few, i), at(few, j), at(few, k)))))))
+    whole = F.array(F.xxhash64(F.lit("short"), F.array_join(F.transform(low, lambda x: x.cast("string")), ",")))
+    return cut.select(*rest, F.when(F.col("_n") < RUN, whole).when(F.col("_n") <= FEW, F.array_union(triples, runs)).otherwise(runs).alias("bands"))
+
+
 def _once(df: DataFrame, *columns: Column) -> DataFrame:
     """df with columns that are worked out once: a filter above can't be pushed below them and repeat them."""
     return df.select("a", "b", F.inline(F.array(F.struct(*columns))))
@@ -91,7 +95,7 @@ def dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "t
     spark = docs.sparkSession
     docs = docs.select(F.col(key), F.col(text))
     hashed = exploded(docs, key, text).withColumn("id", F.xxhash64("line")).withColumn("check", F.xxhash64(F.lit(5), "line"))
-    sketched = bands(hashed.select("doc_id", "line_no", "id", "check", "line"), size)
+    sketched = bands(hashed.select("doc_id", "line_no", "id", "check", "line"), size, similar=similar)
     lines = sketched.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("check").alias("check"), F.count("*").alias("times"), F.first("bands").alias("bands"))
     lines = scratch.save(lines, "lines")
     _release(spark)

@@ -454,7 +454,7 @@ def test_line_dedup(spark, folder):
 
 def test_all_lines_of_a_band_meet(spark, monkeypatch):
     monkeypatch.setattr(linededup, "BLOCK", 8, raising=False)
-    monkeypatch.setattr(linededup, "bands", lambda lines, size: lines.drop("line").withColumn("bands", F.array(F.lit(1).cast("long"))))
+    monkeypatch.setattr(linededup, "bands", lambda lines, size, **_: lines.drop("line").withColumn("bands", F.array(F.lit(1).cast("long"))))
     r = random.Random(3)
     rows = []
     for i in range(30):  # pairs unlike the others
@@ -464,6 +464,25 @@ def test_all_lines_of_a_band_meet(spark, monkeypatch):
     assert got == plain_lines(rows) and len(set(got.values())) == 30
 
 
+def test_bands_of_short_unspaced_and_barely_similar_lines(spark):
+    r = random.Random(12)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    pairs = [("Share this page.", "Share this page!"), ("Continue reading.", "Continue reading!")]
+    for n in range(12, 32):  # up to FEW shingles: none may be lost
+        one = letters(n)
+        pairs += [(one, one + letters(max(1, (n - 7) // 4)))] * (n - 7 >= 4)
+    exact = len(pairs)
+    for _ in range(100):  # unspaced, at 0.8
+        one = letters(87)
+        pairs.append((one, one + letters(20)))
+    rows = [(2 * i + k, line) for i, pair in enumerate(pairs) for k, line in enumerate(pair)]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in ([{x[i : i + 8] for i in range(len(x) - 7)} for x in pair] for pair in pairs))
+    found = {r["doc_id"]: set(r["bands"]) for r in linededup.bands(spark.createDataFrame(rows, "doc_id long, line string")).collect()}
+    met = [bool(found[2 * i] & found[2 * i + 1]) for i in range(len(pairs))]
+    assert all(met[:exact])
+    assert sum(met[exact:]) >= 97
+
+
 def test_rewrite_keeps_blank_lines_and_drops_emptied_documents(spark):
     rows = [(1, "one line of words here\n\nanother line of words", "en", "s", 1), (2, "one line of words here", "en", "s", 1), (3, "fresh text of its own\none line of words here\n", "en", "s", 1), (4, None, "en", "s", 1), (5, "", "en", "s", 1)]
     df = spark.createDataFrame(rows, DOCS)
