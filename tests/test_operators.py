@@ -184,3 +184,21 @@ def test_stream_equals_batch(spark, tmp_path):
     q = state.stream_current(stream, "k", "ts", "n").writeStream.format("memory").queryName("now").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("now").collect())) == sorted(map(tuple, state.current(df, "k", "ts", "n").collect()))
+
+
+def test_communities_cover_whole_tables(spark, data):
+    from lodestar import catalogue
+
+    orders, lines = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("orders", "lineitem"))
+    x = orders.join(lines, orders.o_orderkey == lines.l_orderkey)
+    want = {r[0] for r in x.select("o_custkey").distinct().collect()} | {r[0] + 1_000_000_000 for r in x.select("l_partkey").distinct().collect()}
+    got = catalogue.QUERIES["n06_communities"](spark, data)
+    assert {r[got.columns[0]] for r in got.collect()} == want
+
+
+def test_stable_ids_take_every_user(spark, tmp_path):
+    from lodestar import catalogue
+
+    spark.sql("SELECT user_id, TIMESTAMP_NTZ '2024-01-11 05:00:00' AS ts FROM VALUES (61L), (62L), (172L) AS v(user_id)").write.parquet(str(tmp_path / "events.parquet"))
+    got = catalogue.QUERIES["n07_stable_ids"](spark, str(tmp_path)).collect()
+    assert {(r["group"], r["id"]) for r in got} == {(1, 1), (2, 2)}
