@@ -202,3 +202,11 @@ def test_stable_ids_take_every_user(spark, tmp_path):
     spark.sql("SELECT user_id, TIMESTAMP_NTZ '2024-01-11 05:00:00' AS ts FROM VALUES (61L), (62L), (172L) AS v(user_id)").write.parquet(str(tmp_path / "events.parquet"))
     got = catalogue.QUERIES["n07_stable_ids"](spark, str(tmp_path)).collect()
     assert {(r["group"], r["id"]) for r in got} == {(1, 1), (2, 2)}
+
+
+def test_great_circles_of_every_supplier(spark, data, tmp_path):
+    from lodestar import catalogue
+
+    spark.read.parquet(f"{data}/supplier.parquet").withColumn("s_suppkey", F.col("s_suppkey") + 100).write.parquet(str(tmp_path / "supplier.parquet"))
+    got = {r["s_suppkey"] for r in catalogue.QUERIES["g13_great_circle"](spark, str(tmp_path)).collect()}
+    assert got and got == {r["s_suppkey"] for r in spark.read.parquet(str(tmp_path / "supplier.parquet")).collect()}
