@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of characters other than ASCII white space.
 WORD_JAVA = r"[^\x20\x09-\x0D]+"
+#: Spark removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -39,8 +41,13 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def save(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-        """Write df and read it back with the same columns."""
-        df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+        """Write df and read it back with the same columns. Shuffles of the write go as soon as it ends."""
+        conf, before = self.spark.conf, self.spark.conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+        finally:
+            conf.set(CLEANUP, before)
         return self.load(name, df.schema)
 
     def load(self, name: str, schema) -> DataFrame:
@@ -60,6 +67,19 @@ class Scratch:
             pass
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name like _name that df doesn't use; Spark ignores case."""
+    used, out = {c.lower() for c in df.columns}, f"_{name}"
+    while out.lower() in used:
+        out = "_" + out
+    return out
+
+
+def quoted(column: str) -> str:
+    """A column's name for F.col, dots and back quotes included."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what one Arrow batch of whole texts holds in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

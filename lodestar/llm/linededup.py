@@ -1,9 +1,8 @@
 """Fuzzy line dedup by MinHash, DataFrame functions only.
 
-A line's sketch holds the smallest hashes of all its character shingles. Runs of consecutive sketch values are its
-bands: two lines alike share a run however their other values shift. A line of few shingles has as bands all triples
-of so many of its smallest hashes that lines alike must share one. In every band, the smallest line meets the others; then, among what these
-links have not joined, all remaining pairs of the band meet, block by block where a band has many lines. Each candidate
+A line's signature holds the least hash of all its character shingles under each of a square of permutations. Rows,
+columns and diagonals of the square are its bands. In every band, the smallest line meets the others; then, among what
+these links have not joined, all remaining pairs of the band meet, block by block where a band has many lines. Each candidate
 pair is verified by the exact Jaccard similarity of all its character shingles, and of every component the line that
 comes first, by document id and place, stays.
 
@@ -15,26 +14,21 @@ are ignored.
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, connected_components, small
+from .common import Scratch, connected_components, free, quoted
 
 SHINGLE, SIMILAR = 8, 0.8
-#: Sketch values of a line, values in a band, and shingles up to which a line's bands are all triples.
-SKETCH, RUN, FEW = 16, 3, 24
+#: Bands take SIDE minima each from a square of SIDE * SIDE permutations, in CLASSES directions: a pair at 0.8 shares
+#: one of the 12 with a chance of 0.97 or more, short lines and long ones (simulated, and measured in the tests). AGREE of the 16 minima must be equal before texts are fetched.
+SIDE, CLASSES, AGREE = 4, 3, 8
+#: Places of a line worked out side by side.
+STRIDE = 8
 #: Lines of a band that meet in one task.
 BLOCK = 256
 
 
-def _release(spark) -> None:
-    """Lets Spark drop shuffles that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id, line_no (from 0) and line of each line that is not blank."""
     lines = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "line"))
@@ -47,21 +41,36 @@ def shingle_set(line: Column, size: int = SHINGLE) -> Column:
     return F.array_distinct(F.transform(every, lambda s: F.xxhash64(s)))
 
 
-def bands(lines: DataFrame, size: int = SHINGLE, sketch: int = SKETCH, similar: float = SIMILAR) -> DataFrame:
-    """lines with bands, an array of longs, in place of their text."""
-    rest = [c for c in lines.columns if c != "line"]
-    every = lines.select(*rest, F.sort_array(shingle_set(F.col("line"), size)).alias("_all"))
-    n = F.size("_all")
-    # Of lines alike each lacks n - ceil(similar n) of its hashes at most, so their RUN smallest common ones are here.
-    lacks = n - F.ceil(F.lit(similar) * n - 1e-9).cast("int")
-    cut = every.select(*rest, F.slice("_all", 1, sketch).alias("_low"), F.when(n <= FEW, F.slice("_all", F.lit(1), lacks + RUN)).alias("_few"), n.alias("_n"))
-    low, few = F.col("_low"), F.col("_few")
-    at = F.element_at
-    runs = F.transform(F.sequence(F.lit(1), F.size(low) - RUN + 1), lambda i: F.xxhash64(*(at(low, i + j) for j in range(RUN))))
-    triples = F.flatten(F.transform(F.sequence(F.lit(1), F.size(few) - 2), lambda i: F.flatten(F.transform(
-        F.sequence(i + 1, F.size(few) - 1), lambda j: F.transform(F.sequence(j + 1, F.size(few)), lambda k: F.xxhash64(at(few, i), at(few, j), at(few, k)))))))
-    whole = F.array(F.xxhash64(F.lit("short"), F.array_join(F.transform(low, lambda x: x.cast("string")), ",")))
-    return cut.select(*rest, F.when(F.col("_n") < RUN, whole).when(F.col("_n") <= FEW, F.array_union(triples, runs)).otherwise(runs).alias("bands"))
+def minima(lines: DataFrame, keys: list[str], size: int = SHINGLE) -> DataFrame:
+    """keys, n (shingles with repeats, by UTF-16 units) and m0.. (the least 32 bits under each permutation over all shingles).
+
+    A row stands for STRIDE places of a line, whose hashes are worked out side by side in generated code.
+    Places past the end repeat the last one, which changes no minimum.
+    """
+    coded = lines.select(*keys, F.encode("line", "UTF-16BE").alias("_b"))
+    coded = coded.select(*keys, "_b", F.greatest((F.octet_length("_b") / 2).cast("int") - size + 1, F.lit(1)).alias("_n"))
+    places = coded.select(*keys, "_b", "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(STRIDE))).alias("_i"))
+    at = lambda j: F.shiftleft(F.least(F.col("_i") + j, F.col("_n") - 1), 1) + 1
+    hashed = places.select(*keys, "_n", *(F.xxhash64(F.substring("_b", at(j), F.lit(2 * size))).alias(f"_h{j}") for j in range(STRIDE)))
+    # The hash and the hash turned by half: a window of 32 bits of either, further on for each permutation, ranks shingles.
+    turned = hashed.select(*keys, "_n", *(c for j in range(STRIDE) for c in (F.col(f"_h{j}"), F.shiftleft(f"_h{j}", 32).bitwiseOR(F.shiftrightunsigned(f"_h{j}", 32)).alias(f"_t{j}"))))
+    half = SIDE * SIDE // 2
+    window = lambda p, j: F.shiftleft(f"_h{j}" if p < half else f"_t{j}", 32 // half * (p % half))
+    found = turned.groupBy(*keys).agg(F.max("_n").alias("n"), *(F.min(F.least(*(window(p, j) for j in range(STRIDE)))).alias(f"_m{p}") for p in range(SIDE * SIDE)))
+    return found.select(*keys, "n", *(F.shiftright(f"_m{p}", 32).cast("int").alias(f"m{p}") for p in range(SIDE * SIDE)))
+
+
+def grid() -> list[list[int]]:
+    """Permutations of each band: rows, columns and diagonals of a square of them, so two bands share one at most."""
+    s = range(SIDE)
+    slopes = [[(i * SIDE + (j + t * i) % SIDE) for i in s] for t in range(CLASSES - 1) for j in s]
+    return [[i * SIDE + j for j in s] for i in s] + slopes
+
+
+def bands(sketch: DataFrame, *keep: str) -> DataFrame:
+    """keep and band, a row for each band of a line's minima."""
+    made = F.array(*(F.xxhash64(F.lit(i), *(f"m{p}" for p in ps)) for i, ps in enumerate(grid())))
+    return sketch.select(*keep, F.explode(made).alias("band"))
 
 
 def _once(df: DataFrame, *columns: Column) -> DataFrame:
@@ -90,44 +99,60 @@ def _unjoined(rows: DataFrame) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _likely(pairs: DataFrame, sketch: DataFrame, similar: float) -> DataFrame:
+    """Pairs(a, b) whose numbers of shingles and minima don't rule the similarity out.
+
+    Lines alike agree in AGREE minima but for one pair in thousands; only the exact check links.
+    """
+    every = [f"m{p}" for p in range(SIDE * SIDE)]
+    one = sketch.select(F.col("id").alias("a"), F.array(*every).alias("ma"))
+    two = sketch.select(F.col("id").alias("b"), F.array(*every).alias("mb"))
+    joined = pairs.join(one, "a").join(two, "b")
+    same = sum(((F.col("ma")[p] == F.col("mb")[p]).cast("int") for p in range(SIDE * SIDE)), F.lit(0))
+    return joined.where(same >= AGREE).select("a", "b")
+
+
 def dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", size: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
     """doc_id, line_no, keep_doc, keep_line (the line of its component that stays) and kept, for each line not blank."""
-    spark = docs.sparkSession
     docs = docs.select(F.col(key), F.col(text))
-    hashed = exploded(docs, key, text).withColumn("id", F.xxhash64("line")).withColumn("check", F.xxhash64(F.lit(5), "line"))
-    sketched = bands(hashed.select("doc_id", "line_no", "id", "check", "line"), size, similar=similar)
-    lines = sketched.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("check").alias("check"), F.count("*").alias("times"), F.first("bands").alias("bands"))
-    lines = scratch.save(lines, "lines")
-    _release(spark)
-    rows = lines.select("id", F.explode("bands").alias("band"))
-    heads = rows.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("members")).where("members > 1")
-    heads = scratch.save(heads, "bands")
-    _release(spark)
-    shared = scratch.save(rows.join(small(heads), "band").select("band", "id", "a", "members"), "shared")
-    stars = scratch.save(shared.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "stars")
-    # The text of every line that shares a band, by the place of its first copy: no line is common there.
-    wanted = scratch.save(shared.select("id").distinct().join(lines.select("id", "first"), "id").select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")), "wanted")
-    texts = exploded(docs, key, text).join(small(wanted), ["doc_id", "line_no"]).select("id", "line").dropDuplicates(["id"])
-    texts = scratch.save(texts, "texts")
-    _release(spark)
+    hashed = exploded(docs, key, text).withColumn("id", F.xxhash64("line"))
+    sketch = scratch.save(minima(hashed.select("id", "line"), ["id"], size), "sketch")
+    rows = bands(sketch, "id")
+    heads = scratch.save(rows.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("members")).where("members > 1"), "heads")
+    shared = scratch.save(rows.join(heads, "band").select("band", "id", "a", "members"), "shared")
+    scratch.drop("heads")
+    stars = scratch.save(_likely(shared.where("id <> a").select("a", F.col("id").alias("b")).distinct(), sketch, similar), "stars")
+    # Where each line stands first; rows without a document id come last.
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "line_no")
+    counted = hashed.select("id", F.xxhash64(F.lit(5), "line").alias("check"), place.alias("place")).groupBy("id").agg(F.min("place").alias("first"), F.min("check").alias("check"), F.count("*").alias("times"))
+    lines = scratch.save(counted.join(shared.select("id").distinct().withColumn("shares", F.lit(True)), "id", "left").where("times > 1 or shares"), "lines")
+    # The text of every line that shares a band comes from its first copy: no line is common there.
+    wanted = lines.where("shares").select("id", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"))
+    here = (F.col("doc_id").eqNullSafe(F.col("first_doc"))) & (F.col("line_no") == F.col("first_line"))
+    texts = hashed.withColumnRenamed("id", "of").join(wanted, here & (F.col("of") == F.col("id"))).select("id", "line")
+    texts = scratch.save(texts.dropDuplicates(["id"]), "texts")
     links = scratch.save(_similar(stars, texts, size, similar), "links")
     part = scratch.save(connected_components(links, scratch, "stars"), "star_part")
     named = shared.join(part.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "members", F.coalesce("component", "id").alias("part"))
     named = scratch.save(named, "named")
+    scratch.drop("shared")
     mixed = scratch.save(named.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band"), "mixed")
-    pairs = scratch.save(_unjoined(scratch.save(named.join(small(mixed), "band"), "open")).join(stars, ["a", "b"], "left_anti"), "pairs")
+    open_ = scratch.save(named.join(mixed, "band"), "open")
+    scratch.drop("named")
+    pairs = scratch.save(_likely(_unjoined(open_).join(stars, ["a", "b"], "left_anti"), sketch, similar), "pairs")
+    scratch.drop("open", "sketch")
     found = links.unionByName(scratch.save(_similar(pairs, texts, size, similar), "more"))
+    scratch.drop("texts")
     part = scratch.save(connected_components(found, scratch, "last"), "part")
     member = part.select(F.col("node").alias("id"), "component").join(lines.select("id", "first", "check"), "id")
-    firsts = scratch.save(member.groupBy("component").agg(F.min("first").alias("keep")), "firsts")
-    member = scratch.save(member.select("id", "check", "component"), "member")
+    member = scratch.save(member, "member")
+    firsts = member.groupBy("component").agg(F.min("first").alias("keep"))
     fuzzy = member.join(firsts, "component").select("id", "check", "keep")
     alone = lines.where("times > 1").select("id", "check", F.col("first").alias("keep")).join(member, "id", "left_anti")
     keepers = scratch.save(fuzzy.unionByName(alone), "keepers")
-    scratch.drop("shared", "texts", "lines")
     # Both sides are read anew, so adaptive execution may split the copies of one very common line.
     places = exploded(docs, key, text).select("doc_id", "line_no", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(5), "line").alias("check"))
-    judged = places.join(small(keepers).withColumnRenamed("check", "right"), "id", "left")
+    judged = places.join(keepers.withColumnRenamed("check", "right"), "id", "left")
     right = F.col("keep").isNotNull() & (F.col("check") == F.col("right"))  # a line that only shares a hash stays
     return judged.select(
         "doc_id", "line_no",
@@ -138,17 +163,19 @@ def dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "t
 
 
 def rewrite(docs: DataFrame, judged: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the lines that go. A document that had words and loses every line goes with them."""
-    gone = scratch.save(judged.where("not kept").groupBy("doc_id").agg(F.collect_list("line_no").alias("_gone")).withColumnRenamed("doc_id", key), "gone")
-    rows, numbers = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()
-    if rows <= BROADCAST_ROWS and numbers <= 10 * BROADCAST_ROWS:
-        gone = F.broadcast(gone)  # tens of megabytes at most, so whole texts need no exchange
+    """docs without the lines that go. A document that had words and loses every line goes with them.
+
+    Rows without a key and null texts stay as they are; an empty table stays empty; n_chars, if there, follows the text.
+    """
+    gone_, text_ = free(docs, "gone"), free(docs, "text")
+    gone = scratch.save(judged.where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias(gone_)).withColumnRenamed("doc_id", key), "gone")
     joined = docs.join(gone, key, "left")
-    rest = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains("_gone", i))
-    out = joined.withColumn("_text", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n")))
-    out = out.where(F.col("_gone").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    columns = [F.col("_text").alias(c) if c == text else F.when(F.col("_gone").isNull(), F.col(c)).otherwise(F.length("_text")).cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    none = F.col(gone_).isNull()
+    rest = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains(gone_, i))
+    out = joined.withColumn(text_, F.when(none, F.col(text)).otherwise(F.array_join(rest, "\n")))
+    out = out.where(none | F.col(text_).rlike(r"[^\x20\x09-\x0D]"))
+    counted = lambda c: F.when(none, F.col(c)).otherwise(F.length(text_)).cast(dict(docs.dtypes)[c]).alias(c)
+    return out.select(*(F.col(text_).alias(c) if c == text else counted(c) if c == "n_chars" else F.col(quoted(c)) for c in docs.columns))
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
