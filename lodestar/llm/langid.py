@@ -4,8 +4,8 @@ A word seen in training scores by its log frequency in each language. An unseen
 n-grams, longest first: the word is covered from the left by the longest known n-gram at each place, down to
 single characters; a character no language knows adds nothing. Scores of words add up; score is the posterior.
 
-The model is fitted on a bounded sample: up to `per_language` labelled documents of each language, those of
-lowest hash among the rows that are not held out. Every other count and every prediction covers all rows and
+The model is fitted on a bounded sample: of each language's labelled rows that are not held out, those whose hash
+falls in a share of `per_language` over their number, so that many are expected. Every other count and every prediction covers all rows and
 whole texts. Defined results: null text or a text without a letter is `und` with score 0; without training rows
 everything is `und`; repeated rows are predicted alike; ties go to the language first in order.
 """
@@ -21,15 +21,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import quoted, text_batches
 
 UNKNOWN = "und"
-#: Training documents of each language at most, and the longest n-gram.
-PER_LANGUAGE, LONGEST = 500, 4
+#: Training documents expected of each language, the longest n-gram, and words a worker remembers.
+PER_LANGUAGE, LONGEST, REMEMBER = 500, 4, 60_000
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def _hash(key: str) -> np.uint64:
+    from xxhash import xxh64_intdigest
+
+    return np.uint64(xxh64_intdigest(key.encode("utf-8", "surrogatepass")))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for rows whose crc32(doc_id as text) leaves 1 modulo 3."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -48,16 +54,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Table:
-    """Keys to rows of one matrix of log frequencies, a column for each language."""
+    """Keys, as sorted 64-bit hashes, to rows of one matrix of log frequencies, a column for each language."""
 
     def __init__(self, counts: dict[str, list[int]], k: int):
-        self.at = {g: i for i, g in enumerate(counts)}
         m = np.array(list(counts.values()), np.float64).reshape(len(counts), k)
-        self.log = np.log((m + 0.5) / (m.sum(0) + 0.5 * len(m) + 1)).astype(np.float32)
+        keys = np.fromiter(map(_hash, counts), np.uint64, len(counts))
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.log = np.log((m + 0.5) / (m.sum(0) + 0.5 * len(m) + 1)).astype(np.float32)[order]
 
     def get(self, key: str) -> np.ndarray | None:
-        i = self.at.get(key)
-        return None if i is None else self.log[i]
+        h = _hash(key)
+        i = int(self.keys.searchsorted(h))
+        return self.log[i] if i < len(self.keys) and self.keys[i] == h else None
 
 
 class Model:
@@ -97,7 +106,7 @@ class Model:
                 i += 1
         return out
 
-    def predictor(self, remember: int = 300_000):
+    def predictor(self, remember: int = REMEMBER):
         memo: dict[str, int] = {}
         rows = np.zeros((1024, max(1, len(self.langs))), np.float32)
 
@@ -144,19 +153,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     text_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    extra = [c for c in ("lang_pred", "score") if c in docs.columns]
-    docs = docs.drop(*extra)
-    at = docs.columns.index("text")
+    docs = docs.select(*(F.col(quoted(c)) for c in docs.columns if c.lower() not in ("lang_pred", "score")))
+    columns, at = docs.columns, [c.lower() for c in docs.columns].index("text")
+    docs = docs.toDF(*(f"c{i}" for i in range(len(columns))))  # mapInArrow can't take every name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = shared.value.predictor()
         for b in batches:
             found = [predict(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+                [*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*b.schema.names, "lang", "score"])
 
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes) + ", lang_pred string, score double"
-    return docs.mapInArrow(run, schema)
+    schema = ", ".join(f"{c} {kind}" for c, kind in docs.dtypes) + ", lang string, score double"
+    return docs.mapInArrow(run, schema).toDF(*columns, "lang_pred", "score")
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

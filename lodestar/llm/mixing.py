@@ -19,10 +19,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, prefix_sums, words_of
+from .common import Scratch, free, prefix_sums, quoted, words_of
 
 #: Share of the greatest possible entropy, most repetitions, tokens of a block.
 ENTROPY, REPEAT, BLOCK, SEED = 0.97, 2.0, 1_000_000, 17
@@ -93,22 +93,28 @@ def mix(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "tex
     With carry, the input's own columns come along instead of only its key and source.
     """
     made = ("epoch", "n_tokens", "weight", "block", "place")
-    own = [c for c in docs.columns if c not in made] if carry else list(dict.fromkeys((key, "source")))
-    identity: Column = F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce("source", F.lit("")), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    own = [c for c in docs.columns if c.lower() not in made] if carry else list(dict.fromkeys((key, "source")))
+    content = (F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce("source", F.lit("")), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    # Two hashes and the source tell items apart, however many there are.
+    identity = [F.xxhash64(F.lit(seed), *content), F.xxhash64(F.lit(-seed - 1), *content), F.coalesce("source", F.lit(""))]
+    item = ["_id", "_id2", "_source"]
     # Equal rows are one item of their joint size and are shown together.
-    sized = docs.select(F.coalesce("source", F.lit("")).alias("_source"), F.greatest(words_of(F.col(text)), F.lit(1).cast("long")).alias("_n"), identity.alias("_id"))
-    base = scratch.save(sized.groupBy("_id", "_source").agg(F.max("_n").alias("n_tokens"), F.sum("_n").alias("_all")), "sized")
+    sized = docs.select(*(x.alias(c) for x, c in zip(identity, item)), F.greatest(words_of(F.col(text)), F.lit(1).cast("long")).alias("_n"))
+    base = scratch.save(sized.groupBy(*item).agg(F.max("_n").alias("n_tokens"), F.sum("_n").alias("_all")), "sized")
     plan = scratch.save(weights(base.select(F.col("_source").alias("source"), F.col("_all").alias("n_tokens")), scratch, entropy, repeat, budget), "weights")
     epochs = F.ceil(F.col("target") / F.col("tokens") - 1e-9).cast("int")
     # Sources are few beside documents; adaptive execution broadcasts them where they fit the threshold.
     shown = base.join(plan.withColumnRenamed("source", "_source"), "_source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(epochs, F.lit(1)) - 1)))
-    shown = scratch.save(shown.withColumn("_order", F.xxhash64(F.lit(seed), "_id", "epoch")).withColumn("_group", F.concat_ws("\x1f", "_source", F.col("epoch").cast("string"))), "shown")
+    shown = scratch.save(shown.withColumn("_order", F.xxhash64(F.lit(seed), "_id", "_id2", "epoch")).withColumn("_group", F.concat_ws("\x1f", "_source", F.col("epoch").cast("string"))), "shown")
     placed = prefix_sums(shown, "_group", "_order", "_all", "_before", scratch, "mix")
     at = F.col("epoch") * F.col("tokens") + F.col("_before")
     kept = placed.where(at < F.col("target") - 1e-6).withColumn("block", F.floor(at / F.col("weight") / F.lit(float(block))).cast("long"))
-    out = scratch.save(kept.select("_id", "epoch", "n_tokens", "weight", "block", F.xxhash64(F.lit(seed + 1), "_order").alias("place")), "plan")
+    out = scratch.save(kept.select(*item, "epoch", "n_tokens", "weight", "block", F.xxhash64(F.lit(seed + 1), "_order").alias("place")), "plan")
     # Both sides are read anew, so adaptive execution may split what very many equal rows share.
-    return docs.select(*own, identity.alias("_id")).join(out, "_id").select(*own, *made)
+    names = [free(docs, c[1:]) for c in item]
+    shows = out.select(*(F.col(c).alias(n) for c, n in zip(item, names)), *made)
+    rows = docs.select(*(F.col(quoted(c)) for c in own), *(x.alias(n) for x, n in zip(identity, names)))
+    return rows.join(shows, names).select(*(F.col(quoted(c)) for c in own), *made)
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

@@ -2,25 +2,28 @@
 
 A document is the set of its distinct word shingles. Tokens (shingles) are in one global order, rarest first, and
 fall into two classes by document frequency. Two sets that reach the threshold lack few of each other's tokens,
-so a short prefix of each must share something: one rare token, or two frequent ones. Rare prefix tokens are
-indexed alone; the prefix is extended by one where frequent tokens stand in it, and those are indexed as pairs,
-which far fewer documents share. Long documents, whose pairs would be many, index frequent tokens alone; both
-forms are used around the border, so no link is lost.
+so a short prefix of each must share something: one rare token, or frequent ones. Rare prefix tokens are indexed
+alone. Where frequent tokens stand in the prefix, it is extended by m more, so that two linked sets share m + 1
+of them; the tokens are dealt to m groups by hash, two shared ones fall in one group, and the pairs within each
+group are indexed, which far fewer documents share than single tokens. m is 1 for short documents and grows with
+the length, which keeps the pairs of a set in proportion to its prefix.
 
 Frequencies come from one exchange of packed token arrays: a bucket of the token space counts its tokens and
-returns only those that another document has too. A document with more tokens of its own than the threshold
-lets differ has no partner and leaves here. Equal sets are one class from then on. Candidates are verified in
-full: first each index entry's smallest member with the others, then, among what these links have not joined,
-all remaining pairs; entries with many members are compared block by block as matrix products.
+returns only those that another document has too. A token found twice or more in one batch of documents is sent
+as a count, so a bucket gets a very common token once a batch and not once a document. A document with more
+tokens of its own than the threshold lets differ has no partner and leaves here. Equal sets are one class from
+then on. Candidates are verified in full: first each index entry's smallest member with the others, then, among
+what these links have not joined, all remaining pairs; entries with many members are compared block by block as
+matrix products.
 
 Defined results: a text without words, or null, has the empty set and links with nothing; fewer words than a
-shingle make one shingle of all; repeated rows are copies of one another; a row
-without a doc_id has no result; an empty table gives an empty result;
-other columns are ignored.
+shingle make one shingle of all; repeated rows are copies of one another; a row without a doc_id links with
+nothing and has no component_id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +35,13 @@ from pyspark.sql import functions as F
 from .common import Scratch, connected_components, partitions, text_batches
 
 WORDS, PERCENT = 3, 90
-#: Tokens in more documents than this are frequent; longest document that indexes pairs; members compared as pairs.
-FREQUENT, PAIRED, PAIRS = 64, 300, 128
+#: Tokens in more documents than this are frequent; members of an entry compared as pairs.
+FREQUENT, PAIRS = 64, 128
+#: Prefix tokens up to which all pairs are indexed, and words a worker remembers.
+WHOLE, REMEMBER = 32, 100_000
 BUCKET_CHARS, BLOCK = 8 << 20, 256
+#: Stands for a missing document id while arrays of ids travel.
+NULL = -(1 << 63)
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 
 
@@ -54,7 +61,7 @@ class _Hashes(dict):
         from xxhash import xxh64_intdigest
 
         h = xxh64_intdigest(word, 11)
-        if len(self) < 400_000:
+        if len(self) < REMEMBER:
             self[word] = h
         return h
 
@@ -103,48 +110,62 @@ def profile(docs: DataFrame, scratch: Scratch, key: str, text: str, k: int, perc
             sets = [shingles(t, hashes, k) for t in b.column(1).to_pylist()]
             n = np.array([len(s) for s in sets], np.int64)
             prints = np.array([_prints(s) if len(s) else (0, 0) for s in sets], np.int64).reshape(-1, 2)
-            head = np.concatenate([b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), n, prints[:, 0], prints[:, 1]]).tobytes()
             tokens = np.concatenate(sets)
             doc = np.repeat(np.arange(len(sets), dtype=np.uint16 if len(sets) < 1 << 16 else np.uint32), n)
+            order = np.argsort(tokens, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(tokens[order]) != 0])) if len(tokens) else np.zeros(0, np.int64)
+            times = np.diff(np.append(first, len(tokens)))
+            again = np.zeros(len(tokens), bool)
+            again[order] = np.repeat(times > 1, times)
+            # Which documents hold a token of several travels with the head; buckets get the token and its count.
+            head = pickle.dumps((b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), n, prints, doc[again], tokens[again]))
+            some = times > 1
+            common, counts = tokens[order][first[some]], np.minimum(times[some], 65535).astype(np.uint16)
+            tokens, doc = np.concatenate([tokens[~again], common]), np.concatenate([doc[~again], np.zeros(len(common), doc.dtype)])
+            counts = np.concatenate([np.ones(len(tokens) - len(common), np.uint16), counts])
             bucket = (((tokens >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            tokens, doc, bucket = tokens[order], doc[order], bucket[order]
+            tokens, doc, counts, bucket = tokens[order], doc[order], counts[order], bucket[order]
             edge = np.searchsorted(bucket, np.arange(buckets + 1))
             at = [i for i in range(buckets) if edge[i + 1] > edge[i] or i == chunk % buckets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(at, pa.int32()), pa.array([chunk] * len(at), pa.int64()), pa.array([head if i == chunk % buckets else None for i in at], pa.binary()),
                  pa.array([doc[edge[i] : edge[i + 1]].astype(np.uint32).tobytes() if len(sets) >= 1 << 16 else doc[edge[i] : edge[i + 1]].tobytes() for i in at], pa.binary()),
-                 pa.array([tokens[edge[i] : edge[i + 1]].tobytes() for i in at], pa.binary())],
-                names=["bucket", "chunk", "head", "doc", "tokens"])
+                 pa.array([tokens[edge[i] : edge[i + 1]].tobytes() for i in at], pa.binary()), pa.array([counts[edge[i] : edge[i + 1]].tobytes() for i in at], pa.binary())],
+                names=["bucket", "chunk", "head", "doc", "tokens", "times"])
             chunk += 1
 
     def count(g: pd.DataFrame) -> pd.DataFrame:
         every = [np.frombuffer(x, np.uint64) for x in g["tokens"]]
-        tokens = np.concatenate(every)
+        tokens, times = np.concatenate(every), np.concatenate([np.frombuffer(x, np.uint16) for x in g["times"]])
         order = np.argsort(tokens, kind="stable")
         sorted_ = tokens[order]
         first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(tokens) else np.zeros(0, np.int64)
         df = np.zeros(len(tokens), np.uint16)
-        df[order] = np.repeat(np.minimum(np.diff(np.append(first, len(tokens))), 65535), np.diff(np.append(first, len(tokens))))
+        if len(tokens):
+            df[order] = np.repeat(np.minimum(np.add.reduceat(times[order].astype(np.int64), first), 65535), np.diff(np.append(first, len(tokens))))
         out, a = [], 0
         for chunk, head, doc, t in zip(g["chunk"], g["head"], g["doc"], every):
-            d = df[a : a + len(t)]
+            d, k = df[a : a + len(t)], times[a : a + len(t)]
             a += len(t)
             width = np.uint16 if len(doc) == 2 * len(t) else np.uint32
-            where, shared = np.frombuffer(doc, width), d > 1
+            where, one, shared = np.frombuffer(doc, width), k == 1, d > 1
             own = np.bincount(where[~shared]).astype(np.uint32)
-            out.append((chunk, head, own.tobytes(), where[shared].astype(np.uint32).tobytes(), t[shared].tobytes(), d[shared].tobytes()))
-        return pd.DataFrame(out, columns=["chunk", "head", "own", "doc", "tokens", "df"])
+            mine, many = shared & one, ~one
+            out.append((chunk, head, own.tobytes(), where[mine].astype(np.uint32).tobytes(), t[mine].tobytes(), d[mine].tobytes(), t[many].tobytes(), d[many].tobytes()))
+        return pd.DataFrame(out, columns=["chunk", "head", "own", "doc", "tokens", "df", "common", "common_df"])
 
     def gather(g: pd.DataFrame) -> pd.DataFrame:
-        head = np.frombuffer(next(h for h in g["head"] if h is not None), np.int64)
-        m = len(head) // 4
-        ids, n, f1, f2 = head[:m], head[m : 2 * m], head[2 * m : 3 * m], head[3 * m :]
+        ids, n, prints, doc_c, tokens_c = pickle.loads(next(h for h in g["head"] if h is not None))
+        m, f1, f2 = len(ids), prints[:, 0], prints[:, 1]
         own = np.zeros(m, np.int64)
         for x in g["own"]:
             x = np.frombuffer(x, np.uint32)
             own[: len(x)] += x
-        doc, tokens, df = (np.concatenate([np.frombuffer(x, t) for x in g[c]]) for c, t in (("doc", np.uint32), ("tokens", np.uint64), ("df", np.uint16)))
+        doc, tokens, df, common, common_df = (np.concatenate([np.frombuffer(x, t) for x in g[c]]) for c, t in (("doc", np.uint32), ("tokens", np.uint64), ("df", np.uint16), ("common", np.uint64), ("common_df", np.uint16)))
+        order = np.argsort(common)
+        common, common_df = common[order], common_df[order]
+        doc, tokens, df = np.concatenate([doc, doc_c.astype(np.uint32)]), np.concatenate([tokens, tokens_c]), np.concatenate([df, common_df[np.searchsorted(common, tokens_c)]])
         may = (n > 0) & (own <= allowance(n, percent))
         keep = may[doc]
         doc, tokens, df = doc[keep], tokens[keep], df[keep]
@@ -154,11 +175,16 @@ def profile(docs: DataFrame, scratch: Scratch, key: str, text: str, k: int, perc
         cut = lambda x: [x[edge[i] : edge[i + 1]].tobytes() if may[i] else None for i in range(m)]
         return pd.DataFrame({"doc_id": ids, "n": n, "f1": f1, "f2": f2, "own": own, "tokens": cut(tokens), "df": cut(df)})
 
-    dealt = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null").mapInArrow(deal, "bucket int, chunk long, head binary, doc binary, tokens binary")
-    counted = dealt.groupBy("bucket").applyInPandas(count, "chunk long, head binary, own binary, doc binary, tokens binary, df binary")
+    dealt = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL)).alias("doc_id"), F.col(text).alias("text")).mapInArrow(deal, "bucket int, chunk long, head binary, doc binary, tokens binary, times binary")
+    counted = dealt.groupBy("bucket").applyInPandas(count, "chunk long, head binary, own binary, doc binary, tokens binary, df binary, common binary, common_df binary")
     return counted.groupBy("chunk").applyInPandas(gather, "doc_id long, n long, f1 long, f2 long, own long, tokens binary, df binary")
 
 
+def groups(n: int, percent: int = PERCENT) -> int:
+    """Groups that the tokens of a set of n are dealt to, a power of two."""
+    return 1 << max(0, (int(allowance(n, percent)) // WHOLE).bit_length())
+
+
 def signatures(tokens: np.ndarray, df: np.ndarray, n: int, own: int, percent: int = PERCENT) -> np.ndarray:
     """Index entries of a set whose tokens are in global order after its `own` unmatched ones."""
     need = int(allowance(n, percent)) + 1
@@ -166,12 +192,19 @@ def signatures(tokens: np.ndarray, df: np.ndarray, n: int, own: int, percent: in
     singles = tokens[: min(rare, max(0, need - own))]
     parts = [mix(singles ^ np.uint64(_ODD[0]))]
     if own + rare < need:
-        if n > PAIRED * percent // 100:  # frequent tokens alone
-            parts.append(mix(tokens[rare : need - own] ^ np.uint64(_ODD[0])))
-        if n <= PAIRED:  # one more token, and pairs
-            t = tokens[rare : need - own + 1]
-            i, j = np.triu_indices(len(t), 1)
-            parts.append(mix(t[i] * np.uint64(_ODD[1]) + mix(t[j] ^ np.uint64(_ODD[2]))))
+        # A linked pair goes by the groups of its larger set, which has n tokens at least and this many at most.
+        m, last = groups(n, percent), groups(n * 100 // percent, percent)
+        while m <= last:
+            t = tokens[rare : need - own + m]
+            group = (mix(t ^ np.uint64(_ODD[3])) % np.uint64(m)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            edge = np.searchsorted(group[order], np.arange(m + 1))
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if b - a > 1:
+                    i, j = np.triu_indices(b - a, 1)
+                    own_ = t[order[a:b]]
+                    parts.append(mix(own_[i] * np.uint64(_ODD[1]) + mix(own_[j] ^ np.uint64(_ODD[2])) + np.uint64(m)))
+            m *= 2
     return np.unique(np.concatenate(parts))
 
 
@@ -237,24 +270,28 @@ def _block_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 def join(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id reachable by links."""
-    spark = docs.sparkSession
     rows = scratch.save(profile(docs, scratch, key, text, k, percent), "profile")
-    fit = rows.where("tokens is not null")
+    fit = rows.where((F.col("doc_id") != NULL) & F.col("tokens").isNotNull())
     sets = fit.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("own").alias("own"), F.first("tokens").alias("tokens"), F.first("df").alias("df"))
     sets = scratch.save(sets, "sets")
+    rows = scratch.save(rows.select("doc_id", "n", "f1", "f2"), "rows")
+    scratch.drop("profile")
     index = sets.where("n > 1").select("rep", "n", "own", "tokens", "df").mapInArrow(lambda it: _index(it, percent), "sig long, rep long, n long")
     index = scratch.save(index, "index")
     heads = scratch.save(index.groupBy("sig").agg(F.min("rep").alias("a"), F.count("*").alias("members")).where("members > 1"), "heads")
     # Lengths further apart than the threshold can't link.
     apart = lambda x, y: (100 * F.least(x, y) < percent * F.greatest(x, y))
-    stars = index.join(heads, "sig").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    stars = scratch.save(stars, "stars")
+    shared = scratch.save(index.join(heads, "sig"), "shared")
+    scratch.drop("index", "heads")
+    stars = scratch.save(shared.where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "stars")
     links = scratch.save(_verify(stars, sets, percent), "links")
     part = scratch.save(connected_components(links, scratch, "first"), "parts")
-    grouped = index.join(heads.select("sig", "members"), "sig").join(part.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "n", "members", F.coalesce("component", "rep").alias("part"))
+    grouped = shared.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "n", "members", F.coalesce("component", "rep").alias("part"))
     grouped = scratch.save(grouped, "grouped")
+    scratch.drop("shared", "parts")
     mixed = grouped.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("sig")
     open_ = scratch.save(grouped.join(scratch.save(mixed, "mixed"), "sig"), "open")
+    scratch.drop("grouped", "mixed")
     few = open_.where(F.col("members") <= PAIRS).select("sig", "rep", "n", "part")
     pairs = (
         few.alias("x").join(few.alias("y"), "sig").where("x.rep < y.rep and x.part <> y.part").where(~apart(F.col("x.n"), F.col("y.n")))
@@ -268,8 +305,10 @@ def join(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "te
     part = connected_components(links, scratch, "last")
     facts = sets.select("n", "f1", "f2", "rep").join(part.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     facts = scratch.save(facts, "facts")
-    found = rows.select("doc_id", "n", "f1", "f2").join(facts, ["n", "f1", "f2"], "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    scratch.drop("sets", "open", "pairs", "stars")
+    found = rows.join(facts, ["n", "f1", "f2"], "left")
+    real = F.col("doc_id") != NULL
+    return found.select(F.when(real, F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(real, F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -1,11 +1,14 @@
 """Quality rules from tokeniser fertility.
 
 A public vocabulary with byte fallback measures each whole text: characters per token, share of byte-fallback
-tokens and entropy of the tokens, over eight bits or, of a short text, over the most that its length allows. Each script
-has its own band; a text outside its band is rejected. Base rules on words come first.
+tokens and entropy of the tokens, over eight bits or, of a short text, over the most that its length allows. Each
+language, or script where no language is given, has its own bands, fitted on the quartiles of all rows that pass the
+base rules on words: a text far outside the quartiles in one measure, or below them in both characters per token and
+entropy, is rejected. A class of few rows is judged by fixed bands of its script.
 
 Defined results: null and empty texts have no words and fail the base rule; a text without letters is of script
-`other`; repeated rows are judged alike; other columns are ignored.
+`other`; repeated rows are judged alike and count as often as they come; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,8 +19,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import Scratch, text_batches
 
 VOCABULARY = "piece_bpe_32k.model"
 SYMBOLS = b"#*$%&|<>"
@@ -35,6 +39,12 @@ class Band:
     entropy_low: float
 
 
+#: Fences lie so many interquartile ranges, of the least width given, beyond the quartiles: outer ones for each measure,
+#: and inner ones that reject a text below both. FEW rows or less don't fit a band.
+OUTER = {"chars_per_token": 5.0, "byte_share": 8.0, "entropy": 1.5}
+INNER = {"chars_per_token": 2.5, "entropy": 1.0}
+WIDTH = {"chars_per_token": 0.03, "byte_share": 0.005, "entropy": 0.01}
+FEW = 30
 #: A vocabulary spends more tokens on scripts it holds few pieces of; the bands follow that.
 BANDS = {
     "latin": Band(1.3, 8.0, 0.10, 0.45),
@@ -52,13 +62,20 @@ RANGES = {
 }
 
 
+def _letters() -> np.ndarray:
+    return np.fromiter((chr(c).isalpha() for c in range(0x32000)), bool, 0x32000)
+
+
+_LETTERS = _letters()
+
+
 def script(text: str) -> str:
     """The script of most letters; ties go to the one first in RANGES."""
     if text.isascii():
         return "latin" if any(c.isalpha() for c in text) else "other"
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     n = {s: sum(int(((cp >= a) & (cp <= b)).sum()) for a, b in spans) for s, spans in RANGES.items()}
-    rest = sum(c.isalpha() for c in text) - sum(n.values()) if sum(n.values()) * 4 < len(text) else 0
+    rest = int(_LETTERS[cp[cp < len(_LETTERS)]].sum()) - sum(n.values())
     best = max(n, key=n.get)
     return best if n[best] and n[best] >= rest else "other"
 
@@ -128,20 +145,20 @@ class Fertility:
         return len(ids), len(text) / len(ids), float(self.byte[ids].mean()), entropy / most if most > 0 else 1.0
 
 
-FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, script string, n_tokens long, chars_per_token double, byte_share double, entropy double, kept boolean"
+FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, script string, n_tokens long, chars_per_token double, byte_share double, entropy double, usual boolean"
 
 
-def judge(docs: DataFrame, key: str, text: str, bands: dict[str, Band] | None = None, least_words: int = 50, most_repeated: int = 50, file: str = VOCABULARY, directory: str | None = None) -> DataFrame:
-    """The measures and the verdict of each row, with its key."""
+def measure(docs: DataFrame, key: str, text: str, lang: str | None = None, bands: dict[str, Band] | None = None, least_words: int = 50, most_repeated: int = 50, file: str = VOCABULARY, directory: str | None = None) -> DataFrame:
+    """The key, its language or null, and the measures of each row; usual: within the fixed bands of its script."""
     bands = bands or BANDS
     text_batches(docs.sparkSession)
-    docs = docs.select(key, text)
+    docs = docs.select(F.col(key).alias("key"), (F.col(lang) if lang else F.lit(None)).cast("string").alias("lang"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fertility = Fertility(file, directory)
         for b in batches:
             rows = []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 t = t or ""
                 words, chars, symbols, lines, again = base(t)
                 failed = words < least_words or 100 * again > most_repeated * words
@@ -149,14 +166,40 @@ def judge(docs: DataFrame, key: str, text: str, bands: dict[str, Band] | None =
                 n, per, share, entropy = fertility.measure(t)
                 x = bands.get(kind) or bands["other"]
                 good = x.chars_low <= per <= x.chars_high and share <= x.bytes_high and entropy >= x.entropy_low
-                rows.append((words, chars, symbols, lines, again, failed, kind, n, per, share, entropy, not failed and good))
+                rows.append((words, chars, symbols, lines, again, failed, kind, n, per, share, entropy, good))
             names = [f.split()[0] for f in FIELDS.split(", ")]
             kinds = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
             columns = [pa.array([r[i] for r in rows], kinds[f.split()[1]]) for i, f in enumerate(FIELDS.split(", "))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[key, *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["key", "lang", *names])
 
-    return docs.mapInArrow(run, f"`{key}` {docs.dtypes[0][1]}, {FIELDS}")
+    return docs.mapInArrow(run, f"key {docs.dtypes[0][1]}, lang string, {FIELDS}")
+
+
+def fences(measured: DataFrame) -> DataFrame:
+    """A row for each class, lang or else script, with the fences of each measure; no more rows than languages."""
+    quartiles = measured.where(~F.col("base_failed")).groupBy("class").agg(F.count("*").alias("rows"), *(F.percentile_approx(m, [0.25, 0.75], 10_000).alias(m) for m in WIDTH))
+    wide = lambda m: F.greatest(F.col(m)[1] - F.col(m)[0], F.lit(WIDTH[m]))
+    under = lambda m, k: (F.col(m)[0] - k * wide(m))
+    over = lambda m, k: (F.col(m)[1] + k * wide(m))
+    return quartiles.where(F.col("rows") > FEW).select(
+        "class", under("chars_per_token", OUTER["chars_per_token"]).alias("chars_low"), over("chars_per_token", OUTER["chars_per_token"]).alias("chars_high"),
+        over("byte_share", OUTER["byte_share"]).alias("bytes_high"), under("entropy", OUTER["entropy"]).alias("entropy_low"),
+        under("chars_per_token", INNER["chars_per_token"]).alias("chars_inner"), under("entropy", INNER["entropy"]).alias("entropy_inner"))
+
+
+def judge(docs: DataFrame, key: str, text: str, scratch: Scratch, lang: str | None = None, **options) -> DataFrame:
+    """The measures and the verdict of each row, with its key."""
+    measured = measure(docs, key, text, lang, **options).withColumn("class", F.coalesce("lang", "script"))
+    measured = scratch.save(measured, "measured")
+    bands = scratch.save(fences(measured), "fences")
+    judged = measured.join(F.broadcast(bands), "class", "left")
+    inside = (
+        F.col("chars_per_token").between(F.col("chars_low"), F.col("chars_high")) & (F.col("byte_share") <= F.col("bytes_high")) & (F.col("entropy") >= F.col("entropy_low"))
+        & ((F.col("chars_per_token") >= F.col("chars_inner")) | (F.col("entropy") >= F.col("entropy_inner"))))
+    names = [f.split()[0] for f in FIELDS.split(", ")][:-1]
+    return judged.select(F.col("key").alias(key), *names, (~F.col("base_failed") & F.coalesce(inside, F.col("usual"))).alias("kept"))
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    return judge(docs, "doc_id", "text", Scratch(spark), "lang")

@@ -15,7 +15,6 @@ rows without a document id come first; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import gc
 import struct
 import uuid
 from collections.abc import Iterator
@@ -125,8 +124,6 @@ def write_tokens(docs: DataFrame, out: str, scratch: Scratch, key: str = "doc_id
 
     ordered = docs.select(doc_id, F.col(text).alias("text")).repartitionById(shards, _bisect(bounds, F.col("doc_id"))).sortWithinPartitions("doc_id", F.xxhash64("text"))
     draft = scratch.save(ordered.mapInArrow(encode, "shard long, seq long, doc_id long, n long, ids binary"), "draft", "zstd")
-    gc.collect()
-    spark._jvm.System.gc()  # lets Spark drop the shuffle of whole texts before the files are written
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)

@@ -33,7 +33,7 @@ def _byte_letters() -> dict[int, str]:
 
 _LETTERS = _byte_letters()
 #: Units remembered in one worker, characters encoded at once, and the longest unit that is known by its hash.
-REMEMBER, AT_ONCE, LONGEST = 500_000, 400_000, 200
+REMEMBER, AT_ONCE, LONGEST = 200_000, 200_000, 200
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _CODES = 0x2100
 
@@ -103,7 +103,9 @@ class Encoder:
         else:
             path = os.path.join(directory, file)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # The library finds special tokens in a text before any cut, so a text that holds one goes to it whole.
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special else None
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.units = _UNITS.get(file)
         self.fold = file in _FOLDED
@@ -214,7 +216,7 @@ class Encoder:
 
         for text in texts:
             t = text or ""
-            if self.units is None or not _PLAIN.fullmatch(t):
+            if self.units is None or not _PLAIN.fullmatch(t) or self.special and self.special.search(t):
                 out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
                 continue
             t = t.lower() if self.fold else t

@@ -31,7 +31,7 @@ def corpus():
     texts = [prose(i, 60 + i) for i in range(40)]
     texts += [texts[0]] * 6 + [texts[1] + " tail", texts[1] + " tail end", texts[2].replace("alma", "ALMA", 1)]
     texts += [None, "", " \n\t", "x", "a b", "A B", "日本語のテキスト 🎉", "naïve café 12,5 % ü½²", "password=\"hunter22\" and token: short", "k AKIA" + "ABCD1234EFGH5678" + " deadbeef" * 4, "0" * 30 + "f" * 10]
-    texts += [prose(99, 9000), "z" * 20000, "same line here and there\n" * 5 + prose(7, 40), "<s> <0x41> ▁x\n\n y"]
+    texts += [prose(99, 9000), "z" * 20000, "same line here and there\n" * 5 + prose(7, 40), "<s> <0x41> ▁x\n\n y", "a <|endoftext|> b <|startoftext|>c <|ENDOFTEXT|>"]
     return [(i, t, (None, "en", "fr")[i % 3], ("a", "a", "a", "b", None)[i % 5], None if t is None else len(t)) for i, t in enumerate(texts)]
 
 
@@ -126,6 +126,54 @@ def test_ledger_scans_only_unseen_pairs_and_reaches_all_paths(spark, tmp_path):
     assert spark.read.parquet(at).count() == 5
 
 
+def test_a_new_rule_version_replaces_the_findings_of_the_old(spark):
+    one = spark.createDataFrame([("p", "secret=abcdefg kk12"), ("q", "kk12")], "path string, content string")
+    scratch, old, new = Scratch(spark), secrets.Rule("kk", r"kk\d+"), secrets.Rule("kk", r"kk[a-z]+", version=2)
+    book = scratch.save(secrets.unseen(one, "content", (*secrets.BASE, old)), "book")
+    assert sorted(x["kind"] for r in secrets.scan(one, "path", "content", Scratch(spark), ledger=book, rules=(*secrets.BASE, old)).collect() for x in r["findings"]) == ["assign", "kk", "kk"]
+    due = secrets.unseen(one, "content", (*secrets.BASE, new), book)
+    assert [r["rules"] for r in due.collect()] == [["kk@2"]] * 2
+    twice = book.union(book)  # an append that was repeated
+    assert sorted(x["kind"] for r in secrets.scan(one, "path", "content", Scratch(spark), ledger=twice, rules=(*secrets.BASE, new)).collect() for x in r["findings"]) == ["assign"]
+    assert {r["path"]: len(r["findings"]) for r in secrets.scan(one, "path", "content", Scratch(spark), ledger=book, rules=(old,)).collect()} == {"p": 1, "q": 1}
+
+
+CLASH = "_gone _text _id _id2 _source _n _all _b _n _i _h0 _m0 m0 band part rep sig key lang2 class text2 blob path rules id chunk line line_no component bucket head weight epoch block place score lang_pred n_tokens kept usual same v a b doc".split()
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_extra_columns_with_clashing_names(name, spark, tmp_path):
+    rows = [(i, prose(i % 7, 70) if i % 5 else None, "en", "s", 3) for i in range(24)]
+    if name == "op5_embedding_dedup":
+        df = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(20)], "vec_id long, embedding array<double>").withColumn("embedding", F.col("embedding").cast("array<float>"))
+    else:
+        df = spark.createDataFrame(rows, DOCS)
+    extra = df.select("*", *(F.lit(str(i)).alias(c) for i, c in enumerate(dict.fromkeys(CLASH))))
+    table = "embeddings" if name == "op5_embedding_dedup" else "documents"
+    got = []
+    for folder, x in (("plain", df), ("clash", extra)):
+        x.write.parquet(str(tmp_path / folder / f"{table}.parquet"))
+        got.append(queries.QUERIES[name](spark, str(tmp_path / folder)))
+    assert got[0].columns == got[1].columns
+    if name not in ("op8_packing",):
+        assert sorted(map(str, got[0].collect())) == sorted(map(str, got[1].collect()))
+    else:
+        assert got[0].count() == got[1].count()
+
+
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(i, prose(i % 9, 70) + f"\nown line {i} here", "en", "s", 3) for i in range(40)], DOCS)
+    names = [c for c in dict.fromkeys(CLASH) if c not in ("weight", "epoch", "block", "place", "n_tokens")]
+    docs = df.select("*", *(F.lit(c).alias(c) for c in names), F.lit("dot").alias("a.b"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        after = stage(spark, docs, "")
+        assert after.columns == docs.columns and after.count(), name
+        assert {x["_id"] for x in after.select("_id").collect()} == {"_id"}
+        docs = after
+
+
 # Token counts, fertility, files and packing
 
 
@@ -158,21 +206,21 @@ def test_counter_ties_and_unknowns_on_random_texts():
 
 @pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_tokenizer(file):
-    e = Encoder(file, remember=200)
+    e, plain = Encoder(file, remember=200), library(file)
     texts = [r[1] for r in corpus()] + ["it's 'S 12 a  b\n\n c ", " lead", "tail \n", "é́ ß İ \x1c\x85 ", "<|endoftext|>", "don’t “q”…—", "''s AB'RE"]
     for _ in range(2):
         for t, ids in zip(texts, e.encode(texts)):
-            assert ids.tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids, repr(t and t[:40])
+            assert ids.tolist() == plain.encode(t or "", add_special_tokens=False).ids, repr(t and t[:40])
 
 
 @pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_on_random_texts(file):
-    r, e = random.Random(1), Encoder(file, remember=300)
+    r, e, plain = random.Random(1), Encoder(file, remember=300), library(file)
     odd = ["—", "...", "€5", "a1b2", "x,y", "(z)", "“q”", "z" * 300, "don't", "\n", " ", "\t"]
     letters = lambda: "".join(r.choice("abcéÀß") for _ in range(r.randrange(1, 9)))
     texts = [r.choice([" ", "\n", " "]).join(letters() if r.random() < 0.7 else r.choice([*odd, str(r.randrange(10**6))]) for _ in range(r.randrange(60))) + r.choice(["", " ", "\n"]) for _ in range(300)]
     for t, ids in zip(texts, e.encode(texts)):
-        assert ids.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t[:40])
+        assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t[:40])
 
 
 def plain_base(text):
@@ -193,6 +241,38 @@ def test_quality_rules(spark, folder):
     assert quality.script("日本語のテキスト") == "cjk" and quality.script("привет") == "cyrillic" and quality.script("123 !") == "other" and quality.script("हिन्दी") == "other"
 
 
+def test_fertility_bands_reject_what_lies_outside(spark, folder):
+    import sentencepiece
+    import public_tokenizers
+
+    r, at = random.Random(21), "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, prose(i, 60 + i % 90), ("en", None)[i % 2], None, None) for i in range(160)]
+    odd = [" ".join("qzx" + r.choice("vwkj") * 2 + str(r.randrange(10**7)) for _ in range(80)), " ".join("é́ß☃🎉" + str(i) for i in range(70)), " ".join(r.choice(["aa", "bb", "cc"]) + " " + r.choice(["dd", "ee"]) for _ in range(60)), " ".join(WORDS[i % 60] + "ing" for i in range(61))]
+    rows += [(1000 + i, t, "en", None, None) for i, t in enumerate(odd)]
+    got = {x["doc_id"]: x for x in quality.judge(spark.createDataFrame(rows, at), "doc_id", "text", Scratch(spark), "lang").collect()}
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(quality.VOCABULARY))
+    plain = {}
+    for d, text, lang, *_ in rows:
+        ids = model.encode(text)
+        h = -sum(c / len(ids) * math.log2(c / len(ids)) for c in Counter(ids).values())
+        plain[d] = (lang or "latin", len(text) / len(ids), sum(map(model.is_byte, ids)) / len(ids), h / min(math.log2(len(ids)), 8))
+        assert (got[d]["chars_per_token"], got[d]["byte_share"], got[d]["entropy"]) == pytest.approx(plain[d][1:])
+    bands = {}
+    for kind in ("en", "latin"):
+        for i, m in enumerate(("chars_per_token", "byte_share", "entropy"), 1):
+            x = sorted(v[i] for d, v in plain.items() if v[0] == kind and not got[d]["base_failed"])
+            lo, hi = (x[math.ceil(q * len(x)) - 1] for q in (0.25, 0.75))
+            bands[kind, m] = lo, hi, max(hi - lo, quality.WIDTH[m])
+    reasons = Counter()
+    for d, (kind, per, share, entropy) in plain.items():
+        (a, b, w), (_, e, u), (f, _, v) = (bands[kind, m] for m in ("chars_per_token", "byte_share", "entropy"))
+        why = {"low": per < a - 5 * w, "high": per > b + 5 * w, "bytes": share > e + 8 * u, "entropy": entropy < f - 1.5 * v, "both": per < a - 2.5 * w and entropy < f - v}
+        assert got[d]["kept"] == (not got[d]["base_failed"] and not any(why.values())), (d, why)
+        reasons.update(k for k, v in why.items() if v and not got[d]["base_failed"])
+    assert reasons["low"] and reasons["bytes"] and reasons["entropy"] and sum(x["kept"] for x in got.values()) > 130
+    assert quality.script("aé" * 13 + "العربية" * 8) == "other"
+
+
 def test_long_word_runs_repeat_alike():
     words = [b"%d" % (i % 3000) for i in range(9000)]
     assert quality.repeated_words(words) == 9000 and quality.repeated_words([b"%d" % i for i in range(9000)]) == 0
@@ -208,9 +288,16 @@ def test_codec_round_trip(bits):
         assert (c.decode(*c.encode(ids), len(ids)) == ids).all()
 
 
+def library(file):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(file))
+
+
 def reference_ids(file):
-    e = Encoder(file)
-    return lambda t: [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+    plain = library(file)
+    return lambda t: [*plain.encode(t or "", add_special_tokens=False).ids, 2]
 
 
 def crc(ids):
@@ -528,11 +615,11 @@ def test_rewrite_keeps_blank_lines_and_drops_emptied_documents(spark):
 # Shingle join
 
 
-def plain_join(rows, percent=90):
+def plain_join(rows, percent=90, k=3):
     sets = {}
     for d, t, *_ in rows:
         w = (t or "").encode().lower().split()
-        sets[d] = frozenset(zip(w, w[1:], w[2:])) if len(w) >= 3 else frozenset([tuple(w)] if w else [])
+        sets[d] = frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
     up = {d: d for d in sets}
 
     def find(x):
@@ -636,7 +723,7 @@ def test_stages(spark, folder, tmp_path):
             gone = docs.join(after, "doc_id", "left_anti").collect()
             assert all(not re.search(r"[^\W\d_]", r["text"] or "") or r["score"] < 0.5 for r in (x.asDict() | {"score": 0} for x in gone))
         if name == "near_duplicates":
-            want = plain_join([(r["doc_id"], r["text"]) for r in docs.collect()])
+            want = plain_join([(r["doc_id"], r["text"]) for r in docs.collect()], 80, 5)
             assert sorted(r["doc_id"] for r in after.collect()) == sorted(d for d, (_, c) in want.items() if c == d)
         if name == "mixture":
             assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in docs.collect()}
