@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import langid, linededup, mixing, ngramjoin, packing
-from lodestar.llm.common import Scratch
+from lodestar.llm.common import Scratch, quoted
 
+#: Words of a shingle and hundredths of the similarity of near duplicates.
+WORDS, PERCENT = 5, 80
 #: Least posterior of the language predicted for a document that stays.
 CERTAIN = 0.5
 
@@ -19,7 +21,7 @@ CERTAIN = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those whose language stays in doubt, go."""
     found = langid.identify(docs, langid.train(docs.select("doc_id", "text", "lang")))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= CERTAIN)).select(*docs.columns)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= CERTAIN)).select(*(F.col(quoted(c)) for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,16 +31,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their shingles the one of smallest doc_id stays; rows without a doc_id stay."""
+    """Of documents linked by five-word shingles at 0.8 the one of smallest doc_id stays; rows without a doc_id stay, and
+    so does every row of a doc_id that stays."""
     scratch = Scratch(spark)
-    groups = ngramjoin.join(docs, scratch)
+    groups = ngramjoin.join(docs, scratch, k=WORDS, percent=PERCENT)
     gone = scratch.save(groups.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(quoted(c)) for c in docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once or more, as its source's weight asks."""
-    return mixing.mix(docs, Scratch(spark), carry=True).select(*docs.columns)
+    return mixing.mix(docs, Scratch(spark), carry=True).select(*(F.col(quoted(c)) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
