@@ -25,8 +25,8 @@ SHINGLE, SIMILAR = 8, 0.8
 SIDE, CLASSES, AGREE = 4, 3, 8
 #: Places of a line worked out side by side.
 STRIDE = 8
-#: Lines of a band that meet in one task.
-BLOCK = 256
+#: Lines of a band that meet the same number in one row.
+BLOCK = 64
 
 
 def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -89,14 +89,31 @@ def _similar(pairs: DataFrame, texts: DataFrame, size: int, similar: float) -> D
     return common.where(F.col("i") >= F.lit(similar) * (F.col("n") - F.col("i")) - 1e-9).select("a", "b")
 
 
-def _unjoined(rows: DataFrame) -> DataFrame:
-    """Pairs(a, b), a < b, of rows(band, id, members, part) that share a band but no part."""
+def _rest(rows: DataFrame, texts: DataFrame, size: int, similar: float) -> DataFrame:
+    """Links(a, b), a < b, between rows(band, id, members, part) that share a band but no part.
+
+    Two blocks of a band meet in one row, where the lines' sets are worked out once and compared; no pair that
+    is not a link becomes a row, and a row holds the lines of two blocks at most.
+    """
     chunks = F.ceil(F.col("members") / F.lit(float(BLOCK))).cast("int")
-    dealt = rows.withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("chunks")).cast("int"))
-    one = dealt.select("band", F.col("mine").alias("i"), F.explode(F.sequence("mine", F.col("chunks") - 1)).alias("j"), F.col("id").alias("x"), F.col("part").alias("px"))
-    two = dealt.select("band", F.explode(F.sequence(F.lit(0), "mine")).alias("i"), F.col("mine").alias("j"), F.col("id").alias("y"), F.col("part").alias("py"))
-    met = one.join(two, ["band", "i", "j"]).where("px <> py and (i < j or x < y)")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    dealt = rows.join(texts, "id").withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("chunks")).cast("int"))
+    met = dealt.select("band", "id", "part", "mine", "line", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    met = met.groupBy("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).agg(F.collect_list(F.struct("id", "part", "mine", "line")).alias("g"))
+    sets = met.select("i", "j", F.transform("g", lambda x: F.struct(x["id"].alias("id"), x["part"].alias("part"), x["mine"].alias("mine"), shingle_set(x["line"], size).alias("s"))).alias("g"))
+    sets = sets.select(F.inline(F.array(F.struct((F.col("i") == F.col("j")).alias("one"), F.col("g")))))
+
+    def alike(x: Column, y: Column) -> Column:
+        n, m = F.size(x["s"]), F.size(y["s"])
+        near = F.least(n, m) >= F.lit(similar) * F.greatest(n, m) - 1e-9
+        apart = (x["part"] != y["part"]) & (F.col("one") | (x["mine"] != y["mine"]))
+        # i >= similar * (n + m - i), solved for i so that the common shingles are counted once.
+        return apart & near & (F.size(F.array_intersect(x["s"], y["s"])) >= F.lit(similar / (1 + similar)) * (n + m) - 1e-9)
+
+    def of(x: Column, i: Column) -> Column:
+        later = F.slice("g", i + 2, F.size("g"))
+        return F.transform(F.filter(later, lambda y: alike(x, y)), lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")))
+
+    return sets.select(F.inline(F.flatten(F.transform("g", of)))).distinct()
 
 
 def _likely(pairs: DataFrame, sketch: DataFrame, similar: float) -> DataFrame:
@@ -139,10 +156,8 @@ def dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "t
     mixed = scratch.save(named.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band"), "mixed")
     open_ = scratch.save(named.join(mixed, "band"), "open")
     scratch.drop("named")
-    pairs = scratch.save(_likely(_unjoined(open_).join(stars, ["a", "b"], "left_anti"), sketch, similar), "pairs")
-    scratch.drop("open", "sketch")
-    found = links.unionByName(scratch.save(_similar(pairs, texts, size, similar), "more"))
-    scratch.drop("texts")
+    found = links.unionByName(scratch.save(_rest(open_, texts, size, similar), "more"))
+    scratch.drop("open", "sketch", "texts")
     part = scratch.save(connected_components(found, scratch, "last"), "part")
     member = part.select(F.col("node").alias("id"), "component").join(lines.select("id", "first", "check"), "id")
     member = scratch.save(member, "member")
