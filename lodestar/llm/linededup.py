@@ -1,8 +1,8 @@
 """Fuzzy line dedup by MinHash, DataFrame functions only.
 
 A line's signature holds the least hash of all its character shingles under each of a square of permutations. Rows,
-columns and diagonals of the square are its bands. In every band, the smallest line meets the others; then, among what
-these links have not joined, all remaining pairs of the band meet, block by block where a band has many lines. Each candidate
+columns and diagonals of the square are its bands. In every band, the smallest line meets the others, then each line
+those of a block, then all pairs of the band that these links have not joined, block by block. Each candidate
 pair is verified by the exact Jaccard similarity of all its character shingles, and of every component the line that
 comes first, by document id and place, stays.
 
@@ -27,6 +27,10 @@ SIDE, CLASSES, AGREE = 4, 3, 8
 STRIDE = 8
 #: Lines of a band that meet the same number in one row.
 BLOCK = 64
+#: Draws (not 0) of blocks that meet alone before all blocks of a band meet.
+SEEDS = (7,)
+#: Longs of the bitmap of a line's shingles.
+BITMAP = 16
 
 
 def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -60,6 +64,20 @@ def minima(lines: DataFrame, keys: list[str], size: int = SHINGLE) -> DataFrame:
     return found.select(*keys, "n", *(F.shiftright(f"_m{p}", 32).cast("int").alias(f"m{p}") for p in range(SIDE * SIDE)))
 
 
+def bitmaps(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """texts(id, line) with bits, a bitmap of hashes of the line's shingles; null for a line with characters of two units.
+
+    Where two bitmaps differ, a shingle is in one line and not in the other, so the bits that differ bound the
+    common shingles from above.
+    """
+    coded = texts.select("id", F.encode("line", "UTF-16BE").alias("_b"), F.length("line").alias("_l"))
+    coded = coded.where(F.octet_length("_b") == 2 * F.col("_l")).select("id", "_b", F.explode(F.sequence(F.lit(0), F.greatest(F.col("_l") - size, F.lit(0)))).alias("_i"))
+    hashed = coded.select("id", F.xxhash64(F.substring("_b", 2 * F.col("_i") + 1, F.lit(2 * size))).alias("_h"))
+    spot = hashed.select("id", F.pmod(F.shiftright("_h", 8), F.lit(BITMAP)).alias("_w"), F.expr("shiftleft(1L, cast(_h & 63 as int))").alias("_1"))
+    made = spot.groupBy("id").agg(*(F.bit_or(F.when(F.col("_w") == w, F.col("_1")).otherwise(F.lit(0).cast("long"))).alias(f"_{w}") for w in range(BITMAP)))
+    return texts.join(made.select("id", F.array(*(f"_{w}" for w in range(BITMAP))).alias("bits")), "id", "left")
+
+
 def grid() -> list[list[int]]:
     """Permutations of each band: rows, columns and diagonals of a square of them, so two bands share one at most."""
     s = range(SIDE)
@@ -89,25 +107,39 @@ def _similar(pairs: DataFrame, texts: DataFrame, size: int, similar: float) -> D
     return common.where(F.col("i") >= F.lit(similar) * (F.col("n") - F.col("i")) - 1e-9).select("a", "b")
 
 
-def _rest(rows: DataFrame, texts: DataFrame, size: int, similar: float) -> DataFrame:
+def _open(shared: DataFrame, part: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
+    """Rows(band, id, members, part) of the bands whose lines are not yet of one part."""
+    named = shared.join(part.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "members", F.coalesce("component", "id").alias("part"))
+    named = scratch.save(named, f"named{tag}")
+    mixed = named.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band")
+    out = scratch.save(named.join(scratch.save(mixed, f"mixed{tag}"), "band"), f"open{tag}")
+    scratch.drop(f"named{tag}", f"mixed{tag}")
+    return out
+
+
+def _rest(rows: DataFrame, texts: DataFrame, size: int, similar: float, seed: int = 0) -> DataFrame:
     """Links(a, b), a < b, between rows(band, id, members, part) that share a band but no part.
 
-    Two blocks of a band meet in one row, where the lines' sets are worked out once and compared; no pair that
+    With a seed, lines meet those of their own block alone, drawn by the seed; without, all of the band. Two blocks of a band meet in one row, where the lines' sets are worked out once and compared; no pair that
     is not a link becomes a row, and a row holds the lines of two blocks at most.
     """
     chunks = F.ceil(F.col("members") / F.lit(float(BLOCK))).cast("int")
-    dealt = rows.join(texts, "id").withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("chunks")).cast("int"))
-    met = dealt.select("band", "id", "part", "mine", "line", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    met = met.groupBy("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).agg(F.collect_list(F.struct("id", "part", "mine", "line")).alias("g"))
-    sets = met.select("i", "j", F.transform("g", lambda x: F.struct(x["id"].alias("id"), x["part"].alias("part"), x["mine"].alias("mine"), shingle_set(x["line"], size).alias("s"))).alias("g"))
+    dealt = rows.join(texts, "id").withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("chunks")).cast("int"))
+    others = F.array("mine") if seed else F.sequence(F.lit(0), F.col("chunks") - 1)
+    met = dealt.select("band", "id", "part", "mine", "line", "bits", F.explode(others).alias("other"))
+    met = met.groupBy("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).agg(F.collect_list(F.struct("id", "part", "mine", "line", "bits")).alias("g"))
+    sets = met.select("i", "j", F.transform("g", lambda x: F.struct(x["id"].alias("id"), x["part"].alias("part"), x["mine"].alias("mine"), x["bits"].alias("bits"), shingle_set(x["line"], size).alias("s"))).alias("g"))
     sets = sets.select(F.inline(F.array(F.struct((F.col("i") == F.col("j")).alias("one"), F.col("g")))))
 
     def alike(x: Column, y: Column) -> Column:
         n, m = F.size(x["s"]), F.size(y["s"])
         near = F.least(n, m) >= F.lit(similar) * F.greatest(n, m) - 1e-9
         apart = (x["part"] != y["part"]) & (F.col("one") | (x["mine"] != y["mine"]))
-        # i >= similar * (n + m - i), solved for i so that the common shingles are counted once.
-        return apart & near & (F.size(F.array_intersect(x["s"], y["s"])) >= F.lit(similar / (1 + similar)) * (n + m) - 1e-9)
+        # i >= similar * (n + m - i), solved for i. Bits that differ leave so many common shingles at most.
+        least = F.lit(similar / (1 + similar)) * (n + m) - 1e-9
+        differ = sum((F.bit_count(x["bits"][w].bitwiseXOR(y["bits"][w])) for w in range(BITMAP)), F.lit(0))
+        possible = F.coalesce((n + m - differ) / 2 >= least, F.lit(True))
+        return apart & near & possible & (F.size(F.array_intersect(x["s"], y["s"])) >= least)
 
     def of(x: Column, i: Column) -> Column:
         later = F.slice("g", i + 2, F.size("g"))
@@ -147,17 +179,19 @@ def dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "t
     wanted = lines.where("shares").select("id", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"))
     here = (F.col("doc_id").eqNullSafe(F.col("first_doc"))) & (F.col("line_no") == F.col("first_line"))
     texts = hashed.withColumnRenamed("id", "of").join(wanted, here & (F.col("of") == F.col("id"))).select("id", "line")
-    texts = scratch.save(texts.dropDuplicates(["id"]), "texts")
+    texts = scratch.save(bitmaps(scratch.save(texts.dropDuplicates(["id"]), "bare"), size), "texts")
+    scratch.drop("bare")
     links = scratch.save(_similar(stars, texts, size, similar), "links")
-    part = scratch.save(connected_components(links, scratch, "stars"), "star_part")
-    named = shared.join(part.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "members", F.coalesce("component", "id").alias("part"))
-    named = scratch.save(named, "named")
-    scratch.drop("shared")
-    mixed = scratch.save(named.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band"), "mixed")
-    open_ = scratch.save(named.join(mixed, "band"), "open")
-    scratch.drop("named")
-    found = links.unionByName(scratch.save(_rest(open_, texts, size, similar), "more"))
-    scratch.drop("open", "sketch", "texts")
+    scratch.drop("sketch", "stars")
+    # Where many lines of a band are alike but for the smallest, meeting a few others joins most of them, in work that
+    # is linear; then all pairs that are still of different parts meet.
+    for seed in (*SEEDS, 0):
+        part = scratch.save(connected_components(links, scratch, f"cc{seed}"), f"part{seed}")
+        open_ = _open(shared, part, scratch, str(seed))
+        links = links.unionByName(scratch.save(_rest(open_, texts, size, similar, seed), f"more{seed}"))
+        scratch.drop(f"open{seed}")
+    scratch.drop("shared", "texts")
+    found = links
     part = scratch.save(connected_components(found, scratch, "last"), "part")
     member = part.select(F.col("node").alias("id"), "component").join(lines.select("id", "first", "check"), "id")
     member = scratch.save(member, "member")
