@@ -71,13 +71,13 @@ def spatial_ellipse(t):
     return hits.where(inside & (F.abs(F.col("c_lat") - (F.col("g_ay") + F.col("g_by")) / 2) < 12)).select("gap", "c_custkey", F.col("e.impossible").alias("impossible"))
 
 
-@query("j06_interval_day", "SELECT o_orderkey, event_id FROM (SELECT o_orderkey, o_orderdate::DATE + (DATE '2024-01-01' - DATE '1995-01-01')::INTEGER AS a, o_orderdate::DATE + (DATE '2024-01-01' - DATE '1995-01-01')::INTEGER + (o_orderkey % 4)::INTEGER AS b FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-20') JOIN events ON ts::DATE BETWEEN a AND b WHERE event_type = 'error' AND user_id % 10 = 0")
+@query("j06_interval_day", "SELECT o_orderkey, event_id FROM (SELECT o_orderkey, o_orderdate::DATE + (DATE '2024-01-01' - DATE '1995-01-01')::INTEGER AS a, o_orderdate::DATE + (DATE '2024-01-01' - DATE '1995-01-01')::INTEGER + (o_orderkey % 4)::INTEGER AS b FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-20') JOIN events ON ts::DATE BETWEEN a AND b WHERE event_type = 'error'")
 def interval_day(t):
     """Events on a calendar day between an interval's first and last: the days are laid out and joined by equality."""
     move = F.datediff(F.lit("2024-01-01").cast("date"), F.lit("1995-01-01").cast("date"))
     o = t.orders.where("o_orderdate < TIMESTAMP_NTZ '1995-01-20'").select("o_orderkey", F.date_add(F.col("o_orderdate").cast("date"), move).alias("a"), (F.col("o_orderkey") % 4).cast("int").alias("n"))
     days = o.select("o_orderkey", F.explode(F.sequence("a", F.date_add("a", F.col("n")))).alias("day"))
-    e = t.events.where("event_type = 'error' AND user_id % 10 = 0").select("event_id", F.col("ts").cast("date").alias("day"))
+    e = t.events.where("event_type = 'error'").select("event_id", F.col("ts").cast("date").alias("day"))
     return days.join(e, "day").select("o_orderkey", "event_id")
 
 
@@ -135,9 +135,9 @@ def asof_latest(t):
     return days.join(v, "day", "left").select("day", F.coalesce(F.last("version", True).over(w), F.min("version").over(everything)).alias("version"))
 
 
-@query("j15_spine_left", "SELECT u.user_id, d.day, coalesce(n, 0) AS n FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 5 = 0) u, (SELECT unnest(range(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY))::DATE AS day) d LEFT JOIN (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL) c ON c.user_id = u.user_id AND c.day = d.day")
+@query("j15_spine_left", "SELECT u.user_id, d.day, coalesce(n, 0) AS n FROM (SELECT DISTINCT user_id FROM events) u, (SELECT unnest(range(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY))::DATE AS day) d LEFT JOIN (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL) c ON c.user_id = u.user_id AND c.day = d.day")
 def spine_left(t):
-    users = t.events.where("user_id % 5 = 0").select("user_id").distinct()
+    users = t.events.select("user_id").distinct()
     grid = timeops.spine(users, F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date"), F.expr("INTERVAL 1 DAY"), "day")
     n = t.events.groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n"))
     return grid.join(n, ["user_id", "day"], "left").select("user_id", "day", F.coalesce("n", F.lit(0)).alias("n"))
@@ -174,12 +174,12 @@ def narrowest_range(t):
     return J.narrowest_range(t.part.select((F.col("p_partkey") * 3).alias("v")), r, "v", "lo", "hi", "s_suppkey").select("v", "s_suppkey")
 
 
-@query("j19_candidates", f"""WITH x AS (SELECT c_custkey, name, {hav('c_lon', 'c_lat', 'p_lon', 'p_lat')} AS km FROM {C} c, {P} WHERE c_custkey % 4 = 0),
+@query("j19_candidates", f"""WITH x AS (SELECT c_custkey, name, {hav('c_lon', 'c_lat', 'p_lon', 'p_lat')} AS km FROM {C} c, {P}),
 r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY km, name) AS near, row_number() OVER (PARTITION BY c_custkey ORDER BY km DESC, name) AS far FROM x) SELECT c_custkey, name FROM r WHERE km <= 15000 AND (near <= 2 OR far <= 1)""")
 def candidates(t):
     """Reachable places in the union of two short lists of each point, from the few places held in the row."""
     options = F.array(*(F.struct(geo.haversine("c_lon", "c_lat", x, y).alias("km"), F.lit(n).alias("name")) for n, x, y in PLACES))
-    c = customers(t).where("c_custkey % 4 = 0").withColumn("o", F.array_sort(options))
+    c = customers(t).withColumn("o", F.array_sort(options))
     far = F.array_sort(F.transform("o", lambda x: F.struct((-x["km"]).alias("k"), x["name"].alias("name"), x["km"].alias("km"))))
     pick = F.array_union(F.transform(F.slice("o", 1, 2), lambda x: F.struct("c_custkey", x["name"].alias("name"), x["km"].alias("km"))), F.transform(F.slice(far, 1, 1), lambda x: F.struct("c_custkey", x["name"].alias("name"), x["km"].alias("km"))))
     return c.select(F.explode(pick).alias("x")).select("x.*").where("km <= 15000").select("c_custkey", "name")
@@ -192,9 +192,9 @@ def landing_site(t):
     return customers(t).select("c_custkey", F.array_min(F.filter(options, lambda o: o["km"] <= 6000))["name"].alias("site")).where("site IS NOT NULL")
 
 
-@query("j22_pattern_links", "SELECT DISTINCT a.o_custkey AS a, b.o_custkey AS b FROM (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 10 = 0) a JOIN (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 10 = 0) b USING (l_partkey) WHERE a.o_custkey < b.o_custkey")
+@query("j22_pattern_links", "SELECT DISTINCT a.o_custkey AS a, b.o_custkey AS b FROM (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey) a JOIN (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey) b USING (l_partkey) WHERE a.o_custkey < b.o_custkey")
 def pattern_links(t):
-    e = t.orders.where("o_orderkey % 10 = 0").join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_partkey").distinct()
+    e = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_partkey").distinct()
     return e.withColumnRenamed("o_custkey", "a").join(e.withColumnRenamed("o_custkey", "b"), "l_partkey").where("a < b").select("a", "b").distinct()
 
 
@@ -235,9 +235,9 @@ def corroboration(t):
     return g.where("errors >= 1 AND signups >= 1")
 
 
-@query("j29_explode_lookup", "WITH n AS (SELECT l_suppkey AS net, unnest(list_distinct(list(l_partkey))) AS member FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY l_suppkey) SELECT p_partkey, max(net) AS net FROM part LEFT JOIN n ON p_partkey = member GROUP BY p_partkey")
+@query("j29_explode_lookup", "WITH n AS (SELECT l_suppkey AS net, unnest(list_distinct(list(l_partkey))) AS member FROM lineitem GROUP BY l_suppkey) SELECT p_partkey, max(net) AS net FROM part LEFT JOIN n ON p_partkey = member GROUP BY p_partkey")
 def explode_lookup(t):
-    nets = t.lineitem.where("l_orderkey % 50 = 0").groupBy(F.col("l_suppkey").alias("net")).agg(F.collect_set("l_partkey").alias("m"))
+    nets = t.lineitem.groupBy(F.col("l_suppkey").alias("net")).agg(F.collect_set("l_partkey").alias("m"))
     last = nets.select("net", F.explode("m").alias("p_partkey")).groupBy("p_partkey").agg(F.max("net").alias("net"))
     return t.part.select("p_partkey").join(last, "p_partkey", "left")
 

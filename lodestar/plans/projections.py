@@ -35,9 +35,9 @@ def scan_project(t):
     return t.events.where("event_type = 'purchase'").select("event_id", "user_id", "value")
 
 
-@query("s10_parallel_arrays", "SELECT o_custkey, unnest(ks) AS o_orderkey, unnest(ps) AS o_totalprice, unnest(range(len(ks)))::INTEGER AS pos FROM (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS ks, list(o_totalprice ORDER BY o_orderkey) AS ps FROM orders WHERE o_orderkey % 7 < 3 GROUP BY o_custkey)")
+@query("s10_parallel_arrays", "SELECT o_custkey, unnest(ks) AS o_orderkey, unnest(ps) AS o_totalprice, unnest(range(len(ks)))::INTEGER AS pos FROM (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS ks, list(o_totalprice ORDER BY o_orderkey) AS ps FROM orders GROUP BY o_custkey)")
 def parallel_arrays(t):
-    held = t.orders.where("o_orderkey % 7 < 3").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("x"))
+    held = t.orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("x"))
     split = held.select("o_custkey", F.col("x.o_orderkey").alias("ks"), F.col("x.o_totalprice").alias("ps"))
     return split.select("o_custkey", F.posexplode(F.arrays_zip("ks", "ps")).alias("pos", "z")).select("o_custkey", F.col("z.ks").alias("o_orderkey"), F.col("z.ps").alias("o_totalprice"), "pos")
 

@@ -85,9 +85,9 @@ def arrival(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") / 18.52 / ground, 6).alias("hours"))
 
 
-@query("m16_owner", "SELECT l_suppkey, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) ELSE 'mixed' END AS owner FROM lineitem WHERE l_orderkey % 100 = 0 GROUP BY 1")
+@query("m16_owner", "SELECT l_suppkey, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) ELSE 'mixed' END AS owner FROM lineitem GROUP BY 1")
 def owner(t):
-    g = t.lineitem.where("l_orderkey % 100 = 0").groupBy("l_suppkey").agg(F.min("l_returnflag").alias("a"), F.max("l_returnflag").alias("b"))
+    g = t.lineitem.groupBy("l_suppkey").agg(F.min("l_returnflag").alias("a"), F.max("l_returnflag").alias("b"))
     return g.select("l_suppkey", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("mixed").alias("owner"))
 
 
@@ -166,9 +166,9 @@ def stream_groups(t):
     return t.events.groupBy((F.col("user_id") % 5).alias("g")).agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("value") > 95, F.col("event_type")))), ",").alias("missing"), F.count_if(F.col("value") > 50).alias("ok"))
 
 
-@query("c12_resolved_links", "SELECT o_orderkey, p_partkey, s_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_orderkey % 200 = 0 AND p_size < 25 AND s_acctbal > 0")
+@query("c12_resolved_links", "SELECT o_orderkey, p_partkey, s_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE p_size < 25 AND s_acctbal > 0")
 def resolved_links(t):
-    x = t.orders.where("o_orderkey % 200 = 0").select("o_orderkey").join(t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    x = t.orders.select("o_orderkey").join(t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     return x.join(t.part.where("p_size < 25"), F.col("l_partkey") == F.col("p_partkey")).join(t.supplier.where("s_acctbal > 0"), F.col("l_suppkey") == F.col("s_suppkey")).select("o_orderkey", "p_partkey", "s_suppkey")
 
 

@@ -106,12 +106,12 @@ def state_changes(t):
     return x.withColumn("was", F.lag("active").over(user())).where(~F.col("active").eqNullSafe(F.col("was"))).select("event_id", "active")
 
 
-@query("w15_resample", """WITH p AS (SELECT user_id, epoch_us(ts) / 3600000000.0::DOUBLE AS h, value FROM (SELECT user_id, ts, min(value) AS value FROM events WHERE user_id % 10 = 0 GROUP BY ALL)),
+@query("w15_resample", """WITH p AS (SELECT user_id, epoch_us(ts) / 3600000000.0::DOUBLE AS h, value FROM (SELECT user_id, ts, min(value) AS value FROM events GROUP BY ALL)),
 s AS (SELECT user_id, unnest(range(ceil(min(h))::BIGINT, floor(max(h))::BIGINT + 1, 6)) AS g FROM p GROUP BY 1)
 SELECT user_id, g, round(a.value + CASE WHEN b.h = a.h THEN 0 ELSE (b.value - a.value) * (g - a.h) / (b.h - a.h) END, 6) AS value FROM (SELECT s.user_id, g, (SELECT max({h: p.h, value: p.value}) FROM p WHERE p.user_id = s.user_id AND p.h <= g) AS a, (SELECT min({h: p.h, value: p.value}) FROM p WHERE p.user_id = s.user_id AND p.h >= g) AS b FROM s)""")
 def resample(t):
     """Values on a six-hour grid inside each user's span, by linear interpolation between neighbours."""
-    p = t.events.where("user_id % 10 = 0").groupBy("user_id", "ts").agg(F.min("value").alias("value")).select("user_id", (timeops.micros(F.col("ts")) / 3.6e9).alias("h"), "value")
+    p = t.events.groupBy("user_id", "ts").agg(F.min("value").alias("value")).select("user_id", (timeops.micros(F.col("ts")) / 3.6e9).alias("h"), "value")
     span = p.groupBy("user_id").agg(F.ceil(F.min("h")).alias("lo"), F.floor(F.max("h")).alias("hi")).where("lo <= hi")
     grid = span.select("user_id", F.explode(F.sequence("lo", "hi", F.lit(6).cast("long"))).alias("g")).select("user_id", F.col("g").cast("double").alias("h"), "g")
     both = p.withColumn("g", F.lit(None).cast("long")).unionByName(grid.withColumn("value", F.lit(None).cast("double")))
