@@ -48,9 +48,9 @@ def cooldown(t):
     return state.cooldown(t.events.where("event_type = 'error'"), ["user_id"], "ts", "event_id", 172800).select("user_id", "event_id")
 
 
-@query("x06_thinning", FOLD.format(where="user_id % 3 = 0", keep="(e.us > f.last AND (e.us - f.last >= 86400000000 OR abs(e.value - f.held) >= 40))"))
+@query("x06_thinning", FOLD.format(where="true", keep="(e.us > f.last AND (e.us - f.last >= 86400000000 OR abs(e.value - f.held) >= 40))"))
 def thinning(t):
-    return state.thin(t.events.where("user_id % 3 = 0"), "user_id", "ts", "event_id", "value", 86400, 40).select("user_id", "event_id")
+    return state.thin(t.events, "user_id", "ts", "event_id", "value", 86400, 40).select("user_id", "event_id")
 
 
 @query("x08_sessions", """WITH m AS (SELECT *, lag(ts) OVER w AS was, lag(event_type = 'signup') OVER w AS up FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum((was IS NULL OR epoch_us(ts) - epoch_us(was) > 21600000000 OR (event_type = 'signup' AND NOT coalesce(up, false)))::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM m)

@@ -49,18 +49,18 @@ def nearest_border(t):
     return s.select("s_suppkey", F.round(geo.haversine("x", "y", hold("x", 22.0, 40.0), hold("y", 44.0, 52.0)), 4).alias("km"))
 
 
-@query("g14_descent_path", "SELECT p_partkey, i, round(least(p_retailprice, 300 * (1 - i / 8.0) / 3), 6) AS alt FROM part, range(9) r(i) WHERE p_partkey <= 50")
+@query("g14_descent_path", "SELECT p_partkey, i, round(least(p_retailprice, 300 * (1 - i / 8.0) / 3), 6) AS alt FROM part, range(9) r(i)")
 def descent_path(t):
     """Altitude along a path that comes down one in three."""
     i = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))).alias("i")
-    return t.part.where("p_partkey <= 50").select("p_partkey", "p_retailprice", i).select("p_partkey", "i", F.round(F.least("p_retailprice", 300 * (1 - F.col("i") / 8.0) / 3), 6).alias("alt"))
+    return t.part.select("p_partkey", "p_retailprice", i).select("p_partkey", "i", F.round(F.least("p_retailprice", 300 * (1 - F.col("i") / 8.0) / 3), 6).alias("alt"))
 
 
-@query("g17_passes", f"""WITH g AS (SELECT s_suppkey, m, {hav('36.5::DOUBLE', '45.3::DOUBLE', '((s_suppkey * 7919 + m * 400) % 36000)::DOUBLE / 100 - 180', '80 * sin(radians((s_suppkey * 31 + m * 4) % 360))')} AS km FROM supplier, range(720) r(m) WHERE s_suppkey <= 12), i AS (SELECT *, m - row_number() OVER (PARTITION BY s_suppkey ORDER BY m) AS k FROM g WHERE km <= 1500)
+@query("g17_passes", f"""WITH g AS (SELECT s_suppkey, m, {hav('36.5::DOUBLE', '45.3::DOUBLE', '((s_suppkey * 7919 + m * 400) % 36000)::DOUBLE / 100 - 180', '80 * sin(radians((s_suppkey * 31 + m * 4) % 360))')} AS km FROM supplier, range(720) r(m)), i AS (SELECT *, m - row_number() OVER (PARTITION BY s_suppkey ORDER BY m) AS k FROM g WHERE km <= 1500)
 SELECT s_suppkey, min(m) AS first, max(m) AS last, round(min(km), 4) AS closest FROM i GROUP BY s_suppkey, k""")
 def passes(t):
     """Spans of minutes in which a satellite on a made-up track is in reach, with the closest approach."""
-    g = t.supplier.where("s_suppkey <= 12").select("s_suppkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(719).cast("long"))).alias("m"))
+    g = t.supplier.select("s_suppkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(719).cast("long"))).alias("m"))
     x = ((F.col("s_suppkey") * 7919 + F.col("m") * 400) % 36000).cast("double") / 100 - 180
     y = 80 * F.sin(F.radians((F.col("s_suppkey") * 31 + F.col("m") * 4) % 360))
     g = g.withColumn("km", geo.haversine(36.5, 45.3, x, y)).where("km <= 1500")
@@ -68,12 +68,12 @@ def passes(t):
     return g.groupBy("s_suppkey", "k").agg(F.min("m").alias("first"), F.max("m").alias("last"), F.round(F.min("km"), 4).alias("closest")).drop("k")
 
 
-@query("m11_ranked_candidates", f"""WITH c AS (SELECT c_custkey, name, {hav('c_lon', 'c_lat', 'p_lon', 'p_lat')} AS km FROM (SELECT c_custkey, {lon_sql('c_custkey')} AS c_lon, {lat_sql('c_custkey')} AS c_lat FROM customer WHERE c_custkey <= 200), (VALUES {', '.join(f"('{n}', {x}::DOUBLE, {y}::DOUBLE)" for n, x, y in PLACES)}) p(name, p_lon, p_lat))
+@query("m11_ranked_candidates", f"""WITH c AS (SELECT c_custkey, name, {hav('c_lon', 'c_lat', 'p_lon', 'p_lat')} AS km FROM (SELECT c_custkey, {lon_sql('c_custkey')} AS c_lon, {lat_sql('c_custkey')} AS c_lat FROM customer), (VALUES {', '.join(f"('{n}', {x}::DOUBLE, {y}::DOUBLE)" for n, x, y in PLACES)}) p(name, p_lon, p_lat))
 SELECT c_custkey, name, round(exp(-km / 3000) / sum(exp(-km / 3000)) OVER (PARTITION BY c_custkey), 8) AS p, row_number() OVER (PARTITION BY c_custkey ORDER BY km, name) AS rank FROM c""")
 def ranked_candidates(t):
     """Each snapshot's places with normalised scores and ranks."""
     options = F.array(*(F.struct(geo.haversine("x", "y", a, b).alias("km"), F.lit(n).alias("name")) for n, a, b in PLACES))
-    c = t.customer.where("c_custkey <= 200").select("c_custkey", lon("c_custkey").alias("x"), lat("c_custkey").alias("y")).select("c_custkey", F.array_sort(options).alias("o"))
+    c = t.customer.select("c_custkey", lon("c_custkey").alias("x"), lat("c_custkey").alias("y")).select("c_custkey", F.array_sort(options).alias("o"))
     z = F.aggregate("o", F.lit(0.0), lambda a, s: a + F.exp(-s["km"] / 3000))
     return c.select("c_custkey", z.alias("z"), F.posexplode("o").alias("i", "s")).select("c_custkey", "s.name", F.round(F.exp(-F.col("s.km") / 3000) / F.col("z"), 8).alias("p"), (F.col("i") + 1).alias("rank"))
 
@@ -127,10 +127,10 @@ def prior_counters(t):
     return t.events.select(F.explode(each).alias("e")).groupBy("e.name", "e.key").agg(F.count("*").alias("n"))
 
 
-@query("v14_formed_dissolved", "WITH d AS (SELECT DISTINCT ts::DATE AS day, user_id FROM events WHERE user_id < 40), s AS (SELECT day, string_agg(user_id::VARCHAR, ',' ORDER BY user_id) AS sig FROM d GROUP BY 1) SELECT day, sig, sig IS DISTINCT FROM lag(sig) OVER (ORDER BY day) AS changed FROM s")
+@query("v14_formed_dissolved", "WITH d AS (SELECT DISTINCT ts::DATE AS day, user_id FROM events), s AS (SELECT day, string_agg(user_id::VARCHAR, ',' ORDER BY user_id) AS sig FROM d GROUP BY 1) SELECT day, sig, sig IS DISTINCT FROM lag(sig) OVER (ORDER BY day) AS changed FROM s")
 def formed_dissolved(t):
     """Signature of each day's members, and whether it differs from the day before."""
-    d = t.events.where("user_id < 40").groupBy(F.col("ts").cast("date").alias("day")).agg(F.array_join(F.transform(F.array_sort(F.collect_set("user_id")), lambda x: x.cast("string")), ",").alias("sig"))
+    d = t.events.groupBy(F.col("ts").cast("date").alias("day")).agg(F.array_join(F.transform(F.array_sort(F.collect_set("user_id")), lambda x: x.cast("string")), ",").alias("sig"))
     before = d.select(F.date_add("day", 1).alias("day"), F.col("sig").alias("was"))
     return d.join(before, "day", "left").select("day", "sig", (~F.col("sig").eqNullSafe(F.col("was"))).alias("changed"))
 
