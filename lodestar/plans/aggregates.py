@@ -70,9 +70,9 @@ def last_nonnull(t):
     return e.groupBy("user_id").agg(F.max_by("v", F.when(F.col("v").isNotNull(), F.col("o"))).alias("value"), F.max_by("k", F.when(F.col("k").isNotNull(), F.col("o"))).alias("kind"))
 
 
-@query("a11_majority", "SELECT p_brand, role, n FROM (SELECT *, sum(n) OVER (PARTITION BY p_brand) AS total FROM (SELECT p_brand, p_size % 3 AS role, count(*) AS n FROM part GROUP BY 1, 2)) WHERE n >= 3 AND 2 * n > total")
+@query("a11_majority", "SELECT p_brand, role, n FROM (SELECT *, sum(n) OVER (PARTITION BY p_brand) AS total FROM (SELECT p_brand, (p_size > 15)::INTEGER AS role, count(*) AS n FROM part GROUP BY 1, 2)) WHERE n >= 3 AND 2 * n > total")
 def majority(t):
-    n = t.part.groupBy("p_brand", (F.col("p_size") % 3).alias("role")).agg(F.count("*").alias("n"))
+    n = t.part.groupBy("p_brand", (F.col("p_size") > 15).cast("int").alias("role")).agg(F.count("*").alias("n"))
     return n.withColumn("total", F.sum("n").over(Window.partitionBy("p_brand"))).where("n >= 3 AND 2 * n > total").drop("total")
 
 

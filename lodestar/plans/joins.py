@@ -218,9 +218,9 @@ def known_only(t):
     return t.lineitem.join(t.part.where("p_size > 40"), F.col("l_partkey") == F.col("p_partkey"), "left_semi").select("l_orderkey", "l_linenumber")
 
 
-@query("j26_not_requested", "SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup')")
+@query("j26_not_requested", "SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 60)")
 def not_requested(t):
-    return t.events.where("event_type = 'click'").select("user_id").distinct().join(t.events.where("event_type = 'signup'"), "user_id", "left_anti")
+    return t.events.where("event_type = 'click'").select("user_id").distinct().join(t.events.where("event_type = 'signup' AND value > 60"), "user_id", "left_anti")
 
 
 @query("j27_relation_rows", f"SELECT 'near:' || s_suppkey || ':' || c_custkey AS id, 'near' AS rel, 's' || s_suppkey AS a, 'c' || c_custkey AS b, round({hav('c_lon', 'c_lat', 's_lon', 's_lat')}, 3) AS km FROM {S} s JOIN {C} c ON {hav('c_lon', 'c_lat', 's_lon', 's_lat')} <= 100")
