@@ -25,12 +25,12 @@ SHINGLE, SIMILAR = 8, 0.8
 SIDE, CLASSES, AGREE = 4, 3, 8
 #: Places of a line worked out side by side.
 STRIDE = 8
-#: Lines of a band that meet the same number in one row.
-BLOCK = 64
+#: Lines of a block, alone and where all blocks of a band meet.
+NEAR, BLOCK = 64, 1024
 #: Draws (not 0) of blocks that meet alone before all blocks of a band meet.
 SEEDS = (7,)
 #: Longs of the bitmap of a line's shingles.
-BITMAP = 16
+BITMAP = 24
 
 
 def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -65,17 +65,26 @@ def minima(lines: DataFrame, keys: list[str], size: int = SHINGLE) -> DataFrame:
 
 
 def bitmaps(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """texts(id, line) with bits, a bitmap of hashes of the line's shingles; null for a line with characters of two units.
+    """id, n (shingles, each once) and b0.., a bitmap of their hashes, for texts(id, line).
 
     Where two bitmaps differ, a shingle is in one line and not in the other, so the bits that differ bound the
     common shingles from above.
     """
-    coded = texts.select("id", F.encode("line", "UTF-16BE").alias("_b"), F.length("line").alias("_l"))
-    coded = coded.where(F.octet_length("_b") == 2 * F.col("_l")).select("id", "_b", F.explode(F.sequence(F.lit(0), F.greatest(F.col("_l") - size, F.lit(0)))).alias("_i"))
-    hashed = coded.select("id", F.xxhash64(F.substring("_b", 2 * F.col("_i") + 1, F.lit(2 * size))).alias("_h"))
-    spot = hashed.select("id", F.pmod(F.shiftright("_h", 8), F.lit(BITMAP)).alias("_w"), F.expr("shiftleft(1L, cast(_h & 63 as int))").alias("_1"))
-    made = spot.groupBy("id").agg(*(F.bit_or(F.when(F.col("_w") == w, F.col("_1")).otherwise(F.lit(0).cast("long"))).alias(f"_{w}") for w in range(BITMAP)))
-    return texts.join(made.select("id", F.array(*(f"_{w}" for w in range(BITMAP))).alias("bits")), "id", "left")
+    sets = texts.select("id", F.inline(F.array(F.struct(shingle_set(F.col("line"), size).alias("_s")))))
+    hashed = sets.select("id", F.size("_s").alias("n"), F.explode("_s").alias("_h"))
+    spot = hashed.select("id", "n", F.pmod(F.shiftright("_h", 8), F.lit(BITMAP)).alias("_w"), F.expr("shiftleft(1L, cast(_h & 63 as int))").alias("_1"))
+    return spot.groupBy("id").agg(F.max("n").alias("n"), *(F.bit_or(F.when(F.col("_w") == w, F.col("_1")).otherwise(F.lit(0).cast("long"))).alias(f"b{w}") for w in range(BITMAP)))
+
+
+def _side(marks: DataFrame, name: str) -> DataFrame:
+    """marks with every column but keys named after one line of a pair."""
+    return marks.select(*(F.col(c).alias(name if c == "id" else f"{name}_{c}" if c in ("n", "part") or c[1:].isdigit() else c) for c in marks.columns))
+
+
+def _possible(similar: float) -> Column:
+    """Whether bitmaps allow lines a and b the similarity: at Jaccard s, of n + m shingles (1 - s) / (1 + s) are in one line alone."""
+    differ = sum((F.bit_count(F.col(f"a_b{w}").bitwiseXOR(F.col(f"b_b{w}"))) for w in range(BITMAP)), F.lit(0))
+    return differ <= F.lit((1 - similar) / (1 + similar)) * (F.col("a_n") + F.col("b_n")) + 1e-9
 
 
 def grid() -> list[list[int]]:
@@ -91,20 +100,16 @@ def bands(sketch: DataFrame, *keep: str) -> DataFrame:
     return sketch.select(*keep, F.explode(made).alias("band"))
 
 
-def _once(df: DataFrame, *columns: Column) -> DataFrame:
-    """df with columns that are worked out once: a filter above can't be pushed below them and repeat them."""
-    return df.select("a", "b", F.inline(F.array(F.struct(*columns))))
-
-
-def _similar(pairs: DataFrame, texts: DataFrame, size: int, similar: float) -> DataFrame:
-    """Pairs(a, b) whose lines reach the similarity."""
-    one = texts.select(F.col("id").alias("a"), F.col("line").alias("la"))
-    two = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
-    joined = pairs.join(one, "a").join(two, "b")
-    sets = _once(joined, shingle_set(F.col("la"), size).alias("sa"), shingle_set(F.col("lb"), size).alias("sb"))
-    near = sets.where(F.least(F.size("sa"), F.size("sb")) >= F.lit(similar) * F.greatest(F.size("sa"), F.size("sb")) - 1e-9)
-    common = _once(near, F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
-    return common.where(F.col("i") >= F.lit(similar) * (F.col("n") - F.col("i")) - 1e-9).select("a", "b")
+def _similar(pairs: DataFrame, texts: DataFrame, size: int, similar: float, scratch: Scratch, tag: str) -> DataFrame:
+    """Pairs(a, b) whose lines reach the similarity. The set of a line is worked out once, for all of its pairs."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = scratch.save(texts.join(used, "id").select("id", shingle_set(F.col("line"), size).alias("s")), f"sets{tag}")
+    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    # Behind inline, the intersection is worked out once: the filter can't be pushed below it.
+    common = joined.select("a", "b", F.inline(F.array(F.struct((F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("i")))))
+    links = scratch.save(common.where(F.col("i") >= F.lit(similar) * (F.col("n") - F.col("i")) - 1e-9).select("a", "b"), f"links{tag}")
+    scratch.drop(f"sets{tag}")
+    return links
 
 
 def _open(shared: DataFrame, part: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
@@ -117,35 +122,22 @@ def _open(shared: DataFrame, part: DataFrame, scratch: Scratch, tag: str) -> Dat
     return out
 
 
-def _rest(rows: DataFrame, texts: DataFrame, size: int, similar: float, seed: int = 0) -> DataFrame:
-    """Links(a, b), a < b, between rows(band, id, members, part) that share a band but no part.
+def _rest(rows: DataFrame, marks: DataFrame, similar: float, seed: int = 0) -> DataFrame:
+    """Pairs(a, b), a < b, between rows(band, id, members, part) that share a band but no part, unless bitmaps rule them out.
 
-    With a seed, lines meet those of their own block alone, drawn by the seed; without, all of the band. Two blocks of a band meet in one row, where the lines' sets are worked out once and compared; no pair that
-    is not a link becomes a row, and a row holds the lines of two blocks at most.
+    With a seed, lines meet those of their own small block alone, drawn by the seed; without, all of the band: every
+    two blocks of it meet under a key of their own, so a hot band is spread over many tasks. Bitmaps are compared in
+    the join's condition, and a pair they rule out becomes no row.
     """
-    chunks = F.ceil(F.col("members") / F.lit(float(BLOCK))).cast("int")
-    dealt = rows.join(texts, "id").withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("chunks")).cast("int"))
-    others = F.array("mine") if seed else F.sequence(F.lit(0), F.col("chunks") - 1)
-    met = dealt.select("band", "id", "part", "mine", "line", "bits", F.explode(others).alias("other"))
-    met = met.groupBy("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).agg(F.collect_list(F.struct("id", "part", "mine", "line", "bits")).alias("g"))
-    sets = met.select("i", "j", F.transform("g", lambda x: F.struct(x["id"].alias("id"), x["part"].alias("part"), x["mine"].alias("mine"), x["bits"].alias("bits"), shingle_set(x["line"], size).alias("s"))).alias("g"))
-    sets = sets.select(F.inline(F.array(F.struct((F.col("i") == F.col("j")).alias("one"), F.col("g")))))
-
-    def alike(x: Column, y: Column) -> Column:
-        n, m = F.size(x["s"]), F.size(y["s"])
-        near = F.least(n, m) >= F.lit(similar) * F.greatest(n, m) - 1e-9
-        apart = (x["part"] != y["part"]) & (F.col("one") | (x["mine"] != y["mine"]))
-        # i >= similar * (n + m - i), solved for i. Bits that differ leave so many common shingles at most.
-        least = F.lit(similar / (1 + similar)) * (n + m) - 1e-9
-        differ = sum((F.bit_count(x["bits"][w].bitwiseXOR(y["bits"][w])) for w in range(BITMAP)), F.lit(0))
-        possible = F.coalesce((n + m - differ) / 2 >= least, F.lit(True))
-        return apart & near & possible & (F.size(F.array_intersect(x["s"], y["s"])) >= least)
-
-    def of(x: Column, i: Column) -> Column:
-        later = F.slice("g", i + 2, F.size("g"))
-        return F.transform(F.filter(later, lambda y: alike(x, y)), lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")))
-
-    return sets.select(F.inline(F.flatten(F.transform("g", of)))).distinct()
+    chunks = F.ceil(F.col("members") / F.lit(float(NEAR if seed else BLOCK))).cast("int")
+    dealt = rows.join(marks, "id").withColumn("_all", chunks).withColumn("_at", F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("_all")).cast("int")).drop("members")
+    later = F.array("_at") if seed else F.sequence(F.col("_at"), F.col("_all") - 1)
+    sooner = F.array("_at") if seed else F.sequence(F.lit(0), F.col("_at"))
+    one = _side(dealt.withColumn("i", F.col("_at")).withColumn("j", F.explode(later)).drop("_at", "_all"), "a")
+    two = _side(dealt.withColumn("j", F.col("_at")).withColumn("i", F.explode(sooner)).drop("_at", "_all"), "b")
+    met = one.join(two.withColumnsRenamed({"band": "_band", "i": "_i", "j": "_j"}), (F.col("band") == F.col("_band")) & (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j"))
+                   & (F.col("a_part") != F.col("b_part")) & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & _possible(similar))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _likely(pairs: DataFrame, sketch: DataFrame, similar: float) -> DataFrame:
@@ -179,18 +171,20 @@ def dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "t
     wanted = lines.where("shares").select("id", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"))
     here = (F.col("doc_id").eqNullSafe(F.col("first_doc"))) & (F.col("line_no") == F.col("first_line"))
     texts = hashed.withColumnRenamed("id", "of").join(wanted, here & (F.col("of") == F.col("id"))).select("id", "line")
-    texts = scratch.save(bitmaps(scratch.save(texts.dropDuplicates(["id"]), "bare"), size), "texts")
-    scratch.drop("bare")
-    links = scratch.save(_similar(stars, texts, size, similar), "links")
-    scratch.drop("sketch", "stars")
+    texts = scratch.save(texts.dropDuplicates(["id"]), "texts")
+    marks = scratch.save(bitmaps(texts, size), "marks")
+    starred = stars.join(_side(marks, "a"), "a").join(_side(marks, "b"), "b").where(_possible(similar)).select("a", "b")
+    links = _similar(scratch.save(starred, "starred"), texts, size, similar, scratch, "")
+    scratch.drop("sketch", "stars", "starred")
     # Where many lines of a band are alike but for the smallest, meeting a few others joins most of them, in work that
     # is linear; then all pairs that are still of different parts meet.
     for seed in (*SEEDS, 0):
         part = scratch.save(connected_components(links, scratch, f"cc{seed}"), f"part{seed}")
         open_ = _open(shared, part, scratch, str(seed))
-        links = links.unionByName(scratch.save(_rest(open_, texts, size, similar, seed), f"more{seed}"))
-        scratch.drop(f"open{seed}")
-    scratch.drop("shared", "texts")
+        maybe = scratch.save(_rest(open_, marks, similar, seed), f"maybe{seed}")
+        links = links.unionByName(_similar(maybe, texts, size, similar, scratch, str(seed)))
+        scratch.drop(f"open{seed}", f"maybe{seed}")
+    scratch.drop("shared", "texts", "marks")
     found = links
     part = scratch.save(connected_components(found, scratch, "last"), "part")
     member = part.select(F.col("node").alias("id"), "component").join(lines.select("id", "first", "check"), "id")
