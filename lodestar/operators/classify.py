@@ -22,9 +22,9 @@ NOT_MDS = (
 SOVIET = ("TU", "AN", "IL", "YAK", "Y", "MI", "KA", "SU", "MIG", "BE")
 # Operators by words of their name, navy name prefixes, ship types, uncrewed types.
 BRANCHES = (
-    (r"\b(AIR FORCE|USAF|RAF|LUFTWAFFE)\b", "Air Force"), (r"\b(NAVY|NAVAIR|NAVAL)\b", "Navy"), (r"\bARMY\b", "Army"), (r"\b(MARINE CORPS|USMC)\b", "Marine Corps"),
-    (r"\bCOAST GUARD\b", "Coast Guard"), (r"\bSPECIAL OPERATIONS\b", "Special Operations"), (r"\b(CUSTOMS|BORDER)\b", "Border / Customs"),
-    (r"\b(GOVERNMENT|ROYAL FLIGHT|AMIRI|ROYAL AIR WING)\b", "Government flight"),
+    ("Air Force", ("AIR FORCE", "USAF", "RAF", "LUFTWAFFE")), ("Navy", ("NAVY", "NAVAIR", "NAVAL")), ("Army", ("ARMY",)), ("Marine Corps", ("MARINE CORPS", "USMC")),
+    ("Coast Guard", ("COAST GUARD",)), ("Special Operations", ("SPECIAL OPERATIONS",)), ("Border / Customs", ("CUSTOMS", "BORDER")),
+    ("Government flight", ("GOVERNMENT", "ROYAL FLIGHT", "AMIRI", "ROYAL AIR WING")),
 )
 NAVY_PREFIXES = ("USS", "USNS", "HMS", "RFA", "HMCS", "TCG", "ORP", "NRP", "ITS", "ESPS", "HDMS", "HNLMS", "HNOMS", "HSWMS", "FGS", "NMS", "BNS", "HS", "SNS", "ROKS")
 SHIP_ROLES = {35: ("warship", "military operations"), 55: ("law_enforcement", "law enforcement")}
@@ -85,8 +85,8 @@ def learned_roles(register: DataFrame, least: int = 3) -> DataFrame:
 
 def organisation(state: Column, reg: Column, operator: Column) -> Column:
     branch = F.lit(None).cast("string")
-    for pattern, name in reversed(BRANCHES):
-        branch = F.when(F.upper(operator).rlike(pattern), F.lit(name)).otherwise(branch)
+    for name, words in reversed(BRANCHES):
+        branch = F.when(F.upper(operator).rlike(rf"\b(?:{'|'.join(words)})\b"), F.lit(name)).otherwise(branch)
     named = F.when(branch.isNotNull(), F.concat_ws(" ", state, branch))
     return F.when(F.upper(reg).startswith("LX-N"), F.lit("NATO")).otherwise(F.coalesce(named, F.concat(state, F.lit(" military"))))
 

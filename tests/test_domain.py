@@ -87,11 +87,13 @@ def test_vessel_risk_caps_and_as_of(spark, fleet):
 
 def test_reports(spark):
     places = spark.createDataFrame([("1", "Sumy", 50.9, 34.8, 250000, "суми"), ("2", "Bucha", 50.5, 30.2, 30000, "буча")], "id string, name string, lat double, lon double, population long, key string")
-    posts = spark.createDataFrame([("a", "3х БпЛА на Сумщині курсом на Суми"), ("b", "2х реактивних повз Бучу"), ("c", "збито/подавлено 40. противник атакував 50 ударними БпЛА. влучання зафіксовано на 7 локаціях. Сумщина"), ("d", "Балістика!"), ("e", "Доброго ранку")], "id string, text string")
+    posts = spark.createDataFrame([("a", "3х БпЛА на Сумщині курсом на Суми"), ("b", "2х реактивних повз Бучу"), ("c", "збито/подавлено 40. противник атакував 50 ударними БпЛА. влучання зафіксовано на 7 локаціях. Сумщина"), ("d", "Балістика!"), ("e", "Доброго ранку"),
+         ("f", "Збито/подавлено 12. Влучання уточнюють. Влучання 3 ракет на 5 локаціях, падіння збитих (уламки) на 9 локаціях"), ("g", "БпЛА курсом на Роменського, вектор на на Бучу")], "id string, text string")
     r = {x["id"]: x for x in reports.parse(posts, places).collect()}
     assert (r["a"]["weapon"], r["a"]["count"], r["a"]["region"], r["a"]["to_place"]) == ("uav", 3, "UA-59", "Sumy")
     assert (r["b"]["weapon"], r["b"]["at_place"]) == ("jet_uav", "Bucha")
     assert (r["c"]["downed"], r["c"]["attacked"], r["c"]["hit_locations"], r["c"]["region"]) == (40, 50, 7, None) and r["c"]["summary"].startswith("overnight attack: 50")
+    assert (r["f"]["downed"], r["f"]["hit_locations"], r["f"]["debris_locations"]) == (12, 5, 9) and r["g"]["to_place"] == "Bucha"
     assert r["d"]["weapon"] == "ballistic" and r["e"]["weapon"] is None and r["e"]["summary"] == "report"
 
 
