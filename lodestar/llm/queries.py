@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding, langid, linededup, mixing, ngramjoin, packing, quality, secrets, tokencount, tokenfiles
+from . import embedding, langid, linededup, mixing, ngramjoin, packing, quality, secrets, tokencount, tokenfiles, trie
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_ngram_join": ngramjoin.op9_ngram_join,
     "op10_language_id": langid.op10_language_id,
+    "op12_prefix_trie": trie.op12_prefix_trie,
 }
-ORACLE = dict(secrets.ORACLE)
+ORACLE = secrets.ORACLE | trie.ORACLE
