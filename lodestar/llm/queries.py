@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding, langid, linededup, mixing, ngramjoin, packing, quality, secrets, tokencount, tokenfiles, trie
+from . import embedding, langid, linededup, mixing, negatives, ngramjoin, packing, quality, secrets, tokencount, tokenfiles, trie
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_ngram_join": ngramjoin.op9_ngram_join,
     "op10_language_id": langid.op10_language_id,
     "op12_prefix_trie": trie.op12_prefix_trie,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
-ORACLE = secrets.ORACLE | trie.ORACLE
+ORACLE = secrets.ORACLE | trie.ORACLE | negatives.ORACLE
