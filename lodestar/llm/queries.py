@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding, langid, linededup, mixing, negatives, ngramjoin, packing, quality, secrets, tokencount, tokenfiles, trie
+from . import chunks, embedding, langid, linededup, mixing, negatives, ngramjoin, packing, quality, secrets, tokencount, tokenfiles, trie
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_ngram_join": ngramjoin.op9_ngram_join,
     "op10_language_id": langid.op10_language_id,
+    "op11_bpe_chunks": chunks.op11_bpe_chunks,
     "op12_prefix_trie": trie.op12_prefix_trie,
     "op13_hard_negatives": negatives.op13_hard_negatives,
 }
