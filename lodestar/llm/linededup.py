@@ -8,7 +8,7 @@ comes first, by document id and place, stays.
 
 Defined results: blank lines always stay and are no part of the result; null and empty texts have no lines; a line
 shorter than a shingle is one shingle; lines equal byte by byte are one line, so of equal lines the first stays;
-a row repeated with its document id is judged like the first; an empty table gives an empty result; other columns
+a row repeated with its document id and text is judged like the first, and other texts of that id by themselves; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -34,8 +34,8 @@ BITMAP = 24
 
 
 def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, line_no (from 0) and line of each line that is not blank."""
-    lines = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "line"))
+    """doc_id, text_id (a hash of the whole text), line_no (from 0) and line of each line that is not blank."""
+    lines = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "line"))
     return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
@@ -154,7 +154,7 @@ def _likely(pairs: DataFrame, sketch: DataFrame, similar: float) -> DataFrame:
 
 
 def dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", size: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, line_no, keep_doc, keep_line (the line of its component that stays) and kept, for each line not blank."""
+    """doc_id, text_id, line_no, keep_doc, keep_line (the line of its component that stays) and kept, for each line not blank."""
     docs = docs.select(F.col(key), F.col(text))
     hashed = exploded(docs, key, text).withColumn("id", F.xxhash64("line"))
     sketch = scratch.save(minima(hashed.select("id", "line"), ["id"], size), "sketch")
@@ -164,12 +164,12 @@ def dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "t
     scratch.drop("heads")
     stars = scratch.save(_likely(shared.where("id <> a").select("a", F.col("id").alias("b")).distinct(), sketch, similar), "stars")
     # Where each line stands first; rows without a document id come last.
-    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "line_no")
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_id", "line_no")
     counted = hashed.select("id", F.xxhash64(F.lit(5), "line").alias("check"), place.alias("place")).groupBy("id").agg(F.min("place").alias("first"), F.min("check").alias("check"), F.count("*").alias("times"))
     lines = scratch.save(counted.join(shared.select("id").distinct().withColumn("shares", F.lit(True)), "id", "left").where("times > 1 or shares"), "lines")
     # The text of every line that shares a band comes from its first copy: no line is common there.
-    wanted = lines.where("shares").select("id", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"))
-    here = (F.col("doc_id").eqNullSafe(F.col("first_doc"))) & (F.col("line_no") == F.col("first_line"))
+    wanted = lines.where("shares").select("id", F.col("first.doc_id").alias("first_doc"), F.col("first.text_id").alias("first_text"), F.col("first.line_no").alias("first_line"))
+    here = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_id") == F.col("first_text")) & (F.col("line_no") == F.col("first_line"))
     texts = hashed.withColumnRenamed("id", "of").join(wanted, here & (F.col("of") == F.col("id"))).select("id", "line")
     texts = scratch.save(texts.dropDuplicates(["id"]), "texts")
     marks = scratch.save(bitmaps(texts, size), "marks")
@@ -194,27 +194,33 @@ def dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "t
     alone = lines.where("times > 1").select("id", "check", F.col("first").alias("keep")).join(member, "id", "left_anti")
     keepers = scratch.save(fuzzy.unionByName(alone), "keepers")
     # Both sides are read anew, so adaptive execution may split the copies of one very common line.
-    places = exploded(docs, key, text).select("doc_id", "line_no", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(5), "line").alias("check"))
+    places = exploded(docs, key, text).select("doc_id", "text_id", "line_no", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(5), "line").alias("check"))
     judged = places.join(keepers.withColumnRenamed("check", "right"), "id", "left")
     right = F.col("keep").isNotNull() & (F.col("check") == F.col("right"))  # a line that only shares a hash stays
     return judged.select(
-        "doc_id", "line_no",
+        "doc_id", "text_id", "line_no",
         F.when(right, F.col("keep.doc_id")).otherwise(F.col("doc_id")).alias("keep_doc"),
         F.when(right, F.col("keep.line_no")).otherwise(F.col("line_no")).alias("keep_line"),
-        (~right | (F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep.line_no") == F.col("line_no")))).alias("kept"),
+        (~right | (F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep.text_id") == F.col("text_id")) & (F.col("keep.line_no") == F.col("line_no")))).alias("kept"),
     )
 
 
 def rewrite(docs: DataFrame, judged: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the lines that go. A document that had words and loses every line goes with them.
 
-    Rows without a key and null texts stay as they are; an empty table stays empty; n_chars, if there, follows the text.
+    Lines go by document id and text, so other texts of the same id keep theirs. Rows without a key and null texts stay
+    as they are; an empty table stays empty; n_chars, if there, follows the text.
     """
-    gone_, text_ = free(docs, "gone"), free(docs, "text")
-    gone = scratch.save(judged.where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias(gone_)).withColumnRenamed("doc_id", key), "gone")
-    joined = docs.join(gone, key, "left")
+    gone_, text_, of = free(docs, "gone"), free(docs, "text"), free(docs, "of")
+    gone = judged.where("not kept").groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_set("line_no")).alias(gone_))
+    gone = scratch.save(gone.withColumnsRenamed({"doc_id": key, "text_id": of}), "gone")
+    joined = docs.withColumn(of, F.xxhash64(F.col(text))).join(gone, [key, of], "left")
     none = F.col(gone_).isNull()
-    rest = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains(gone_, i))
+    # The runs of lines between those that go, each copied once.
+    every = F.split(F.col(text), "\n", -1)
+    starts = F.concat(F.array(F.lit(0)), F.transform(gone_, lambda i: i + 1))
+    stops = F.concat(F.col(gone_), F.array(F.size(every)))
+    rest = F.flatten(F.zip_with(starts, stops, lambda a, b: F.slice(every, a + 1, b - a)))
     out = joined.withColumn(text_, F.when(none, F.col(text)).otherwise(F.array_join(rest, "\n")))
     out = out.where(none | F.col(text_).rlike(r"[^\x20\x09-\x0D]"))
     counted = lambda c: F.when(none, F.col(c)).otherwise(F.length(text_)).cast(dict(docs.dtypes)[c]).alias(c)
