@@ -27,13 +27,17 @@ UNKNOWN = "und"
 #: Training documents expected of each language, the longest n-gram, and words a worker remembers.
 PER_LANGUAGE, LONGEST, REMEMBER = 500, 4, 60_000
 _WORD = re.compile(r"[^\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
 
 
-def _hash(key: str) -> np.uint64:
+def has_letter(text: str) -> bool:
+    """Numerals that are no digits, like fractions and Roman ones, are no letters."""
+    return any(any(map(str.isalpha, m[0])) for m in _WORD.finditer(text))
+
+
+def _hashes(keys: list[str]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    return np.uint64(xxh64_intdigest(key.encode("utf-8", "surrogatepass")))
+    return np.array([xxh64_intdigest(k.encode("utf-8", "surrogatepass")) for k in keys], np.uint64)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -58,15 +62,18 @@ class Table:
 
     def __init__(self, counts: dict[str, list[int]], k: int):
         m = np.array(list(counts.values()), np.float64).reshape(len(counts), k)
-        keys = np.fromiter(map(_hash, counts), np.uint64, len(counts))
+        keys = _hashes(list(counts))
         order = np.argsort(keys)
         self.keys = keys[order]
         self.log = np.log((m + 0.5) / (m.sum(0) + 0.5 * len(m) + 1)).astype(np.float32)[order]
 
-    def get(self, key: str) -> np.ndarray | None:
-        h = _hash(key)
-        i = int(self.keys.searchsorted(h))
-        return self.log[i] if i < len(self.keys) and self.keys[i] == h else None
+    def find(self, keys: list[str]) -> np.ndarray:
+        """Rows of keys, -1 for those not known."""
+        h = _hashes(keys)
+        if not len(self.keys) or not len(h):
+            return np.full(len(h), -1)
+        i = np.minimum(self.keys.searchsorted(h), len(self.keys) - 1)
+        return np.where(self.keys[i] == h, i, -1)
 
 
 class Model:
@@ -92,45 +99,56 @@ class Model:
         self.grams = [Table(t, k) for t in grams]
         self.longest = longest
 
-    def word(self, word: str) -> np.ndarray:
-        if (v := self.words.get(word)) is not None:
-            return v
-        out, i, padded = np.zeros(len(self.langs), np.float32), 0, f" {word} "
-        while i < len(padded):
-            for size in range(min(self.longest, len(padded) - i), 0, -1):
-                if (v := self.grams[size].get(padded[i : i + size])) is not None:
-                    out = out + v
-                    i += size
-                    break
-            else:
-                i += 1
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word; words not seen in training go by n-grams, looked up for all at once."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        at = self.words.find(words)
+        out[at >= 0] = self.words.log[at[at >= 0]]
+        rest = np.flatnonzero(at < 0).tolist()
+        padded = [f" {words[i]} " for i in rest]
+        starts = np.cumsum([0, *map(len, padded)]).tolist()
+        known = []
+        for size in range(1, self.longest + 1):
+            # An n-gram that would pass its word's end is the empty text, which no table knows.
+            known.append(self.grams[size].find([p[i : i + size] if i + size <= len(p) else "" for p in padded for i in range(len(p))]).tolist())
+        for i, first, end in zip(rest, starts, starts[1:]):
+            while first < end:
+                for size in range(self.longest, 0, -1):
+                    if (g := known[size - 1][first]) >= 0:
+                        out[i] += self.grams[size].log[g]
+                        first += size
+                        break
+                else:
+                    first += 1
         return out
 
     def predictor(self, remember: int = REMEMBER):
+        """A function from texts to pairs of language and score."""
         memo: dict[str, int] = {}
-        rows = np.zeros((1024, max(1, len(self.langs))), np.float32)
+        rows = np.zeros((0, max(1, len(self.langs))), np.float32)
 
-        def predict(text: str | None) -> tuple[str, float]:
+        def predict(texts: list[str | None]) -> list[tuple[str, float]]:
             nonlocal rows
-            if not self.langs or not text or not _LETTER.search(text):
-                return UNKNOWN, 0.0
-            total, hit = np.zeros(len(self.langs)), []
-            for w in _WORD.findall(text.lower()):
-                i = memo.get(w)
-                if i is None:
-                    v = self.word(w)
-                    if len(memo) >= remember:
-                        total += v
-                        continue
-                    i = memo[w] = len(memo)
-                    if i == len(rows):
-                        rows = np.concatenate([rows, np.zeros_like(rows)])
-                    rows[i] = v
-                hit.append(i)
-            if hit:
-                total = total + rows[np.array(hit)].sum(0, dtype=np.float64)
-            best = int(total.argmax())
-            return self.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
+            words = [_WORD.findall(t.lower()) if self.langs and t and has_letter(t) else None for t in texts]
+            fresh = list(dict.fromkeys(w for ws in words if ws for w in ws if w not in memo))
+            base = len(memo)
+            for i, w in enumerate(fresh):
+                memo[w] = base + i
+            if fresh:
+                rows = np.concatenate([rows, self.vectors(fresh)])
+            out = []
+            for ws in words:
+                if ws is None:
+                    out.append((UNKNOWN, 0.0))
+                    continue
+                total = rows[np.array([memo[w] for w in ws], np.int64)].sum(0, dtype=np.float64)
+                best = int(total.argmax())
+                out.append((self.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())))
+            # Words met first, which hold the frequent ones, stay.
+            for w in fresh[max(0, remember - base) :]:
+                del memo[w]
+            rows = rows[: len(memo)]
+            return out
 
         return predict
 
@@ -160,7 +178,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = shared.value.predictor()
         for b in batches:
-            found = [predict(t) for t in b.column(at).to_pylist()]
+            found = predict(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*b.schema.names, "lang", "score"])
 
