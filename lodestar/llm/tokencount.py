@@ -16,8 +16,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import quoted, text_batches
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -130,16 +131,17 @@ class Counter:
 def count_tokens(docs: DataFrame, text: str = "text", out: str = "n_tokens", file: str = VOCABULARY, directory: str | None = None) -> DataFrame:
     """All columns of docs with the number of pieces of each whole text."""
     text_batches(docs.sparkSession)
-    docs = docs.drop(*(c for c in docs.columns if c == out and c != text))
-    at = docs.columns.index(text)
+    columns = [c for c in docs.columns if c.lower() != out.lower() or c == text]
+    docs = docs.select(*(F.col(quoted(c)) for c in columns)).toDF(*(f"c{i}" for i in range(len(columns))))  # mapInArrow can't take every name
+    at = columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(read_vocabulary(file, directory))
         for b in batches:
             n = pa.array(map(counter.text, b.column(at).to_pylist()), pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, n], names=[*b.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*b.columns, n], names=[*b.schema.names, "n"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes) + f", {out} long")
+    return docs.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in docs.dtypes) + ", n long").toDF(*columns, out)
 
 
 def op2_token_count(spark, sf_dir: str) -> DataFrame:
