@@ -121,15 +121,19 @@ def busiest_window(t):
 
 @query("a17_upper_median", "SELECT event_type, list_sort(list(value))[len(list(value)) // 2 + 1] AS p50 FROM events GROUP BY event_type")
 def upper_median(t):
-    """Quantiles with a rank error of n / 10,000 fence the median in; only values between the fences are ranked, by their counts."""
-    e = t.events.select("event_type", "value")
-    fence = e.groupBy("event_type").agg(F.percentile_approx("value", [0.4995, 0.5005], 10_000).alias("f"), F.count("*").alias("n"))
-    near = e.join(fence, "event_type").where(F.col("value") <= F.col("f")[1])
-    inside = F.when(F.col("value") >= F.col("f")[0], F.col("value"))  # null stands for all that lies below
-    counts = near.groupBy("event_type", inside.alias("value")).agg(F.count("*").alias("c"), F.max("n").alias("n"))
-    upto = F.sum("c").over(Window.partitionBy("event_type").orderBy(F.asc_nulls_first("value")))
-    ranked = counts.withColumn("upto", upto).where("value IS NOT NULL AND upto > floor(n / 2)")
-    return ranked.groupBy("event_type").agg(F.min("value").alias("p50"))
+    """Quantiles with a rank error of n / 10,000 fence the median in; only values between the fences are ranked, by their counts.
+
+    Nulls come last, as infinity; where they hold the middle, the median is null.
+    """
+    high = float("inf")
+    e = t.events.select("event_type", F.coalesce("value", F.lit(high)).alias("v"), F.col("value").isNull().alias("none"))
+    fence = e.groupBy("event_type").agg(F.percentile_approx("v", [0.4995, 0.5005], 10_000).alias("f"), F.count("*").alias("n"), F.count_if("none").alias("z"))
+    near = e.join(fence, "event_type").where(F.col("v") <= F.col("f")[1])
+    inside = F.when(F.col("v") >= F.col("f")[0], F.col("v"))  # null stands for all that lies below
+    counts = near.groupBy("event_type", inside.alias("v")).agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("z").alias("z"))
+    upto = F.sum("c").over(Window.partitionBy("event_type").orderBy(F.asc_nulls_first("v")))
+    ranked = counts.withColumn("upto", upto).where("v IS NOT NULL AND upto > floor(n / 2)")
+    return ranked.groupBy("event_type").agg(F.min(F.struct("v", (F.floor(F.col("n") / 2) >= F.col("n") - F.col("z")).alias("none"))).alias("x")).select("event_type", F.when(~F.col("x.none"), F.col("x.v")).alias("p50"))
 
 
 @query("a18_counts", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, 1")
