@@ -136,6 +136,17 @@ def network(edges: DataFrame, vessel: DataFrame, hops: int, day=None) -> DataFra
     return graph.expand(edges if day is None else graph.as_of(edges, day), vessel, max(1, min(3, hops)))
 
 
+def cluster(edges: DataFrame, listed: DataFrame, hops: int = 2, day=None) -> DataFrame:
+    """(node, depth, seeds): nodes within so many hops of any listed one, and how many of those they are near."""
+    met = graph.expand(edges if day is None else graph.as_of(edges, day), listed, hops)
+    return met.groupBy("node").agg(F.min("depth").alias("depth"), F.countDistinct("seed").alias("seeds"))
+
+
+def changes(edges: DataFrame, since, until) -> DataFrame:
+    """Links (a, b) that the version of one day has and that of another day lacks."""
+    return graph.diff(graph.as_of(edges, since), graph.as_of(edges, until), ["a", "b"])
+
+
 def commit_change(edges: DataFrame, path: str, day: str) -> None:
     """One day's change as a whole: it is written aside and moved into place only once complete."""
     spark = edges.sparkSession

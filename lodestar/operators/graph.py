@@ -1,28 +1,34 @@
-"""Versioned property graph: edges with the day they hold from, expansion, clusters, differences, communities."""
+"""Versioned property graph: edges with the day they hold from, expansion, clusters, differences, lasting names of groups."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.scratch import Rounds
+
 
 def as_of(edges: DataFrame, day) -> DataFrame:
     """Edges of the latest version at or before a day."""
     return edges.where(F.col("day") <= day)
 
 
-def expand(edges: DataFrame, seeds: DataFrame, hops: int, node: str = "node") -> DataFrame:
+def expand(edges: DataFrame, seeds: DataFrame, hops: int, node: str = "node", rounds: Rounds | None = None) -> DataFrame:
     """(seed, node, depth): nodes within so many hops of each seed, at their least depth. edges: a, b, either way round.
 
-    The frontier of a hop holds only nodes not met before, so work follows the neighbourhood and not the graph.
+    The frontier of a hop holds only nodes not met before, so work follows the neighbourhood and not the graph. Links and
+    every frontier are written once: a hop is one join and one anti join of what lies there.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = seeds.select(F.col(node).alias("seed"), F.col(node).alias("node"), F.lit(0).alias("depth"))
-    front = seen
+    rounds = rounds or Rounds(edges.sparkSession)
+    both = rounds.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a IS NOT NULL AND b IS NOT NULL").distinct(), "links")
+    front = rounds.keep(seeds.where(F.col(node).isNotNull()).select(F.col(node).alias("seed"), F.col(node).alias("node"), F.lit(0).alias("depth")).distinct(), "front0")
+    seen = front
     for depth in range(1, hops + 1):
         step = front.join(both, F.col("node") == F.col("a")).select("seed", F.col("b").alias("node")).distinct()
-        front = step.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        front = rounds.keep(step.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)), f"front{depth}")
         seen = seen.unionByName(front)
+        if depth < hops and front.isEmpty():
+            break
     return seen
 
 
@@ -32,42 +38,31 @@ def diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return added.unionByName(old.select(*keys).distinct().join(new, keys, "left_anti").withColumn("change", F.lit("removed")))
 
 
-def communities(edges: DataFrame, rounds: int = 6) -> DataFrame:
-    """(node, community) by weighted label propagation: each round a node takes the label of most weight around it.
-
-    Ties go to the smaller label; a node keeps its own label in the vote, which stops two-sided swaps. Every round
-    aggregates weights by (node, label) with map-side combine, so a node of very many edges stays cheap.
-    """
-    both = edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    own = both.groupBy("a").agg(F.max("weight").alias("weight"))
-    labels = own.select(F.col("a").alias("node"), F.col("a").alias("community"))
-    for _ in range(rounds):
-        around = both.join(labels, F.col("b") == F.col("node")).select("a", "community", "weight")
-        mine = own.join(labels, F.col("a") == F.col("node")).select("a", "community", "weight")
-        votes = around.unionByName(mine).groupBy("a", "community").agg(F.sum("weight").alias("w"))
-        labels = votes.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("w", (-F.col("community")).alias("c"))).alias("x")).select("node", (-F.col("x.c")).alias("community"))
-        labels = labels.checkpoint() if labels.sparkSession.sparkContext.getCheckpointDir() else labels
-    return labels
-
-
-def stable_ids(new: DataFrame, old: DataFrame, least: float = 0.5) -> DataFrame:
+def stable_ids(new: DataFrame, old: DataFrame, least: float = 0.5, rounds: Rounds | None = None) -> DataFrame:
     """(group, id): each new group takes the id of the old group it resembles most by Jaccard, largest group first.
 
-    new(group, member), old(id, member). The few overlapping pairs are settled greedily in one task, as an id may be
-    taken once; groups without a partner keep null.
+    new(group, member), old(id, member). Groups ask for the id they like best, ids hold on to the largest group that asks
+    (of equal ones the first in order), and a group that was turned down asks for the next: all at once, round by round,
+    until nobody is turned down. As all ids prefer the same groups, that is the result of settling groups one by one.
+    Groups without a partner keep null.
     """
-    n = new.groupBy("group").agg(F.count("*").alias("n"))
+    rounds = rounds or Rounds(new.sparkSession)
+    new, old = new.distinct(), old.distinct()
+    n = rounds.keep(new.groupBy("group").agg(F.count("*").alias("n")), "sizes")
     o = old.groupBy("id").agg(F.count("*").alias("m"))
     both = new.join(old, "member").groupBy("group", "id").agg(F.count("*").alias("i")).join(n, "group").join(o, "id")
-    pairs = both.withColumn("j", F.col("i") / (F.col("n") + F.col("m") - F.col("i"))).where(F.col("j") >= least)
-    listed = pairs.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "group", (-F.col("j")).alias("j"), "id"))).alias("x"))
-    kind = f"struct<g:array<{dict(new.dtypes)['group']}>,i:array<{dict(old.dtypes)['id']}>>"
-    empty = F.lit(None).cast(kind)
-    have = lambda acc, f: F.coalesce(acc[f], F.array())
-    taken = F.aggregate("x", empty, lambda acc, p: F.when(F.array_contains(have(acc, "g"), p["group"]) | F.array_contains(have(acc, "i"), p["id"]), acc).otherwise(
-        F.struct(F.concat(have(acc, "g"), F.array(p["group"])).alias("g"), F.concat(have(acc, "i"), F.array(p["id"])).alias("i"))))
-    won = listed.select(F.explode(F.arrays_zip(taken["g"].alias("g"), taken["i"].alias("i"))).alias("z")).select(F.col("z.g").alias("group"), F.col("z.i").alias("id"))
-    return n.select("group").join(won, "group", "left")
+    pairs = both.withColumn("j", F.col("i") / (F.col("n") + F.col("m") - F.col("i"))).where(F.col("j") >= least).select("group", "id", "n", "j")
+    pairs, turn = rounds.keep(pairs, "pairs0"), 0
+    while True:
+        asked = pairs.groupBy("group", "n").agg(F.min_by("id", F.struct(-F.col("j"), "id")).alias("id"))
+        asked = rounds.keep(asked, f"asked{turn}")
+        held = asked.groupBy("id").agg(F.min_by("group", F.struct(-F.col("n"), "group")).alias("group"))
+        refused = rounds.keep(asked.join(held, ["id", "group"], "left_anti").select("group", "id"), f"refused{turn}")
+        if refused.isEmpty():
+            break
+        turn += 1
+        pairs = rounds.keep(pairs.join(refused, ["group", "id"], "left_anti"), f"pairs{turn}")
+    return n.select("group").join(asked.select("group", "id"), "group", "left")
 
 
 def mission(roles: Column, rules: list[tuple[str, tuple[str, ...], str]], default: str) -> Column:
