@@ -97,6 +97,23 @@ def test_reports(spark):
     assert r["d"]["weapon"] == "ballistic" and r["e"]["weapon"] is None and r["e"]["summary"] == "report"
 
 
+def test_names_in_reports(spark):
+    """Prefixes, bare names, headers, small places, names set apart, and launch areas of a tally."""
+    rows = [("1", "Sumy", 250000, "суми"), ("2", "Bucha", 30000, "буча"), ("3", "Kursk", 400000, "курськ"), ("4", "Hvardiiske", 12000, "гвардійське"), ("5", "Mala", 50, "мала"), ("6", "Kharkiv", 1400000, "харків"), ("7", "Kyiv", 2900000, "київ"), ("8", "Post", 700, "постове"), ("9", "Bila Hora", 5000, "біла гора")]
+    places = spark.createDataFrame([(i, n, 50.0, 30.0, p, k) for i, n, p, k in rows], "id string, name string, lat double, lon double, population long, key string")
+    posts = [
+        ("bare", "1х реактив Буча"), ("plain", "2x Буча"), ("prefix", "БпЛА курсом на н.п. Буча"), ("town", "шахед повз м. Суми"), ("small", "курс на Мала, курс на Бучу"), ("never", "БпЛА на Київ, далі на Суми"),
+        ("header", "Харків: 3х шахеди"), ("capital", "Київ: увага"), ("two", "вектор на Біла Гора"), ("late", "На Постове курс"), ("none", None), ("empty", ""),
+        ("night", "У ніч противник атакував 135 ударними БпЛА із напрямків: Курськ, ТОТ АР Крим – Гвардійське та «Постове»; Ніде і Суми – рф. збито/подавлено 125"),
+        ("launch", "із напрямку: Курськ"),
+    ]
+    r = {x["id"]: x for x in reports.parse(spark.createDataFrame(posts, "id string, text string"), places).collect()}
+    assert [(k, r[k]["at_place"]) for k in ("bare", "plain", "town", "header")] == [("bare", "Bucha"), ("plain", "Bucha"), ("town", "Sumy"), ("header", "Kharkiv")]
+    assert [(k, r[k]["to_place"]) for k in ("prefix", "small", "never", "two", "late")] == [("prefix", "Bucha"), ("small", "Bucha"), ("never", "Sumy"), ("two", "Bila Hora"), ("late", "Post")]
+    assert (r["capital"]["region"], r["capital"]["at_place"]) == ("UA-30", None) and r["none"]["summary"] == r["empty"]["summary"] == "report"
+    assert (r["night"]["attacked"], r["night"]["downed"], r["night"]["launch_areas"]) == (135, 125, ["Kursk", "Hvardiiske"]) and r["launch"]["launch_areas"] == []
+
+
 def test_threat_axes(spark):
     base = dict(kind="aircraft", state_code="ru", role="strike", uav=False, military=True, dist_km=120.0, front_km=40.0, occupied=False, off_deg=10.0, spd=400.0, squawk="7700", callsign="X", nac_p=10, ground=False, gnss_level="high", net_mission=None, on_station=None, rerouted=True)
     schema = "kind string, state_code string, role string, uav boolean, military boolean, dist_km double, front_km double, occupied boolean, off_deg double, spd double, squawk string, callsign string, nac_p int, ground boolean, gnss_level string, net_mission string, on_station boolean, rerouted boolean"
