@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.functions import geo
+from lodestar.functions import rings
+from lodestar.operators import regions
 from lodestar.operators import tracks
 from lodestar.plans.joins import C, S, customers, hav, suppliers
 from lodestar.registry import query
@@ -89,3 +91,53 @@ def circles(t):
     return ring.agg(F.count("*").alias("points"), F.round(F.max(geo.haversine(36.5, 45.3, F.col("p.lon"), F.col("p.lat"))), 3).alias("far"))
 
 
+
+
+#: Customers as diamonds: their middle and half their width.
+_DIAMOND = """d AS (SELECT c_custkey AS id, (c_custkey * 37 % 1009)::DOUBLE / 8 AS x, (c_custkey * 91 % 757)::DOUBLE / 8 AS y, 0.4 + (c_custkey * 13 % 101)::DOUBLE / 64 AS r FROM customer),
+g AS (SELECT *, [{'x': x + r, 'y': y}, {'x': x, 'y': y + r}, {'x': x - r, 'y': y}, {'x': x, 'y': y - r}] AS ring FROM d)"""
+
+
+def diamonds(t):
+    key = F.col("c_custkey")
+    d = t.customer.select(key.alias("id"), ((key * 37 % 1009) / 8.0).alias("x"), ((key * 91 % 757) / 8.0).alias("y"), (0.4 + (key * 13 % 101) / 64.0).alias("r"))
+    x, y, r = F.col("x"), F.col("y"), F.col("r")
+    return d.select("id", F.array(rings.point(x + r, y), rings.point(x, y + r), rings.point(x - r, y), rings.point(x, y - r)).alias("ring"))
+
+
+def _far(p: str, a: str, b: str) -> str:
+    """Square of the distance from a point to an edge, in SQL."""
+    t = f"greatest(0, least(1, (({p}.x - {a}.x) * ({b}.x - {a}.x) + ({p}.y - {a}.y) * ({b}.y - {a}.y)) / (pow({b}.x - {a}.x, 2) + pow({b}.y - {a}.y, 2))))"
+    return f"(pow({p}.x - {a}.x - {t} * ({b}.x - {a}.x), 2) + pow({p}.y - {a}.y - {t} * ({b}.y - {a}.y), 2))"
+
+
+def _left(o: str, p: str, q: str) -> str:
+    return f"(({p}.x - {o}.x) * ({q}.y - {o}.y) - ({p}.y - {o}.y) * ({q}.x - {o}.x))"
+
+
+@query("j21_adjacent_regions", f"""WITH {_DIAMOND}, e AS (SELECT id, ring[i] AS a, ring[i % 4 + 1] AS b FROM g, range(1, 5) AS s(i)),
+p AS (SELECT m.id AS a, n.id AS b, abs(m.x + m.r - n.x) + abs(m.y - n.y) < n.r OR abs(n.x + n.r - m.x) + abs(n.y - m.y) < m.r AS held FROM g m JOIN g n ON m.id < n.id AND abs(m.x - n.x) <= m.r + n.r + 0.05 AND abs(m.y - n.y) <= m.r + n.r + 0.05)
+SELECT DISTINCT p.a, p.b FROM p JOIN e m ON m.id = p.a JOIN e n ON n.id = p.b WHERE p.held OR ({_left('m.a', 'm.b', 'n.a')} * {_left('m.a', 'm.b', 'n.b')} < 0 AND {_left('n.a', 'n.b', 'm.a')} * {_left('n.a', 'n.b', 'm.b')} < 0)
+OR least({_far('m.a', 'n.a', 'n.b')}, {_far('m.b', 'n.a', 'n.b')}, {_far('n.a', 'm.a', 'm.b')}, {_far('n.b', 'm.a', 'm.b')}) <= 0.05 * 0.05""")
+def adjacent_regions(t):
+    """Which customers' diamonds lie within 0.05 of one another."""
+    return regions.adjacent(diamonds(t), 0.05, 1.0)
+
+
+@query("s29_clipped_regions", f"""WITH RECURSIVE {_DIAMOND}, c AS (SELECT id, 0 AS k, ring FROM g
+UNION ALL SELECT id, k + 1, flatten(list_transform(range(1, len(ring) + 1), lambda i: list_concat(
+  CASE WHEN s[i] >= 0 THEN [ring[i]] ELSE [] END,
+  CASE WHEN s[i] * s[i % len(ring) + 1] < 0 THEN [{{'x': ring[i].x + s[i] / (s[i] - s[i % len(ring) + 1]) * (ring[i % len(ring) + 1].x - ring[i].x), 'y': ring[i].y + s[i] / (s[i] - s[i % len(ring) + 1]) * (ring[i % len(ring) + 1].y - ring[i].y)}}] ELSE [] END)))
+FROM (SELECT *, list_transform(ring, lambda p: CASE k WHEN 0 THEN p.x - 20 WHEN 1 THEN 90 - p.x WHEN 2 THEN p.y - 15 ELSE 70 - p.y END) AS s FROM c WHERE k < 4 AND len(ring) > 0))
+SELECT id, len(ring)::INTEGER AS corners, round(abs(list_sum(list_transform(range(1, len(ring) + 1), lambda i: (ring[i].x - ring[1].x) * (ring[i % len(ring) + 1].y - ring[1].y) - (ring[i % len(ring) + 1].x - ring[1].x) * (ring[i].y - ring[1].y)))) / 2, 6) AS area FROM c WHERE k = 4 AND len(ring) > 2""")
+def clipped_regions(t):
+    """What a box has of each customer's diamond."""
+    x = diamonds(t).select("id", F.inline(F.array(F.struct(rings.clip_box(F.col("ring"), 20, 15, 90, 70).alias("ring"))))).where(F.size("ring") > 2)
+    return x.select("id", F.size("ring").alias("corners"), F.round(F.abs(rings.signed_area(F.col("ring"))), 6).alias("area"))
+
+
+@query("g11_reach_of_sea", None)
+def reach_of_sea(t):
+    """What a disk around every supplier has of the diamonds, as rings with fewer points."""
+    places = t.supplier.select(F.col("s_suppkey").alias("place"), (F.col("s_suppkey") * 59 % 1009 / 8.0).alias("lon"), (F.col("s_suppkey") * 23 % 757 / 16.0).alias("lat"), F.lit(80.0).alias("km"))
+    return regions.reach(places, diamonds(t).withColumnRenamed("id", "part"), 0.01).select("place", "part", F.size("ring").alias("corners"), F.round("km2", 3).alias("km2"))
