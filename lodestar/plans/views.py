@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodestar.operators import anchoring
 from lodestar.functions import geo, timeops
 from lodestar.operators.joins import top_n
 from lodestar.plans.joins import PLACES, hav
@@ -244,3 +245,17 @@ def iso_format(t):
 def normalised_prior(t):
     n = t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     return n.select("user_id", "event_type", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("user_id")), 8).alias("share"))
+
+
+_NAMES = r"""tok AS (SELECT doc_id, generate_subscripts(t, 1) - 1 AS pos, t FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}][\p{L}\p{M}0-9''’]*(?:-[\p{L}][\p{L}\p{M}0-9''’]*)*') AS t FROM documents)),
+src AS (SELECT item_id, list_transform(regexp_extract_all(lower(text), '[\p{L}][\p{L}\p{M}0-9''’]*(?:-[\p{L}][\p{L}\p{M}0-9''’]*)*'), lambda x: x) AS t FROM benchmark),
+nm AS (SELECT words, n, min(item_id) AS place FROM (SELECT item_id, n, array_to_string(t[1:n], ' ') AS words FROM src, (VALUES (2), (4)) AS k(n) WHERE len(t) >= n) GROUP BY ALL)"""
+
+
+@query("t09_first_place", f"""WITH {_NAMES}, hit AS (SELECT doc_id, pos, max(n) AS n, arg_max(place, n) AS place FROM tok JOIN (VALUES (2), (4)) AS k(size) ON pos + size <= len(t) JOIN nm ON nm.n = k.size AND nm.words = lower(array_to_string(t[pos + 1:pos + size], ' ')) GROUP BY doc_id, pos)
+SELECT doc_id, min(pos)::INTEGER AS "at", arg_min(n, pos)::INTEGER AS n, arg_min(place, pos) AS place FROM hit GROUP BY doc_id""")
+def first_place(t):
+    """The first passage of the benchmark that a document names, by its first two words or, if they go on so, four."""
+    words = anchoring.tokens(F.lower("text"))
+    named = t.benchmark.select("item_id", words.alias("t")).select(F.col("item_id").alias("place"), F.explode(F.array(*(F.when(F.size("t") >= n, F.array_join(F.slice("t", 1, n), " ")) for n in (2, 4)))).alias("name")).where("name IS NOT NULL")
+    return anchoring.first_place(t.documents.select("doc_id", "text"), anchoring.names(named), key="doc_id")
