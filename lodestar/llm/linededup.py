@@ -26,11 +26,11 @@ SIDE, CLASSES, AGREE = 4, 3, 8
 #: Places of a line worked out side by side.
 STRIDE = 8
 #: Lines of a block, alone and where all blocks of a band meet.
-NEAR, BLOCK = 64, 1024
+NEAR, BLOCK = 16, 1024
 #: Draws (not 0) of blocks that meet alone before all blocks of a band meet.
 SEEDS = (7,)
-#: Longs of the bitmap of a line's shingles.
-BITMAP = 24
+#: Longs of the two bitmaps of a line's shingles: the short one is compared first, the long one where that allows a pair.
+BITMAP, WIDE = 24, 64
 
 
 def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -65,26 +65,31 @@ def minima(lines: DataFrame, keys: list[str], size: int = SHINGLE) -> DataFrame:
 
 
 def bitmaps(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """id, n (shingles, each once) and b0.., a bitmap of their hashes, for texts(id, line).
+    """id, n (shingles, each once) and two bitmaps of their hashes, b0.. and wide (a list of longs), for texts(id, line).
 
     Where two bitmaps differ, a shingle is in one line and not in the other, so the bits that differ bound the
     common shingles from above.
     """
     sets = texts.select("id", F.inline(F.array(F.struct(shingle_set(F.col("line"), size).alias("_s")))))
     hashed = sets.select("id", F.size("_s").alias("n"), F.explode("_s").alias("_h"))
-    spot = hashed.select("id", "n", F.pmod(F.shiftright("_h", 8), F.lit(BITMAP)).alias("_w"), F.expr("shiftleft(1L, cast(_h & 63 as int))").alias("_1"))
-    return spot.groupBy("id").agg(F.max("n").alias("n"), *(F.bit_or(F.when(F.col("_w") == w, F.col("_1")).otherwise(F.lit(0).cast("long"))).alias(f"b{w}") for w in range(BITMAP)))
+    bit = F.expr("shiftleft(1L, cast(_h & 63 as int))").alias("_1")
+    spot = hashed.select("id", "n", bit, *(F.pmod(F.shiftright("_h", 8), F.lit(longs)).alias(f"_{x}") for x, longs in (("b", BITMAP), ("w", WIDE))))
+    bits = lambda x, i: F.bit_or(F.when(F.col(f"_{x}") == i, F.col("_1")).otherwise(F.lit(0).cast("long"))).alias(f"{x}{i}")
+    found = spot.groupBy("id").agg(F.max("n").alias("n"), *(bits("b", i) for i in range(BITMAP)), *(bits("w", i) for i in range(WIDE)))
+    return found.select("id", "n", *(f"b{i}" for i in range(BITMAP)), F.array(*(f"w{i}" for i in range(WIDE))).alias("wide"))
 
 
 def _side(marks: DataFrame, name: str) -> DataFrame:
     """marks with every column but keys named after one line of a pair."""
-    return marks.select(*(F.col(c).alias(name if c == "id" else f"{name}_{c}" if c in ("n", "part") or c[1:].isdigit() else c) for c in marks.columns))
+    return marks.select(*(F.col(c).alias(name if c == "id" else f"{name}_{c}" if c in ("n", "part", "wide") or c[1:].isdigit() else c) for c in marks.columns))
 
 
 def _possible(similar: float) -> Column:
     """Whether bitmaps allow lines a and b the similarity: at Jaccard s, of n + m shingles (1 - s) / (1 + s) are in one line alone."""
-    differ = sum((F.bit_count(F.col(f"a_b{w}").bitwiseXOR(F.col(f"b_b{w}"))) for w in range(BITMAP)), F.lit(0))
-    return differ <= F.lit((1 - similar) / (1 + similar)) * (F.col("a_n") + F.col("b_n")) + 1e-9
+    most = F.lit((1 - similar) / (1 + similar)) * (F.col("a_n") + F.col("b_n")) + 1e-9
+    differ = sum((F.bit_count(F.col(f"a_b{i}").bitwiseXOR(F.col(f"b_b{i}"))) for i in range(BITMAP)), F.lit(0))
+    wide = F.aggregate(F.zip_with("a_wide", "b_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return (differ <= most) & (wide <= most)
 
 
 def grid() -> list[list[int]]:
