@@ -730,3 +730,38 @@ def test_stages(spark, folder, tmp_path):
         counts.append(after.count())
         docs = after
     assert all(counts) and corpus_pipeline.run(spark, at).count() == counts[-1]
+
+
+# Texts that share an id, long documents, numerals, names in other case
+
+
+def test_rewrite_judges_each_text_of_an_id_by_itself(spark):
+    rows = [(0, "same line of words here"), (1, "alpha beta gamma delta\nsame line of words here"), (1, "completely other words\nunique second line of text"), (1, "alpha beta gamma delta\nsame line of words here"), (None, "same line of words here")]
+    docs, scratch = spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)
+    got = sorted((tuple(r) for r in linededup.rewrite(docs, linededup.dedup(docs, scratch), scratch).collect()), key=str)
+    assert got == sorted([(0, "same line of words here"), (1, "alpha beta gamma delta"), (1, "completely other words\nunique second line of text"), (1, "alpha beta gamma delta"), (None, "same line of words here")], key=str)
+
+
+def test_rewrite_of_a_document_of_very_many_lines(spark):
+    lines = [f"line {i // 2} of this long document {i // 2}" for i in range(60_000)]
+    docs, scratch = spark.createDataFrame([(0, "\n".join(lines)), (1, "")], "doc_id long, text string"), Scratch(spark)
+    judged = spark.createDataFrame([(0, i, i % 2 == 0) for i in range(60_000)], "doc_id long, line_no int, kept boolean").join(docs.select("doc_id", F.xxhash64("text").alias("text_id")), "doc_id")
+    (text,) = [r["text"] for r in linededup.rewrite(docs, judged, scratch).collect() if r["doc_id"] == 0]
+    assert text == "\n".join(lines[::2])
+
+
+def test_numerals_are_no_letters(spark):
+    model = langid.Model([("de", "der", 3), ("en", "the", 5)])
+    assert [x for x, _ in model.predictor()(["12 ½ ²", "①②③", "Ⅷ", None, "", "_ 7"])] == [langid.UNKNOWN] * 6
+    assert [x for x, _ in model.predictor()(["Ⅷ the", "der", "the", "dern"])] == ["en", "de", "en", "de"]
+
+
+def test_words_forgotten_are_scored_alike():
+    model = langid.Model([("de", w, 2) for w in ("der", "die", "das")] + [("en", w, 2) for w in ("the", "then", "dash")])
+    texts = ["der then xyz", "dash das then", "qqq", "the die thedie"] * 3
+    assert [p for t in texts for p in model.predictor(0)([t])] == model.predictor()(texts) == [p for t in [texts] for p in model.predictor(2)(t)]
+
+
+def test_token_count_replaces_a_column_of_its_name_in_any_case(spark):
+    got = tokencount.count_tokens(spark.createDataFrame([(1, "a b", 9)], "N_Tokens long, text string, `odd.name` int"))
+    assert got.columns == ["text", "odd.name", "n_tokens"] and got.first()["n_tokens"] > 0
