@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import geo
 from lodestar.functions import rings
-from lodestar.operators import regions
+from lodestar.operators import orbits, overlay, regions
 from lodestar.operators import tracks
 from lodestar.plans.joins import C, S, customers, hav, suppliers
 from lodestar.registry import query
@@ -141,3 +141,53 @@ def reach_of_sea(t):
     """What a disk around every supplier has of the diamonds, as rings with fewer points."""
     places = t.supplier.select(F.col("s_suppkey").alias("place"), (F.col("s_suppkey") * 59 % 1009 / 8.0).alias("lon"), (F.col("s_suppkey") * 23 % 757 / 16.0).alias("lat"), F.lit(80.0).alias("km"))
     return regions.reach(places, diamonds(t).withColumnRenamed("id", "part"), 0.01).select("place", "part", F.size("ring").alias("corners"), F.round("km2", 3).alias("km2"))
+
+
+_ROWS = f"""{_DIAMOND}, r AS (SELECT id, row, x - (r - abs((row + 0.5) * 0.25 - y)) AS lo, x + (r - abs((row + 0.5) * 0.25 - y)) AS hi FROM d, LATERAL (SELECT unnest(range(floor((y - r) / 0.25)::BIGINT - 1, ceil((y + r) / 0.25)::BIGINT + 1)) AS row) WHERE r - abs((row + 0.5) * 0.25 - y) > 0),
+ev AS (SELECT row, x, sum(n) AS n FROM (SELECT row, lo AS x, 1 AS n FROM r UNION ALL SELECT row, hi, -1 FROM r) GROUP BY ALL), sw AS (SELECT row, x AS lo, lead(x) OVER w AS hi, sum(n) OVER w AS n FROM ev WINDOW w AS (PARTITION BY row ORDER BY x)),
+u AS (SELECT row, lo, hi FROM sw WHERE hi IS NOT NULL AND n > 0)"""
+
+
+@query("g10_union_by_rows", f"""WITH {_ROWS} SELECT row, round(sum(hi - lo), 6) AS held, round(126 - sum(greatest(0, least(hi, 126) - greatest(lo, 0))), 6) AS free FROM u WHERE row BETWEEN 0 AND 359 GROUP BY row""")
+def union_by_rows(t):
+    """Of each row of a country 126 wide and 90 high, how much customers' diamonds hold, overlaps counted once, and how much is left."""
+    area = overlay.union(overlay.spans(diamonds(t), 0.25))
+    country = area.select("row").where("row BETWEEN 0 AND 359").distinct().select("row", F.lit(0.0).alias("lo"), F.lit(126.0).alias("hi"))
+    free = overlay.minus(country, area).groupBy("row").agg(F.sum(F.col("hi") - F.col("lo")).alias("free"))
+    held = area.where("row BETWEEN 0 AND 359").groupBy("row").agg(F.sum(F.col("hi") - F.col("lo")).alias("held"))
+    return held.join(free, "row", "left").select("row", F.round("held", 6).alias("held"), F.round(F.coalesce("free", F.lit(0.0)), 6).alias("free"))
+
+
+@query("g10_front_line", None)
+def front_line(t):
+    """How long each overdrawn customer's diamond faces free land, slivers apart."""
+    poor = diamonds(t).join(t.customer.where("c_acctbal < 0").select(F.col("c_custkey").alias("id")), "id")
+    country = t.spark.range(1).select(F.lit(0).alias("id"), F.array(*(rings.point(F.lit(x), F.lit(y)) for x, y in ((0, 0), (126, 0), (126, 95), (0, 95)))).alias("ring"))
+    _, _, line = overlay.front(poor, country, 0.5, 0.25, 0.25)
+    return line.groupBy("id").agg(F.round(overlay.length(line), 3).alias("length"))
+
+
+#: Parts as satellites: elements from their key and size.
+def satellites(t):
+    k = F.col("p_partkey")
+    return t.part.select(
+        k.alias("norad"), F.lit("2024-03-01 06:00:00").cast("timestamp").alias("epoch"), (14.0 + k % 200 / 100).alias("mean_motion"), (F.col("p_size") / 20_000).alias("eccentricity"), (k * 7 % 120).cast("double").alias("inclination"),
+        (k * 13 % 360).cast("double").alias("node"), (k * 17 % 360).cast("double").alias("perigee"), (k * 29 % 360).cast("double").alias("anomaly"), F.lit(2e-5).alias("bstar"),
+        F.when(k % 2 == 0, "optical").otherwise("radar").alias("sensor"), (F.lit(300.0) + F.col("p_size") * 10).alias("access_km"))
+
+
+_NOW = 1709280000.0
+
+
+@query("v13_ground_tracks", None)
+def ground_tracks(t):
+    """Where every satellite is, and the places of its coming 45 minutes; tested against published positions and a scalar scan."""
+    x = orbits.ground_tracks(satellites(t), F.lit(_NOW))
+    return x.select("norad", F.round("lon", 3).alias("lon"), F.round("lat", 3).alias("lat"), F.round("alt_km", 1).alias("alt_km"), F.size("track").alias("points"))
+
+
+@query("q16_passes", None)
+def passes(t):
+    """Passes of every satellite over places of the nations in two hours; tested against a dense scan."""
+    places = t.nation.select(F.col("n_name").alias("place"), (F.col("n_nationkey") * 53 % 360 - 180).cast("double").alias("lon"), (F.col("n_nationkey") * 31 % 140 - 70).cast("double").alias("lat"))
+    return orbits.passes(satellites(t), places, F.lit(_NOW), hours=2, step=60)
