@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.scratch import Rounds
+
 
 def brier(p: str, y: str) -> Column:
     return F.avg(F.pow(F.col(p) - F.col(y), 2))
@@ -20,8 +22,14 @@ def roc_auc(df: DataFrame, p: str, y: str, by: list[str] | None = None) -> DataF
     the distinct scores, not the rows."""
     by = by or []
     n = df.groupBy(*by, p).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) == 0).cast("long")).alias("neg"))
-    w = Window.partitionBy(*(by or [F.lit(1)])).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    n = n.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    # Ranges of scores are summed apart from one another, and each begins with what the ranges before it hold.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = Rounds(df.sparkSession).keep(n.repartitionByRange(parts, *by, p).withColumn("_part", F.spark_partition_id()), "scores")
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = split.groupBy(*by, "_part").agg(F.sum("neg").alias("_neg")).withColumn("_base", F.coalesce(F.sum("_neg").over(before), F.lit(0))).drop("_neg")
+    w = Window.partitionBy(*by, "_part").orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
+    inside = split.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    n = inside.join(base, [*by, "_part"]).withColumn("below", F.col("below") + F.col("_base"))
     g = n.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
     return g.where("np > 0 AND nn > 0").select(*by, (F.col("u") / (F.col("np") * F.col("nn"))).alias("auc"))
 

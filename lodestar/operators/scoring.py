@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.scratch import Rounds
+
 EVIDENCE = ("entity", "signal", "reason", "points", "evidence_ref", "provenance", "source")
 
 
@@ -26,8 +27,10 @@ def breakdown(parts: list[DataFrame]) -> DataFrame:
 def scores(entities: DataFrame, evidence: DataFrame, key: str, most: int = 100, reasons: int = 3) -> DataFrame:
     """Each entity's points, capped risk, its strongest reasons and its rank; entities without evidence score 0.
 
-    One aggregate with map-side combine gives sums; the reasons come from a ranked short list of each entity.
+    One aggregate with map-side combine gives sums; the reasons come from a ranked short list of each entity. Evidence is
+    written once, as both read it.
     """
+    evidence = Rounds(evidence.sparkSession).keep(evidence.select("entity", "signal", "reason", "points", "evidence_ref"), "evidence")
     sums = evidence.groupBy("entity").agg(F.sum("points").alias("raw_points"))
     w = Window.partitionBy("entity").orderBy(F.desc("points"), "signal", "evidence_ref")
     best = evidence.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= reasons)
@@ -44,8 +47,8 @@ def global_rank(df: DataFrame, order: list[Column], out: str = "rank", parts: in
     before it, a table with one row for each range.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Kept, because numbers and sizes must see the same ranges, whose bounds are sampled.
-    split = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    # Written, because numbers and sizes must see the same ranges, whose bounds are sampled, even if an executor is lost.
+    split = Rounds(df.sparkSession).keep(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     w = Window.partitionBy("_part").orderBy(*order)
     numbered = split.withColumn("_n", F.row_number().over(w))
     sizes = split.groupBy("_part").agg(F.count("*").alias("_size"))

@@ -71,14 +71,15 @@ def spatial_ellipse(t):
     return hits.where(inside & (F.abs(F.col("c_lat") - (F.col("g_ay") + F.col("g_by")) / 2) < 12)).select("gap", "c_custkey", F.col("e.impossible").alias("impossible"))
 
 
-@query("j06_interval_day", "SELECT o_orderkey, event_id FROM (SELECT o_orderkey, o_orderdate::DATE + (DATE '2024-01-01' - DATE '1995-01-01')::INTEGER AS a, o_orderdate::DATE + (DATE '2024-01-01' - DATE '1995-01-01')::INTEGER + (o_orderkey % 4)::INTEGER AS b FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-20') JOIN events ON ts::DATE BETWEEN a AND b WHERE event_type = 'error'")
+@query("j06_interval_day", """SELECT o_orderkey, count(*) AS n, max(event_id) AS last FROM (SELECT o_orderkey, DATE '2024-01-01' + ((o_orderdate::DATE - DATE '1992-01-01') % 31)::INTEGER AS a, DATE '2024-01-01' + ((o_orderdate::DATE - DATE '1992-01-01') % 31 + o_orderkey % 4)::INTEGER AS b FROM orders)
+JOIN events ON ts::DATE BETWEEN a AND b WHERE event_type = 'error' GROUP BY 1""")
 def interval_day(t):
-    """Events on a calendar day between an interval's first and last: the days are laid out and joined by equality."""
-    move = F.datediff(F.lit("2024-01-01").cast("date"), F.lit("1995-01-01").cast("date"))
-    o = t.orders.where("o_orderdate < TIMESTAMP_NTZ '1995-01-20'").select("o_orderkey", F.date_add(F.col("o_orderdate").cast("date"), move).alias("a"), (F.col("o_orderkey") % 4).cast("int").alias("n"))
+    """Events on a calendar day between an interval's first and last: days are laid out, events counted by day before they meet."""
+    first = F.date_add(F.lit("2024-01-01").cast("date"), (F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")) % 31).cast("int"))
+    o = t.orders.select("o_orderkey", first.alias("a"), (F.col("o_orderkey") % 4).cast("int").alias("n"))
     days = o.select("o_orderkey", F.explode(F.sequence("a", F.date_add("a", F.col("n")))).alias("day"))
-    e = t.events.where("event_type = 'error'").select("event_id", F.col("ts").cast("date").alias("day"))
-    return days.join(e, "day").select("o_orderkey", "event_id")
+    e = t.events.where("event_type = 'error'").groupBy(F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("c"), F.max("event_id").alias("last"))
+    return days.join(e, "day").groupBy("o_orderkey").agg(F.sum("c").alias("n"), F.max("last").alias("last"))
 
 
 @query("j07_feasibility", """SELECT l_orderkey, l_linenumber, greatest(t, 24 + d / 30) <= least(t + 1, 72 - d / 40) AS consistent, CASE WHEN greatest(t, 24 + d / 30) <= least(t + 1, 72 - d / 40) THEN round(greatest(t, 24 + d / 30), 6) END AS earliest

@@ -55,9 +55,9 @@ def dossier(t):
     return c.join(o, "c_custkey", "left").join(e, "c_custkey", "left").select("c_custkey", "n_name", F.coalesce("orders", F.lit(0)).alias("orders"), "top", F.coalesce("events", F.lit(0)).alias("events"))
 
 
-@query("q06_event_features", "SELECT event_id, CASE WHEN event_type = 'view' THEN 'line' ELSE 'point' END AS geometry, event_type FROM events WHERE event_type IN ('view', 'error') AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-08' AND user_id < 50")
+@query("q06_event_features", "SELECT event_id, CASE WHEN event_type = 'view' THEN 'line' ELSE 'point' END AS geometry, event_type FROM events WHERE event_type IN ('view', 'error') AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-08'")
 def event_features(t):
-    x = t.events.where("event_type IN ('view', 'error') AND ts >= TIMESTAMP_NTZ '2024-01-05' AND ts < TIMESTAMP_NTZ '2024-01-07' + INTERVAL 1 DAY AND user_id < 50")
+    x = t.events.where("event_type IN ('view', 'error') AND ts >= TIMESTAMP_NTZ '2024-01-05' AND ts < TIMESTAMP_NTZ '2024-01-07' + INTERVAL 1 DAY")
     return x.select("event_id", F.when(F.col("event_type") == "view", "line").otherwise("point").alias("geometry"), "event_type")
 
 
