@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import timeops
-from lodestar.operators import forecast, scoring
+from lodestar.operators import briefs, forecast, scoring
 from lodestar.operators.joins import top_n
 from lodestar.registry import query
 
@@ -199,3 +199,44 @@ def descriptor_default(t):
     everything = t.part.agg(F.round(F.percentile("p_retailprice", 0.95), 4).alias("a"))
     x = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(by, "p_brand", "left").join(F.broadcast(everything))  # one row
     return x.select("l_orderkey", "l_linenumber", F.coalesce("d", "a").alias("endurance"))
+
+
+_BRIEFS = f"""WITH v AS ({SCORES}), c AS (SELECT c_custkey, risk FROM v WHERE risk >= 40 ORDER BY risk DESC, c_custkey LIMIT 30), b AS {EVIDENCE},
+f AS (SELECT c_custkey, 0 AS s, 0.0::DOUBLE AS o, '' AS r, 'Customer ' || c_name || ' of ' || c_mktsegment || '.' AS text FROM customer UNION ALL SELECT c_custkey, 1, 0, '', 'Heuristic risk score ' || risk::BIGINT || ' of 100.' FROM v
+UNION ALL SELECT entity, 2, -points, reason, '+' || points::BIGINT || ' points: ' || reason || '.' FROM b UNION ALL SELECT o_custkey, 3, o_orderkey, '', 'Order ' || o_orderkey || ' is open.' FROM orders WHERE o_orderstatus = 'O')
+SELECT c_custkey, n, 'F' || n AS fact, text FROM (SELECT c_custkey, (row_number() OVER (PARTITION BY c_custkey ORDER BY s, o, r))::INTEGER AS n, text FROM f SEMI JOIN c USING (c_custkey))"""
+
+
+@query("m06_brief_facts", _BRIEFS)
+def brief_facts(t):
+    """Numbered facts of the thirty customers of greatest risk, from forty points on."""
+    v = scoring.scores(t.customer.select("c_custkey"), evidence(t), "c_custkey")
+    said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    text = lambda c: F.col(c).cast("string")
+    points = F.col("points").cast("long").cast("string")
+    return briefs.numbered(briefs.worth(v, key="c_custkey"), [
+        briefs.section(t.customer, "c_custkey", [F.lit(0)], said("Customer ", text("c_name"), " of ", text("c_mktsegment"), ".")),
+        briefs.section(v, "c_custkey", [F.lit(0)], said("Heuristic risk score ", F.col("risk").cast("long").cast("string"), " of 100.")),
+        briefs.section(evidence(t), "entity", [-F.col("points"), F.col("reason")], said("+", points, " points: ", F.col("reason"), ".")),
+        briefs.section(t.orders.where("o_orderstatus = 'O'"), "o_custkey", [F.col("o_orderkey")], said("Order ", text("o_orderkey"), " is open.")),
+    ], "c_custkey")
+
+
+@query("u08_danger_points", """WITH e AS (SELECT 'e' || event_id AS id, epoch_us(ts) // 1000 AS ms, * FROM events), n AS (SELECT max(epoch_us(ts) // 1000) - 86400000 * 10 AS now FROM events),
+t AS (SELECT * FROM e, n WHERE event_type IN ('error', 'view') AND ms > now - 86400000 AND user_id % 9 <> 0)
+SELECT id || ':to' AS id, id AS entity, user_id::DOUBLE AS lon, value AS lat, upper(event_type) || ' heading for town ' || user_id AS title, 'c' || user_id % 3 || ' · reported course' AS sub, ms AS ts, 'heading' AS kind, event_type AS weapon FROM t WHERE value > 50
+UNION ALL SELECT id || ':at', id, value, user_id::DOUBLE, upper(event_type) || ' reported near place ' || event_id % 7, 'c' || user_id % 3 || ' · reported position', ms, 'reported', event_type FROM t WHERE value < 70
+UNION ALL SELECT id || ':news', id, value, value, 'headline ' || event_id, CASE WHEN user_id % 2 = 0 THEN 'paper' ELSE 'News' END || ' · town ' || user_id, ms, 'news', NULL FROM e, n WHERE event_type = 'purchase' AND value > 20 AND ms > now - 2 * 86400000""")
+def danger_points(t):
+    """What is reported of the time up to ten days before the newest event and since: errors and views as threats, purchases as headlines."""
+    ms = F.floor(timeops.micros(F.col("ts")) / 1000)
+    now = F.lit(t.events.agg(F.floor(F.max(timeops.micros(F.col("ts"))) / 1000)).first()[0] - 864_000_000)
+    e = t.events.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), ms.alias("ts"), "event_id", "user_id", "event_type", "value")
+    user, v = F.col("user_id"), F.col("value")
+    place = lambda name, lon, lat: F.struct(name.alias("name"), lon.cast("double").alias("lon"), lat.cast("double").alias("lat"))
+    named = lambda word, c: F.concat(F.lit(word), c.cast("string"))
+    threats = e.where(F.col("event_type").isin("error", "view")).select(
+        "id", "ts", (user % 9 == 0).alias("tally"), F.col("event_type").alias("weapon"), F.upper("event_type").alias("short"), named("c", user % 3).alias("channel"),
+        F.when(v > 50, place(named("town ", user), user, v)).alias("to_place"), F.when(v < 70, place(named("place ", F.col("event_id") % 7), v, user)).alias("at_place"))
+    news = e.where("event_type = 'purchase'").select("id", "ts", named("headline ", F.col("event_id")).alias("label"), F.when(user % 2 == 0, "paper").alias("outlet"), named("town ", user).alias("place"), v.alias("lon"), v.alias("lat"), (v > 20).alias("strike"))
+    return briefs.danger_points(threats, news, now, threat_minutes=1440, news_hours=48)

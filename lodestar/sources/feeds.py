@@ -96,6 +96,15 @@ def news(spark: SparkSession, path: str, roots: list[str], box: tuple[float, flo
     return g.select(text.hash_id(F.col("url"), F.col("lat3"), F.col("lon3")).alias("id"), "label", F.col("lon3").cast("double").alias("lon"), F.col("lat3").cast("double").alias("lat"), "ts", "tone", "goldstein", "mentions", "actors", "codes", "url")
 
 
+def thermal(spark: SparkSession, path: str, product: str) -> DataFrame:
+    """Thermal anomalies of one product: id, lon, lat, ts, frp_mw, confidence, satellite, daynight. A file without the columns raises."""
+    raw = require_columns(spark.read.option("header", True).csv(path), "latitude", "longitude", "acq_date", "acq_time", "frp", "confidence", "satellite", "daynight")
+    ts = F.to_timestamp(F.concat("acq_date", F.lit(" "), F.lpad(F.trim("acq_time"), 4, "0")), "yyyy-MM-dd HHmm")
+    x = raw.select(F.col("longitude").cast("double").alias("lon"), F.col("latitude").cast("double").alias("lat"), ts.alias("ts"), F.nullif(F.col("frp"), F.lit("")).try_cast("double").alias("frp_mw"), "confidence", "satellite", "daynight")
+    key = text.hash_id(F.lit(product), F.col("lat").cast("string"), F.col("lon").cast("string"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'"))
+    return x.select(F.concat(F.lit("fire:"), key).alias("id"), *x.columns, F.lit(product).alias("product"))
+
+
 def rss(pages: DataFrame, source: str) -> DataFrame:
     """Items of feeds. pages: value (XML)."""
     tag = lambda n: text.strip_html(F.regexp_replace(F.regexp_extract("item", rf"(?s)<{n}\b[^>]*>(.*?)</{n}>", 1), r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"))

@@ -9,6 +9,11 @@ from lodestar import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+#: Queries that SQL can't express, or not on whole tables: their operators are held against plain versions in other tests.
+ELSEWHERE = {
+    "t07_strip_html", "g01_geodesic", "g10_front_line", "g11_reach_of_sea", "g12_hulls", "g13_great_circle", "g15_longest_chain", "n06_communities", "m08_gbt_isotonic", "q16_passes", "v13_ground_tracks",
+}
+
 
 @pytest.fixture(scope="module")
 def duck(data):
@@ -28,7 +33,7 @@ def test_query(name, spark, duck, data):
     df = catalogue.QUERIES[name](spark, data)
     rows, columns = df.collect(), df.columns
     if name not in catalogue.ORACLE:
-        assert columns
+        assert columns and name in ELSEWHERE
         return
     got = duck.execute(catalogue.ORACLE[name])
     names = [d[0] for d in got.description]

@@ -1,6 +1,7 @@
 """Parsers on rows written here after the formats they read."""
 
 import datetime as dt
+import hashlib
 import json
 
 import pytest
@@ -177,3 +178,13 @@ def test_paging_and_retries():
     with pytest.raises(paged.Refused):
         paged.with_retries(lambda: (_ for _ in ()).throw(paged.Refused(404)), sleep=waits.append)
     assert [len(b) for b in paged.batches([str(i) for i in range(85)])] == [40, 40, 5]
+
+
+def test_thermal_anomalies(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("latitude,longitude,acq_date,acq_time,frp,confidence,satellite,daynight\n48.5,37.25,2024-01-02,7,1.5,n,N,D\n48.5,37.25,2024-01-02,2359,,h,N,N\n")
+    a, b = feeds.thermal(spark, str(tmp_path / "a.csv"), "P").orderBy("ts").collect()
+    assert (a["lon"], a["lat"], a["ts"].hour, a["ts"].minute, a["frp_mw"], a["product"]) == (37.25, 48.5, 0, 7, 1.5, "P") and b["frp_mw"] is None and b["ts"].hour == 23
+    assert a["id"] == "fire:" + hashlib.sha1(b"P|48.5|37.25|2024-01-02T00:07:00+00:00").hexdigest()[:16] and a["id"] != b["id"]
+    (tmp_path / "b.csv").write_text("latitude,longitude\n1,2\n")
+    with pytest.raises(Exception, match="acq_date|missing"):
+        feeds.thermal(spark, str(tmp_path / "b.csv"), "P")
