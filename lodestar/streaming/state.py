@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -28,40 +30,61 @@ def alive(state: DataFrame, kind: str, seen: str, now: Column, ttl_seconds: dict
     return state.where(limit.isNull() | (timeops.seconds_between(F.col(seen), now) <= limit))
 
 
-def fold_by_key(df: DataFrame, key: list[str], ts: str, tie: str, keep: Callable[[dict, dict], bool], columns: list[str]) -> DataFrame:
-    """Rows that a greedy rule keeps, each compared with the last kept of its key, in order of time.
+def fold_by_key(df: DataFrame, key: list[str], ts: str, tie: str, fold: Callable[[tuple | None, np.ndarray, np.ndarray | None], tuple[np.ndarray, tuple | None]], value: str | None = None) -> DataFrame:
+    """Rows that a greedy rule keeps, in order of time. fold is given the last row kept (microseconds, value) and a run of a key's
+    times and values as arrays, and gives which rows are kept and the last one.
 
-    A key's rows stream through one sorted partition, so memory holds one kept row and not the key's history.
+    A key's rows stream through one sorted partition in batches, so memory holds a batch and one kept row, not the key's history.
     """
-    cols = list(dict.fromkeys([*key, ts, tie, *columns]))
+    cols = list(dict.fromkeys([*key, ts, tie, *([value] if value else [])]))
     ordered = df.select(*cols).repartition(*key).sortWithinPartitions(*key, ts, tie)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict | None = None
-        at = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, None
         for b in batches:
-            rows = b.to_dict("records")
-            good = []
-            for r in rows:
-                k = tuple(r[c] for c in key)
-                if k != at or last is None or keep(last, r):
-                    at, last = k, r
-                    good.append(True)
-                else:
-                    good.append(False)
-            yield b[good]
-
-    return ordered.mapInPandas(run, ordered.schema)
+            if not b.num_rows:
+                continue
+            keys = list(zip(*(b.column(cols.index(c)).to_pylist() for c in key)))
+            times = b.column(cols.index(ts)).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            values = b.column(cols.index(value)).to_numpy(zero_copy_only=False).astype(float) if value else None
+            kept = np.zeros(len(keys), bool)
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for i, j in zip(cuts, cuts[1:]):
+                if keys[i] != at:
+                    at, last = keys[i], None
+                kept[i:j], last = fold(last, times[i:j], None if values is None else values[i:j])
+            yield b.filter(pa.array(kept))
+
+    return ordered.mapInArrow(run, ordered.schema)
 
 
 def cooldown(df: DataFrame, key: list[str], ts: str, tie: str, seconds: float) -> DataFrame:
-    """Rows that fire: the first of a key, then each that comes at least so long after the last that fired."""
-    return fold_by_key(df, key, ts, tie, lambda a, b: (b[ts] - a[ts]).total_seconds() >= seconds, [])
+    """Rows that fire: the first of a key, then each that comes at least so long after the last that fired. Times may not be null."""
+    gap = int(seconds * 1e6)
+
+    def fold(last: tuple | None, times: np.ndarray, _) -> tuple[np.ndarray, tuple | None]:
+        kept = np.zeros(len(times), bool)
+        i = 0 if last is None else int(times.searchsorted(last[0] + gap))
+        while i < len(times):  # from one that fires straight to the next
+            kept[i], last = True, (int(times[i]),)
+            i = max(i + 1, int(times.searchsorted(last[0] + gap)))
+        return kept, last
+
+    return fold_by_key(df, key, ts, tie, fold)
 
 
 def thin(df: DataFrame, key: str, ts: str, tie: str, value: str, seconds: float, change: float) -> DataFrame:
-    """Rows far enough from the last kept one in time or in value; repeats of its time go."""
-    return fold_by_key(df, [key], ts, tie, lambda a, b: b[ts] > a[ts] and ((b[ts] - a[ts]).total_seconds() >= seconds or abs(b[value] - a[value]) >= change), [value])
+    """Rows far enough from the last kept one in time or in value; repeats of its time go. A value that is missing is no change."""
+    step = int(seconds * 1e6)
+
+    def fold(last: tuple | None, times: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, tuple | None]:
+        kept = np.zeros(len(times), bool)
+        for i, (t, v) in enumerate(zip(times.tolist(), values.tolist())):
+            if last is None or t > last[0] and (t - last[0] >= step or abs(v - last[1]) >= change):
+                kept[i], last = True, (t, v)
+        return kept, last
+
+    return fold_by_key(df, [key], ts, tie, fold, value)
 
 
 def confirm(df: DataFrame, key: str, order: str, leader: str, ticks: int) -> DataFrame:
