@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -69,11 +71,35 @@ def hull(points: np.ndarray) -> np.ndarray:
     return np.array(half(p) + half(p[::-1]))
 
 
-def hulls(df: DataFrame, key: str, lon: str, lat: str) -> DataFrame:
-    """Hull of each key's points as rings of two-element arrays."""
+def hulls(df: DataFrame, key: str, lon: str, lat: str, held: int = 200_000) -> DataFrame:
+    """Hull of each key's points as rings of two-element arrays.
+
+    A hull of hulls is the hull: every task keeps only the hulls of what it has read, so what meets for a key is a few
+    corners from each task, whatever the number of its points.
+    """
+    kind = dict(df.dtypes)[key]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}
+        size = 0
+
+        def rows() -> pd.DataFrame:
+            parts = [(k, h) for k, p in known.items() if len(h := hull(np.concatenate(p)))]
+            return pd.DataFrame({key: [k for k, h in parts for _ in h], "x": [x for _, h in parts for x in h[:, 0]], "y": [y for _, h in parts for y in h[:, 1]]})
+
+        for b in batches:
+            for k, g in b.groupby(key, sort=False, dropna=False):
+                known.setdefault(None if pd.isna(k) else k, []).append(hull(g[["x", "y"]].to_numpy(float)))
+            size += len(b)
+            if size > held:
+                yield rows()
+                known.clear()
+                size = 0
+        yield rows()
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        ring = hull(g[[lon, lat]].to_numpy(float))
+        ring = hull(g[["x", "y"]].to_numpy(float))
         return pd.DataFrame({key: [g[key].iloc[0]], "ring": [ring.tolist()], "points": [len(ring)]})
 
-    return df.select(key, lon, lat).distinct().groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, ring array<array<double>>, points int")
+    points = df.where(f"`{lon}` IS NOT NULL AND `{lat}` IS NOT NULL").select(key, df[lon].cast("double").alias("x"), df[lat].cast("double").alias("y"))
+    return points.mapInPandas(partial, f"{key} {kind}, x double, y double").groupBy(key).applyInPandas(run, f"{key} {kind}, ring array<array<double>>, points int")

@@ -53,13 +53,19 @@ def to_polyline(t):
     return suppliers(t).select("s_suppkey", F.round(geo.to_polyline_km("s_lon", "s_lat", line), 6).alias("km"))
 
 
-@query("g12_hulls")
+@query("g12_hulls", f"""WITH p AS (SELECT DISTINCT s.s_nationkey, x.s_lon AS x, x.s_lat AS y FROM {S} x JOIN supplier s USING (s_suppkey)), n AS (SELECT s_nationkey, count(*) AS n FROM p GROUP BY 1),
+e AS (SELECT a.s_nationkey, count(*) AS k FROM p a JOIN p b ON a.s_nationkey = b.s_nationkey AND (a.x <> b.x OR a.y <> b.y) WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.s_nationkey = a.s_nationkey AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0
+ OR ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND ((c.x - a.x) * (b.x - a.x) + (c.y - a.y) * (b.y - a.y) < 0 OR (c.x - a.x) * (b.x - a.x) + (c.y - a.y) * (b.y - a.y) > pow(b.x - a.x, 2) + pow(b.y - a.y, 2))))) GROUP BY 1)
+SELECT s_nationkey, (CASE WHEN n < 3 THEN n ELSE k END)::INTEGER AS points FROM n LEFT JOIN e USING (s_nationkey)""")
 def hulls(t):
     x = suppliers(t).join(t.supplier.select("s_suppkey", "s_nationkey"), "s_suppkey")
     return tracks.hulls(x, "s_nationkey", "s_lon", "s_lat").select("s_nationkey", "points")
 
 
-@query("g13_great_circle")
+@query("g13_great_circle", f"""WITH d AS (SELECT s_suppkey, radians(45.3::DOUBLE) AS p, atan2(sin(radians(s_lon - 36.5::DOUBLE)) * cos(radians(s_lat)), cos(radians(45.3::DOUBLE)) * sin(radians(s_lat)) - sin(radians(45.3::DOUBLE)) * cos(radians(s_lat)) * cos(radians(s_lon - 36.5::DOUBLE))) AS b,
+2 * asin(sqrt(least(1, pow(sin(radians(s_lat - 45.3::DOUBLE) / 2), 2) + cos(radians(45.3::DOUBLE)) * cos(radians(s_lat)) * pow(sin(radians(s_lon - 36.5::DOUBLE) / 2), 2)))) AS arc FROM {S}),
+e AS (SELECT s_suppkey, i, p, b, arc * i / 8 AS a FROM d, (SELECT unnest(range(9)) AS i)), q AS (SELECT *, asin(least(1, greatest(-1, sin(p) * cos(a) + cos(p) * sin(a) * cos(b)))) AS q FROM e)
+SELECT s_suppkey, i::INTEGER AS i, round((degrees(atan2(sin(b) * sin(a) * cos(p), cos(a) - sin(p) * sin(q))) + 36.5::DOUBLE + 540) % 360 - 180, 6) AS lon, round(degrees(q), 6) AS lat FROM q""")
 def great_circle(t):
     x = suppliers(t).select("s_suppkey", F.posexplode(geo.great_circle(36.5, 45.3, "s_lon", "s_lat", 9)).alias("i", "p"))
     return x.select("s_suppkey", "i", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
@@ -67,8 +73,9 @@ def great_circle(t):
 
 @query("g15_longest_chain")
 def longest_chain(t):
-    """Longest feasible chains of one day's events of a user, between the first and the last."""
-    e = t.events.select((F.col("user_id")).alias("gap_id"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).alias("t"), (F.col("value") / 50).alias("lon"), ((F.col("event_id") * 37 % 200) / 100.0).alias("lat"))
+    """Longest feasible chains of five days' events of a user, between the first and the last."""
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 4.32e11)
+    e = t.events.where("user_id IS NOT NULL").select((F.col("user_id") * 100_000 + day).cast("long").alias("gap_id"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).alias("t"), (F.col("value") / 50).alias("lon"), ((F.col("event_id") * 37 % 200) / 100.0).alias("lat"))
     ends = e.groupBy("gap_id").agg(F.min("t").alias("a"), F.max("t").alias("b"))
     edge = ends.select("gap_id", F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("id"), (F.col("a") - 1).alias("t")), F.struct(F.lit(-2).cast("long").alias("id"), (F.col("b") + 1).alias("t")))).alias("x")).select("gap_id", "x.id", "x.t", F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"))
     return tracks.longest_chains(e.unionByName(edge), 12.0).select("gap_id", "detections", F.round("length_km", 6).alias("length_km"))

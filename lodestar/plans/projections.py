@@ -252,7 +252,8 @@ def regex_extract(t):
     return t.pages.select("page_id", F.regexp_extract("url", r"^https?://([^/:]+)", 1).alias("host"), n("<a [^>]*href=").alias("links"), n("<p[ >]").alias("paragraphs"))
 
 
-@query("t07_strip_html")
+@query("t07_strip_html", r"""WITH s AS (SELECT page_id, regexp_replace(regexp_replace(html, '<script\b.*?</script>', ' ', 'gis'), '<style\b.*?</style>', ' ', 'gis') AS h FROM pages)
+SELECT page_id, trim(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(h, '<br\s*/?>', chr(10), 'gi'), '<[^>]*>', '', 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')) AS text FROM s""")
 def strip_html(t):
     return t.pages.select("page_id", text.strip_html(F.col("html")).alias("text"))
 
