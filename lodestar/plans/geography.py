@@ -128,7 +128,7 @@ SELECT DISTINCT p.a, p.b FROM p JOIN e m ON m.id = p.a JOIN e n ON n.id = p.b WH
 OR least({_far('m.a', 'n.a', 'n.b')}, {_far('m.b', 'n.a', 'n.b')}, {_far('n.a', 'm.a', 'm.b')}, {_far('n.b', 'm.a', 'm.b')}) <= 0.05 * 0.05""")
 def adjacent_regions(t):
     """Which customers' diamonds lie within 0.05 of one another."""
-    return regions.adjacent(diamonds(t), 0.05, 1.0)
+    return regions.adjacent(diamonds(t), 0.05, 0.4)
 
 
 @query("s29_clipped_regions", f"""WITH RECURSIVE {_DIAMOND}, c AS (SELECT id, 0 AS k, ring FROM g
