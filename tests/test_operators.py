@@ -211,3 +211,16 @@ def test_great_circles_of_every_supplier(spark, data, tmp_path):
     spark.read.parquet(f"{data}/supplier.parquet").withColumn("s_suppkey", F.col("s_suppkey") + 100).write.parquet(str(tmp_path / "supplier.parquet"))
     got = {r["s_suppkey"] for r in catalogue.QUERIES["g13_great_circle"](spark, str(tmp_path)).collect()}
     assert got and got == {r["s_suppkey"] for r in spark.read.parquet(str(tmp_path / "supplier.parquet")).collect()}
+
+
+def test_upper_median_with_nulls_as_its_sql_has_it(spark, tmp_path):
+    import duckdb
+
+    from lodestar import catalogue
+
+    values = [(k, None if i % 10 < share else float(i * 7 % 51)) for k, share in (("a", 3), ("b", 6), ("c", 10), ("d", 0)) for i in range(301)] + [("e", float("-inf"))] * 5 + [("e", 1.0)] * 3
+    spark.createDataFrame(values, "event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.sql(catalogue.ORACLE["a17_upper_median"]).fetchall())
+    assert sorted(map(tuple, catalogue.QUERIES["a17_upper_median"](spark, str(tmp_path)).collect())) == want and len(want) == 5
