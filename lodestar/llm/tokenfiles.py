@@ -28,9 +28,11 @@ from .common import Scratch, text_batches, unsigned_crc
 from .tokens import Encoder
 
 END, MAGIC = 2, b"LDVB"
-#: Characters of text in one segment's share of the corpus.
+#: Characters of text in one shard, and ids at which a segment of a shard ends.
 SHARD_CHARS = 24 << 20
-BLOCK_IDS = 1 << 20
+BLOCK_IDS, SEGMENT_IDS = 1 << 20, 64 << 20
+#: Ranges of document ids that texts are dealt to at most; beyond it shards grow and hold several segments.
+SHARDS = 16_384
 
 
 class Codec:
@@ -91,19 +93,19 @@ def _bisect(bounds: list[int], x: Column) -> Column:
     """Number of the ascending bounds below x, by binary search."""
     if not bounds:
         return F.lit(0)
-    table = F.array(*map(F.lit, bounds))
+    table = F.lit(np.array(bounds, np.int64))
     steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
     return F.aggregate(steps, F.lit(0), lambda lo, b: F.when(F.try_element_at(table, lo + b) < x, lo + b).otherwise(lo))
 
 
-def write_tokens(docs: DataFrame, out: str, scratch: Scratch, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json", directory: str | None = None, shard_chars: int = SHARD_CHARS) -> DataFrame:
+def write_tokens(docs: DataFrame, out: str, scratch: Scratch, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json", directory: str | None = None, shard_chars: int = SHARD_CHARS, segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Encode the texts into files under out; the manifest: shard, seq, path, n_docs, n_ids, base (ids before)."""
     spark = docs.sparkSession
     text_batches(spark)
     null = -(1 << 63)  # stands for a missing document id
     doc_id = F.coalesce(F.col(key).cast("long"), F.lit(null)).alias("doc_id")
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    shards = int(max(1, -(-chars // shard_chars)))
+    shards = int(min(SHARDS, max(1, -(-chars // shard_chars))))
     # Bounds come from a scan of the ids alone; a range exchange would sample whole texts.
     bounds = docs.select(doc_id).agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], max(10_000, 20 * shards))).first()[0] or []
     bounds = bounds if shards > 1 else []
@@ -171,7 +173,7 @@ def write_tokens(docs: DataFrame, out: str, scratch: Scratch, key: str = "doc_id
 
         for b in batches:
             for shard, seq, doc, n, raw in zip(*(c.to_pylist() for c in b.columns)):
-                if not open_ or open_["shard"] != shard or open_["next"] != seq:
+                if not open_ or open_["shard"] != shard or open_["next"] != seq or open_["n_ids"] + open_["held"] >= segment_ids:
                     close()
                     path = f"{root}/segment-{shard:08d}-{seq:012d}.ldvb"
                     draft_ = f"{root}/.{uuid.uuid4().hex}"
@@ -189,9 +191,10 @@ def write_tokens(docs: DataFrame, out: str, scratch: Scratch, key: str = "doc_id
 
     wrote = scratch.save(draft.mapInArrow(write, "shard long, seq long, path string, n_docs long, n_ids long"), "segments")
     scratch.drop("draft")
-    # A row for each file of tens of megabytes.
-    w = Window.orderBy("shard", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    manifest = wrote.withColumn("base", F.coalesce(F.sum("n_ids").over(w), F.lit(0)))
+    # Ids before a shard, from a row for each of the SHARDS at most; then those before a segment within its shard.
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = wrote.groupBy("shard").agg(F.sum("n_ids").alias("n_ids")).select("shard", before(Window.orderBy("shard")).alias("first"))
+    manifest = wrote.join(first, "shard").withColumn("base", F.col("first") + before(Window.partitionBy("shard").orderBy("seq"))).drop("first")
     manifest.write.mode("overwrite").parquet(f"{out}/manifest")
     return spark.read.schema(manifest.schema).parquet(f"{out}/manifest")
 

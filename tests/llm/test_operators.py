@@ -304,13 +304,14 @@ def crc(ids):
     return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
 
 
-def test_token_files_hold_every_document_in_order(spark, docs):
+@pytest.mark.parametrize("segment_ids, least", [(1 << 26, 2), (2_000, 6)])
+def test_token_files_hold_every_document_in_order(spark, docs, segment_ids, least):
     ids = reference_ids("byte_bpe_50k.json")
     scratch = Scratch(spark)
     rows = corpus() + [(3, "again", None, None, None), (None, "no id", None, None, None)]
     out = scratch.path("tokens")
-    tokenfiles.write_tokens(spark.createDataFrame(rows, DOCS).repartition(4), out, scratch, shard_chars=20_000)
-    assert spark.read.parquet(f"{out}/manifest").count() > 1
+    tokenfiles.write_tokens(spark.createDataFrame(rows, DOCS).repartition(4), out, scratch, shard_chars=20_000, segment_ids=segment_ids)
+    assert spark.read.parquet(f"{out}/manifest").count() >= least
     got = tokenfiles.read_tokens(spark, out).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == sorted((r[0] for r in rows), key=lambda x: -1 if x is None else x)
     at = 0
