@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.plans import aggregates, geography, graphs, joins, projections, scores, states, tracking, views, windows  # noqa: F401  they register on import
+from lodestar.plans import aggregates, flights, geography, graphs, joins, projections, scores, states, tracking, views, windows  # noqa: F401  they register on import
 from lodestar.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -77,7 +77,7 @@ def evaluate(df: DataFrame, graph: dict) -> DataFrame:
     return df.select("*", *(c.alias(f"pass_{n}") for n, c in compile_rule(graph).items()))
 
 
-def counters(df: DataFrame, graph: dict) -> DataFrame:
-    """How many rows passed each node, in one aggregate."""
+def counters(df: DataFrame, graph: dict, by: tuple[str, ...] = ()) -> DataFrame:
+    """How many rows passed each node, in one aggregate; for each entity if keys are given."""
     ids = [n["id"] for n in graph["nodes"]]
-    return evaluate(df, graph).agg(*(F.count_if(F.col(f"pass_{n}")).alias(n) for n in ids))
+    return evaluate(df, graph).groupBy(*by).agg(*(F.count_if(F.col(f"pass_{n}")).alias(n) for n in ids))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import geo, timeops
 from lodestar.operators import joins as J
+from lodestar.operators import pairs
 from lodestar.plans.projections import lat, lat_sql, lon, lon_sql
 from lodestar.registry import query
 
@@ -114,9 +115,7 @@ def pair_self(t):
 @query("j12_aligned_pairs", """WITH m AS (SELECT DISTINCT user_id, epoch_us(ts) // 3600000000 AS slot FROM events WHERE event_type = 'click')
 SELECT a.user_id AS a, b.user_id AS b, count(*) AS shared FROM m a JOIN m b ON a.slot = b.slot AND a.user_id < b.user_id GROUP BY ALL HAVING count(*) >= 3""")
 def aligned_pairs(t):
-    m = t.events.where("event_type = 'click'").select("user_id", timeops.bucket(F.col("ts"), 3600).alias("slot")).distinct()
-    other = m.select(F.col("user_id").alias("b"), "slot")
-    return m.withColumnRenamed("user_id", "a").join(other, "slot").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 3")
+    return pairs.sharing(t.events.where("event_type = 'click'").select("user_id", timeops.bucket(F.col("ts"), 3600).alias("slot")), "user_id", "slot", 3)
 
 
 @query("j13_asof_counts", "SELECT a.event_id, (SELECT count(*) FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'purchase' AND b.ts < a.ts) AS prior FROM events a WHERE a.event_type = 'view'")
@@ -195,8 +194,7 @@ def landing_site(t):
 
 @query("j22_pattern_links", "SELECT DISTINCT a.o_custkey AS a, b.o_custkey AS b FROM (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey) a JOIN (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey) b USING (l_partkey) WHERE a.o_custkey < b.o_custkey")
 def pattern_links(t):
-    e = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_partkey").distinct()
-    return e.withColumnRenamed("o_custkey", "a").join(e.withColumnRenamed("o_custkey", "b"), "l_partkey").where("a < b").select("a", "b").distinct()
+    return pairs.sharing(t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")), "o_custkey", "l_partkey").select("a", "b")
 
 
 @query("j23_variant_lookup", """WITH v AS (SELECT p_partkey, unnest([w, left(w, length(w) - 1), left(w, length(w) - 2)]) AS form, unnest([0, 1, 2]) AS pos FROM (SELECT p_partkey, split_part(lower(p_name), ' ', 1) AS w FROM part)),

@@ -112,6 +112,11 @@ def rule_counters(t):
     return rules.counters(t.events, RULE)
 
 
+@query("a27_entity_hits", "SELECT user_id, count(*) FILTER (s) AS s, count(*) FILTER (s AND value > 60) AS f, count(*) FILTER (s AND user_id < 20) AS g, count(*) FILTER (s AND (value > 60 OR user_id < 20)) AS o, count(*) FILTER (s AND (value > 60 OR user_id < 20)) AS a FROM (SELECT *, event_type IN ('error', 'purchase') AS s FROM events) GROUP BY user_id")
+def entity_hits(t):
+    return rules.counters(t.events, RULE, ("user_id",))
+
+
 @query("x18_alert_rules", "SELECT event_id, CASE WHEN value > 95 THEN 'extreme' WHEN event_type = 'error' AND value > 80 THEN 'fault' ELSE 'new' END AS rule FROM events WHERE value > 95 OR (event_type = 'error' AND value > 80) OR event_type = 'signup'")
 def alert_rules(t):
     rule = F.when(F.col("value") > 95, "extreme").when((F.col("event_type") == "error") & (F.col("value") > 80), "fault").when(F.col("event_type") == "signup", "new")

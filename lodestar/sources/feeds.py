@@ -68,11 +68,21 @@ def gnss_samples(air: DataFrame, cell: float = 0.5, worst: int = 8) -> DataFrame
 
 def gnss_cells(samples: DataFrame, least: int = 3) -> DataFrame:
     """Share of aircraft whose latest sample in a cell is bad, and its level."""
-    last = samples.groupBy("row", "col", "hex").agg(F.max_by("bad", "ts").alias("bad"))
-    g = last.groupBy("row", "col").agg(F.count("*").alias("n"), F.avg(F.col("bad").cast("int")).alias("share")).where(F.col("n") >= least)
+    last = samples.groupBy("row", "col", "hex").agg(F.max_by("bad", "ts").alias("bad"), F.max("ts").alias("ts"))
+    g = last.groupBy("row", "col").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"), F.avg(F.col("bad").cast("int")).alias("share"), F.max("ts").alias("ts")).where(F.col("n") >= least)
     return g.withColumn("level", F.when(F.col("share") > 0.10, "high").when(F.col("share") > 0.02, "medium").otherwise("low"))
 
 
+def gnss_entities(cells: DataFrame, cell: float = 0.5) -> DataFrame:
+    """Cells as things on a map: id, kind, label, the middle, ts, share to three digits, level and the closed outline."""
+    west, south = F.col("col") * cell, F.col("row") * cell
+    corner = lambda i, j: F.array(west + i * cell, south + j * cell)
+    label = F.format_string("GNSS %s (%d/%d aircraft degraded)", "level", "bad", "n")
+    return cells.select(
+        F.concat_ws(":", F.lit("gnss"), F.col("col").cast("string"), F.col("row").cast("string")).alias("id"), F.lit("gnss").alias("kind"), label.alias("label"), (west + cell / 2).alias("lon"), (south + cell / 2).alias("lat"), "ts",
+        F.col("n").alias("aircraft"), F.col("bad").alias("degraded"), F.round("share", 3).alias("share"), "level", F.array(*(corner(i, j) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)))).alias("polygon"))
+
+
 def alert_states(polls: DataFrame, regions: DataFrame, zone: str = "Europe/Kyiv") -> DataFrame:
     """State of each region in a poll; names without a region raise. polls: value (JSON)."""
     x = polls.select(F.from_json("value", "struct<cachedat:string,states:map<string,struct<alertnow:boolean,changed:string>>>").alias("j")).select("j.cachedat", F.explode("j.states").alias("region", "s"))
