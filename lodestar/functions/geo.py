@@ -95,19 +95,26 @@ def in_ellipse(to_start_km, to_end_km, max_distance_km, impossible, stray_km: fl
     return F.when(_c(impossible), _c(to_end_km) <= stray_km).otherwise(_c(to_start_km) + _c(to_end_km) <= _c(max_distance_km))
 
 
-def in_ring(lon, lat, ring: Column) -> Column:
-    """Ray casting over a closed ring of (lon, lat) structs."""
+def in_ring(lon, lat, ring: Column, edge: bool = True) -> Column:
+    """Ray casting over a closed ring of (lon, lat) structs. Of points on an edge some are in; without edge none is."""
     lon, lat = _c(lon), _c(lat)
     n = F.size(ring)
-    cross = F.transform(
-        F.sequence(F.lit(1), n - 1),
-        lambda i: F.when(
-            ((F.element_at(ring, i)["lat"] > lat) != (F.element_at(ring, i + 1)["lat"] > lat))
-            & (lon < (F.element_at(ring, i + 1)["lon"] - F.element_at(ring, i)["lon"]) * (lat - F.element_at(ring, i)["lat"]) / (F.element_at(ring, i + 1)["lat"] - F.element_at(ring, i)["lat"]) + F.element_at(ring, i)["lon"]),
-            1,
-        ).otherwise(0),
-    )
-    return F.aggregate(cross, F.lit(0), lambda s, x: s + x) % 2 == 1
+
+    def meets(i: Column) -> Column:
+        """1 if the edge crosses the level to the point's right; null if the point lies on it and edges don't count."""
+        a, b = F.element_at(ring, i), F.element_at(ring, i + 1)
+        # The slope comes first: of an edge whose slope is exact the crossing is, too.
+        at = (b["lon"] - a["lon"]) / F.when(a["lat"] != b["lat"], b["lat"] - a["lat"]) * (lat - a["lat"]) + a["lon"]
+        crossed = F.when(((a["lat"] > lat) != (b["lat"] > lat)) & (lon < at), 1).otherwise(0)
+        if edge:
+            return crossed
+        level = (a["lat"] == b["lat"]) & (lat == a["lat"]) & lon.between(F.least(a["lon"], b["lon"]), F.greatest(a["lon"], b["lon"]))
+        steep = lat.between(F.least(a["lat"], b["lat"]), F.greatest(a["lat"], b["lat"])) & (lon == at)
+        return F.when(level | steep, F.lit(None).cast("int")).otherwise(crossed)
+
+    # A null stays null to the end of the sum.
+    odd = F.aggregate(F.transform(F.sequence(F.lit(1), n - 1), meets), F.lit(0), lambda s, x: s + x) % 2 == 1
+    return odd if edge else F.coalesce(odd, F.lit(False))
 
 
 def to_polyline_km(lon, lat, line: Column) -> Column:

@@ -44,7 +44,7 @@ def ellipse(t):
 def point_in_ring(t):
     corners = [(-100.0, -20.0), (0.0, -20.0), (80.0, 60.0), (-100.0, 60.0), (-100.0, -20.0)]
     ring = F.array(*(F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in corners))
-    return suppliers(t).where(geo.in_ring("s_lon", "s_lat", ring)).select("s_suppkey")
+    return suppliers(t).where(geo.in_ring("s_lon", "s_lat", ring, edge=False)).select("s_suppkey")
 
 
 @query("g08_to_polyline", f"SELECT s_suppkey, round(111.32 * least(d1, d2), 6) AS km FROM (SELECT s_suppkey, sqrt(pow((0 - s_lon) * k, 2) + pow(greatest(-40.0 - s_lat, least(0, 10.0 - s_lat)) + greatest(0, -40.0 - s_lat) - greatest(-40.0 - s_lat, 0), 2) * 0 + pow(CASE WHEN s_lat < -40 THEN -40 - s_lat WHEN s_lat > 10 THEN s_lat - 10 ELSE 0 END, 2)) AS d1, sqrt(pow(k * CASE WHEN s_lon < 0 THEN -s_lon WHEN s_lon > 60 THEN s_lon - 60 ELSE 0 END, 2) + pow(10 - s_lat, 2)) AS d2 FROM (SELECT *, cos(radians(s_lat)) AS k FROM {S}))")

@@ -105,3 +105,14 @@ def test_what_a_disk_has_of_the_sea(spark):
     circle = 32 * math.sin(2 * math.pi / 64) * 20**2
     assert set(got) == {"in", "shore"} and got["in"]["km2"] == pytest.approx(circle, rel=1e-3) and got["shore"]["km2"] == pytest.approx(circle / 2, rel=1e-3)
     assert len(got["in"]["ring"]) < 64
+
+
+def test_points_on_an_edge(spark):
+    """Without edges, points on level, upright and slanted ones and on corners are out, on whatever side; a slope of one is exact."""
+    from lodestar.functions import geo
+
+    ring = F.array(*(F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in ((-100.0, -20.0), (0.0, -20.0), (80.0, 60.0), (-100.0, 60.0), (-100.0, -20.0))))
+    rows = [(-50.0, -20.0), (-100.0, 10.0), (-100.0, -20.0), (0.0, -20.0), (80.0, 60.0), (10.0, 60.0), (20.5, 0.5), (20.0 + 7.33, 7.33), (-50.0, 0.0), (30.0, 0.0), (None, 0.0)]
+    x = spark.createDataFrame(rows, "lon double, lat double")
+    assert [tuple(r) for r in x.where(geo.in_ring("lon", "lat", ring, edge=False)).collect()] == [(-50.0, 0.0)]
+    assert (-50.0, -20.0) in [tuple(r) for r in x.where(geo.in_ring("lon", "lat", ring)).collect()]
