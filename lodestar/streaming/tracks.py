@@ -59,8 +59,9 @@ def fold(rule: Rule, last: _Last | None, ts: np.ndarray, alt: np.ndarray, hdg: n
         if last is not None:
             if t <= last[0]:
                 continue
-            turned = abs((c - last[2] + 180) % 360 - 180)  # NaN compares false
-            if not (certain[i] or t - last[0] >= step or turned >= rule.turn or abs(h - last[1]) >= rule.climb_m or g != last[3]):
+            # Nothing is added first, which would round a turn just short of the rule up to it. NaN compares false.
+            turned = abs(c - last[2]) % 360
+            if not (certain[i] or t - last[0] >= step or min(turned, 360 - turned) >= rule.turn or abs(h - last[1]) >= rule.climb_m or g != last[3]):
                 continue
         start = t if last is None or t - last[0] > gap or last[3] and not g else last[4]
         kept[i], flight[i], last = True, start, (t, h, c, g, start)

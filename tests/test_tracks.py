@@ -102,3 +102,12 @@ def test_stream_of_shuffled_and_restarted_input_equals_the_table(spark, tmp_path
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     got = sorted((tuple(x) for x in spark.read.parquet(str(tmp_path / "out")).select(*tracks.COLUMNS, "flight").where("id <> 'flush'").collect()), key=str)
     assert got == plain(rows, rule)
+
+
+def test_turn_just_short_of_the_rule(spark):
+    """60 degrees less a rounding's worth is no turn of 60; adding 180 first would round it up."""
+    a, b = 15.0, 74.99999999999999
+    assert b - a < 60 and abs((b - a + 180) % 360 - 180) == 60
+    rule = Rule(step_s=1000, turn=60.0)
+    rows = [("x", 0, 1.0, 1.0, 0.0, None, a, False), ("x", 1000, 1.0, 1.0, 0.0, None, b, False), ("x", 2000, 1.0, 1.0, 0.0, None, 75.0, False), ("x", 3000, 1.0, 1.0, 0.0, None, 15.0 + 360, False)]
+    assert sorted(r["ts"] for r in tracks.thin(spark.createDataFrame(rows, SCHEMA), rule).collect()) == [0, 2000, 3000]
