@@ -67,7 +67,9 @@ def spatial_ellipse(t):
     g = suppliers(t).select(F.col("s_suppkey").alias("gap"), F.col("s_lon").alias("g_ax"), F.col("s_lat").alias("g_ay"), (F.col("s_lon") + 2).alias("g_bx"), (F.col("s_lat") * 0.98).alias("g_by"), (12 + F.col("s_suppkey") % 20).alias("h"))
     e = g.withColumn("d", geo.haversine("g_ax", "g_ay", "g_bx", "g_by")).withColumn("e", geo.ellipse("d", F.col("h"), 16.5))
     m = e.withColumn("m", geo.midpoint("g_ax", "g_ay", "g_bx", "g_by")).withColumn("mx", F.col("m.lon")).withColumn("my", F.col("m.lat"))
-    hits = J.within_radius(customers(t), m, 16.5 * 1.852 * 32 / 2 + 250, ("c_lon", "c_lat"), ("mx", "my"))
+    # Focus to focus and back is no more than reach, so no point is further from the middle than half of it; impossible gaps end within 5 km of their end.
+    m = m.withColumn("_own", F.greatest(F.col("e.max_distance_km"), F.col("d") + 10) / 2 + 1)
+    hits = J.within_radius(customers(t), m, 16.5 * 1.852 * 32 / 2 + 250, ("c_lon", "c_lat"), ("mx", "my"), own="_own")
     inside = geo.in_ellipse(geo.haversine("g_ax", "g_ay", "c_lon", "c_lat"), geo.haversine("c_lon", "c_lat", "g_bx", "g_by"), F.col("e.max_distance_km"), F.col("e.impossible"))
     return hits.where(inside & (F.abs(F.col("c_lat") - (F.col("g_ay") + F.col("g_by")) / 2) < 12)).select("gap", "c_custkey", F.col("e.impossible").alias("impossible"))
 

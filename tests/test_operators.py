@@ -224,3 +224,20 @@ def test_upper_median_with_nulls_as_its_sql_has_it(spark, tmp_path):
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     want = sorted(con.sql(catalogue.ORACLE["a17_upper_median"]).fetchall())
     assert sorted(map(tuple, catalogue.QUERIES["a17_upper_median"](spark, str(tmp_path)).collect())) == want and len(want) == 5
+
+
+def test_radius_of_each_row_and_full_cells(spark, monkeypatch):
+    """Own radii, the date line, poles and cells cut into parts, against all pairs."""
+    import random
+
+    from lodestar.operators import joins as J
+
+    monkeypatch.setattr(J, "PER_TASK", 20)
+    r = random.Random(5)
+    many = [(i, r.uniform(-180, 180), r.uniform(-90, 90)) for i in range(300)] + [(i, r.choice([179.9, -179.9, 10.0]), r.choice([89.5, 0.1, -89.9])) for i in range(300, 400)]
+    few = [(i, r.uniform(-180, 180), r.choice([-89.0, 0.0, 60.0, 89.9]), r.choice([50.0, 400.0, 900.0])) for i in range(40)] + [(40, 180.0, 0.0, 300.0), (41, 10.0, 0.0, 300.0), (42, None, 0.0, 300.0)]
+    a, b = spark.createDataFrame(many, "i int, x double, y double"), spark.createDataFrame(few, "j int, u double, v double, own double")
+    every = a.crossJoin(b).withColumn("km", J.geo.haversine("x", "y", "u", "v"))
+    for own, want in ((None, every.where("km <= 700")), ("own", every.where("km <= least(own, 700)"))):
+        got = J.within_radius(a, b, 700, ("x", "y"), ("u", "v"), own=own)
+        assert sorted((x.i, x.j) for x in got.collect()) == sorted((x.i, x.j) for x in want.collect())

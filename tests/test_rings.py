@@ -116,3 +116,9 @@ def test_points_on_an_edge(spark):
     x = spark.createDataFrame(rows, "lon double, lat double")
     assert [tuple(r) for r in x.where(geo.in_ring("lon", "lat", ring, edge=False)).collect()] == [(-50.0, 0.0)]
     assert (-50.0, -20.0) in [tuple(r) for r in x.where(geo.in_ring("lon", "lat", ring)).collect()]
+
+
+def test_a_clipped_ring_is_written_out_once(spark):
+    """Sides that clip one after the other make an expression that grows by the side, not by a power of it."""
+    text = str(rings.clip_box(F.col("the_ring"), 0, 0, 1, 1))
+    assert text.count("the_ring") == 1 and len(text) < 50_000
