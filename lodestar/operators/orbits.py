@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import geo
+from lodestar.operators.joins import spread
 
 # Constants of the model's earth (km, km^3/s^2, zonal harmonics), and of the geodetic ellipsoid.
 MODEL_RADIUS, MU, J2, J3, J4 = 6378.135, 398600.8, 0.001082616, -0.00000253881, -0.00000165597
@@ -147,38 +148,63 @@ def elements(orbits: DataFrame) -> DataFrame:
     return orbits.withColumnsRenamed(names)
 
 
-def positions(sats: DataFrame, start: Column, seconds: float, step: float) -> DataFrame:
-    """Each satellite (norad, epoch, ELEMENTS) at every step from start (epoch seconds) for so long: norad, k (number of the step), at, lon, lat, alt_km, ok.
+def _places(columns: list[np.ndarray], minutes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Longitude, latitude, height and whether they hold."""
+    place, ok = propagate(*columns, minutes)
+    with np.errstate(all="ignore"):
+        return *geodetic(place, at / 86400 + 2440587.5), ok
+
+
+def _timed(sats: DataFrame, start: Column, more: tuple[str, ...] = ()) -> DataFrame:
+    epoch = F.unix_micros(F.col("epoch").cast("timestamp")) / 1e6
+    return sats.select("norad", *more, epoch.alias("e0"), start.cast("double").alias("s0"), *(F.col(c).cast("double") for c in ELEMENTS))
+
+
+def positions(sats: DataFrame, start: Column, seconds: float, step: float, more: tuple[str, ...] = ()) -> DataFrame:
+    """Each satellite (norad, epoch, ELEMENTS) at every step from start (epoch seconds) for so long: norad, k (number of the step), at, lon, lat, alt_km, ok, and more of its columns.
 
-    Times are exploded before the model, so one satellite's times may be worked out in many tasks.
+    Satellites are dealt to as many tasks as their times need, and times exploded before the model.
     """
     count = max(1, math.ceil(seconds / step))
-    epoch = F.unix_micros(F.col("epoch").cast("timestamp")) / 1e6
-    x = sats.select("norad", epoch.alias("e0"), *(F.col(c).cast("double") for c in ELEMENTS), start.cast("double").alias("s0"))
+    x = _timed(spread(sats, count * 4), start, more)
     x = x.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn("at", F.col("s0") + F.col("k") * step)
-    x = x.select("norad", "k", "at", ((F.col("at") - F.col("e0")) / 60).alias("minutes"), *ELEMENTS)
-    kind = dict(x.dtypes)["norad"]
+    x = x.select("norad", "k", "at", *more, ((F.col("at") - F.col("e0")) / 60).alias("minutes"), *ELEMENTS)
+    first = 3 + len(more)
+    held = ", ".join(f"{c} {kind}" for c, kind in x.dtypes[:first])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns[2:]]
-            at, minutes = cols[0], cols[1]
-            place, ok = propagate(*cols[2:], minutes)
-            with np.errstate(all="ignore"):
-                lon, lat, alt = geodetic(place, at / 86400 + 2440587.5)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(v, mask=~ok) for v in (lon, lat, alt)), pa.array(ok)], names=["norad", "k", "at", "lon", "lat", "alt_km", "ok"])
+            at, minutes, *cols = [b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (2, *range(first, b.num_columns))]
+            lon, lat, alt, ok = _places(cols, minutes, at)
+            yield pa.RecordBatch.from_arrays([*b.columns[:first], *(pa.array(v, mask=~ok) for v in (lon, lat, alt)), pa.array(ok)], names=["norad", "k", "at", *more, "lon", "lat", "alt_km", "ok"])
 
-    return x.mapInArrow(run, f"norad {kind}, k int, at double, lon double, lat double, alt_km double, ok boolean")
+    return x.mapInArrow(run, f"{held}, lon double, lat double, alt_km double, ok boolean")
 
 
 def ground_tracks(sats: DataFrame, now: Column, minutes: float = 45, step: float = 90) -> DataFrame:
-    """norad, lon, lat and alt_km now, and track, the places of the coming minutes; a satellite without a place now has no row."""
-    x = positions(sats, now, minutes * 60 + 1, step)
-    here = F.col("k") == 0
-    place = F.struct("k", F.round("lon", 3).alias("lon"), F.round("lat", 3).alias("lat"))
-    track = F.transform(F.sort_array(F.collect_list(F.when(F.col("ok"), place))), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
-    g = x.groupBy("norad").agg(*(F.max(F.when(here, F.col(c))).alias(c) for c in ("lon", "lat", "alt_km")), track.alias("track"))
-    return g.where("lon IS NOT NULL")
+    """norad, lon, lat and alt_km now, and track, the places of the coming minutes; a satellite without a place now has no row.
+
+    All times of a satellite are worked out in its row, so that one row of it is exchanged and not one for each time.
+    """
+    count = max(1, math.ceil((minutes * 60 + 1) / step))
+    x = _timed(spread(sats, count * 4), now)
+    kind, rows = dict(x.dtypes)["norad"], 2_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, rows):
+                b = whole.slice(i, rows)
+                e0, s0, *cols = [c.to_numpy(zero_copy_only=False).astype(float)[:, None] for c in b.columns[1:]]
+                at = s0 + np.arange(count) * step
+                lon, lat, alt, ok = _places(cols, (at - e0) / 60, at)
+                ks, ends = np.broadcast_to(np.arange(count, dtype=np.int32), ok.shape)[ok], np.concatenate([[0], ok.sum(1).cumsum()]).astype(np.int32)
+                track = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(ks), pa.array(lon[ok]), pa.array(lat[ok])], names=["k", "lon", "lat"]))
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v[:, 0], mask=~ok[:, 0]) for v in (lon, lat, alt)), track], names=["norad", "lon", "lat", "alt_km", "track"])
+
+    x = x.mapInArrow(run, f"norad {kind}, lon double, lat double, alt_km double, track array<struct<k:int,lon:double,lat:double>>")
+    g = x.groupBy("norad").agg(*(F.max(c).alias(c) for c in ("lon", "lat", "alt_km")), F.flatten(F.collect_list("track")).alias("track"))
+    track = F.transform(F.sort_array(F.transform("track", lambda p: F.struct(p["k"].alias("k"), F.round(p["lon"], 3).alias("lon"), F.round(p["lat"], 3).alias("lat")))), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
+    return g.where("lon IS NOT NULL").withColumn("track", track)
 
 
 def sun_elevation(lon: Column, lat: Column, at: Column) -> Column:
@@ -197,8 +223,7 @@ def passes(sats: DataFrame, places: DataFrame, start: Column, hours: float = 24,
 
     sats has sensor and access_km as well; daylight is told for optical sensors alone. The few places are broadcast.
     """
-    moving = positions(sats, start, min(hours, most_hours) * 3600, step).where("ok")
-    reach = moving.join(sats.select("norad", "sensor", "access_km"), "norad")
+    reach = positions(sats, start, min(hours, most_hours) * 3600, step, ("sensor", "access_km")).where("ok")
     spots = F.broadcast(places.select("place", F.col("lon").alias("_x"), F.col("lat").alias("_y")))
     # A degree of latitude is no less than 110 km: most pairs fall by that alone.
     near = reach.join(spots, F.abs(F.col("lat") - F.col("_y")) <= F.col("access_km") / 110).withColumn("km", geo.haversine("lon", "lat", "_x", "_y", geo.MEAN_RADIUS)).where("km <= access_km")

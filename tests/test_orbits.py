@@ -80,3 +80,13 @@ def test_sun_over_a_place(spark):
     noon = dt.datetime(2026, 6, 21, 10, tzinfo=dt.UTC).timestamp()
     high, low = spark.range(1).select(*(orbits.sun_elevation(F.lit(30.5), F.lit(50.45), F.lit(noon + h * 3600)) for h in (0, 12))).first()
     assert high > 50 and low < -10
+
+
+def test_one_file_of_satellites_is_many_tasks(spark, data):
+    """A small file is read by one task, which would work out all times of all satellites."""
+    from lodestar.plans.geography import _NOW, satellites
+    from lodestar.registry import Tables
+
+    sats = satellites(Tables(spark, data)).coalesce(1)
+    x = orbits.positions(sats, F.lit(_NOW), 600, 60, ("access_km",))
+    assert x.rdd.getNumPartitions() >= 4 and x.columns[3] == "access_km"
