@@ -17,15 +17,19 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int, node: str = "node", ro
     """(seed, node, depth): nodes within so many hops of each seed, at their least depth. edges: a, b, either way round.
 
     The frontier of a hop holds only nodes not met before, so work follows the neighbourhood and not the graph. Links and
-    every frontier are written once: a hop is one join and one anti join of what lies there.
+    every frontier but the last, which is the largest and which no hop reads, are written once: a hop is one join and one
+    anti join of what lies there.
     """
     rounds = rounds or Rounds(edges.sparkSession)
-    both = rounds.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a IS NOT NULL AND b IS NOT NULL").distinct(), "links")
+    links = rounds.keep(edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     front = rounds.keep(seeds.where(F.col(node).isNotNull()).select(F.col(node).alias("seed"), F.col(node).alias("node"), F.lit(0).alias("depth")).distinct(), "front0")
     seen = front
     for depth in range(1, hops + 1):
         step = front.join(both, F.col("node") == F.col("a")).select("seed", F.col("b").alias("node")).distinct()
-        front = rounds.keep(step.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)), f"front{depth}")
+        front = step.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        if depth < hops:
+            front = rounds.keep(front, f"front{depth}")
         seen = seen.unionByName(front)
         if depth < hops and front.isEmpty():
             break
@@ -33,9 +37,17 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int, node: str = "node", ro
 
 
 def diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows by keys with change 'added' or 'removed'."""
-    added = new.select(*keys).distinct().join(old, keys, "left_anti").withColumn("change", F.lit("added"))
-    return added.unionByName(old.select(*keys).distinct().join(new, keys, "left_anti").withColumn("change", F.lit("removed")))
+    """Rows by keys with change 'added' or 'removed'. Both sides meet in one aggregate, which combines before its exchange.
+
+    Rows with a null key equal no other row: they are added and removed.
+    """
+    sides = lambda: old.select(*keys, F.lit(1).alias("_side")).unionByName(new.select(*keys, F.lit(2).alias("_side")))
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    g = sides().groupBy(*keys).agg(F.bool_or(F.col("_side") == 1).alias("_old"), F.bool_or(F.col("_side") == 2).alias("_new"))
+    change = F.array_compact(F.array(F.when(F.col("_new") & (~whole | ~F.col("_old")), "added"), F.when(F.col("_old") & (~whole | ~F.col("_new")), "removed")))
+    return g.select(*keys, F.explode(change).alias("change"))
 
 
 def stable_ids(new: DataFrame, old: DataFrame, least: float = 0.5, rounds: Rounds | None = None) -> DataFrame:

@@ -184,3 +184,23 @@ def test_lasting_names_are_those_of_settling_one_by_one(spark, least):
 def test_changes_between_versions(spark):
     edges = spark.sql("SELECT * FROM VALUES (1, 2, DATE '2024-01-01'), (2, 3, DATE '2024-01-05') AS t(a, b, day)")
     assert [tuple(x) for x in api.changes(edges, F.lit("2024-01-01").cast("date"), F.lit("2024-01-06").cast("date")).collect()] == [(2, 3, "added")]
+
+
+def test_difference_is_one_exchange_and_the_last_hop_is_not_written(spark, tmp_path):
+    from lodestar.scratch import Rounds
+
+    old = spark.createDataFrame([(1, 1), (1, 1), (2, 2), (None, 3)], "a int, b int")
+    new = spark.createDataFrame([(2, 2), (4, 4), (None, 3)], "a int, b int")
+    x = graph.diff(old, new, ["a", "b"])
+    assert sorted(map(str, x.collect())) == sorted(["Row(a=1, b=1, change='removed')", "Row(a=4, b=4, change='added')", "Row(a=None, b=3, change='added')", "Row(a=None, b=3, change='removed')"])
+    assert "Join" not in x._jdf.queryExecution().optimizedPlan().toString()
+    kept = []
+
+    class Noted(Rounds):
+        def keep(self, df, name):
+            kept.append(name)
+            return super().keep(df, name)
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(5)] + [(1, 0), (2, 2)], "a int, b int")
+    got = graph.expand(chain, spark.createDataFrame([(0,)], "node int"), 3, rounds=Noted(spark))
+    assert sorted((r["node"], r["depth"]) for r in got.collect()) == [(0, 0), (1, 1), (2, 2), (3, 3)] and "front3" not in kept
