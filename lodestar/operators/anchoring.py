@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.operators.joins import small
+
 #: A word with its inner hyphens and apostrophes.
 TOKEN = r"(?U)\p{L}[\p{L}\p{M}\d'’]*(?:-\p{L}[\p{L}\p{M}\d'’]*)*"
 
@@ -37,11 +39,12 @@ def mentions(texts: DataFrame, known: DataFrame, key: str = "id", text: str = "t
     aside = known.sparkSession.createDataFrame([(w, w.split(" ")[0], len(w.split(" "))) for w in apart] or [("", "", 1)], "words string, first string, n int")
     both = known.select("words", "first", "n", "place").unionByName(aside.where("words <> ''").withColumn("place", F.lit(None).cast(known.schema["place"].dataType)))
     begins = both.groupBy("first").agg(F.collect_set("n").alias("sizes"), F.max("n").alias("most"))
+    # A few names are sent to the texts: the tokens of all texts are then not exchanged to find the few that begin one.
     # Before the join a row holds no more of its text than the longest name may take.
     longest = both.agg(F.max("n")).first()[0] or 1
-    near = every.select("_key", "at", F.lower("_w").alias("first"), F.slice("_t", F.col("at") + 1, longest).alias("_run")).join(begins, "first")
+    near = every.select("_key", "at", F.lower("_w").alias("first"), F.slice("_t", F.col("at") + 1, longest).alias("_run")).join(small(begins), "first")
     tried = near.select("_key", "at", "_run", F.explode("sizes").alias("n")).where(F.col("n") <= F.size("_run"))
-    found = tried.select("_key", "at", F.lower(F.array_join(F.slice("_run", F.lit(1), F.col("n")), " ")).alias("words")).join(both.select("words", "n", "place"), "words")
+    found = tried.select("_key", "at", F.lower(F.array_join(F.slice("_run", F.lit(1), F.col("n")), " ")).alias("words")).join(small(both.select("words", "n", "place")), "words")
     # A name that is set apart wins over the same name as a place.
     best = found.groupBy("_key", "at").agg(F.max_by(F.struct("n", "place"), F.struct("n", F.col("place").isNull().alias("aside"))).alias("x"))
     return best.where("x.place IS NOT NULL").select(F.col("_key").alias(key), "at", "x.n", "x.place")
