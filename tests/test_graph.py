@@ -204,3 +204,16 @@ def test_difference_is_one_exchange_and_the_last_hop_is_not_written(spark, tmp_p
     chain = spark.createDataFrame([(i, i + 1) for i in range(5)] + [(1, 0), (2, 2)], "a int, b int")
     got = graph.expand(chain, spark.createDataFrame([(0,)], "node int"), 3, rounds=Noted(spark))
     assert sorted((r["node"], r["depth"]) for r in got.collect()) == [(0, 0), (1, 1), (2, 2), (3, 3)] and "front3" not in kept
+
+
+def test_a_round_joins_links_once(spark):
+    """Totals and degrees travel with the rows: links meet the communities of their ends and nothing else, and only those of nodes drawn."""
+    state = spark.createDataFrame([(i, 1.0, i, False) for i in range(6)], "node long, degree double, community long, moved boolean")
+    both = spark.createDataFrame([(i, 5 - i, 1.0, 1.0) for i in range(6)], "a long, b long, weight double, degree double")
+    out = louvain._moved(state, both, 6.0, 1)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") <= 3 and "Join LeftOuter" not in plan
+    assert out.columns == ["node", "degree", "community", "moved"]
+    still = {r["node"] for r in state.where(~louvain.drawn(F.col("node"), 1)).collect()}
+    got = {r["node"]: r for r in out.collect()}
+    assert set(got) == set(range(6)) and all(got[i]["community"] == i and not got[i]["moved"] for i in still)
