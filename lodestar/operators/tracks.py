@@ -2,56 +2,80 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CHAIN = "gap_id long, ids array<long>, length_km double, detections int"
+#: Gaps that a task takes as one group, and cells of positions that are searched at once.
+GAPS, CELLS = 1000, 1 << 18
+
+
+def _chains(ids: np.ndarray, t: np.ndarray, lon: np.ndarray, lat: np.ndarray, vmax_kn: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Most detections, least way and the one before, at each place of many gaps of one length (rows) side by side."""
+    rows, n = ids.shape
+    rlat = np.radians(lat)
+    best, cost, back = np.full((rows, n), -1), np.full((rows, n), np.inf), np.full((rows, n), -1)
+    start = ids == -1
+    one = np.flatnonzero(start.any(1))
+    best[one, start[one].argmax(1)], cost[one, start[one].argmax(1)] = 0, 0.0
+    for j in range(1, n):
+        h = np.sin((rlat[:, j, None] - rlat[:, :j]) / 2) ** 2 + np.cos(rlat[:, :j]) * np.cos(rlat[:, j, None]) * np.sin(np.radians(lon[:, j, None] - lon[:, :j]) / 2) ** 2
+        km = 2 * 6371.0088 * np.arcsin(np.sqrt(np.minimum(1, h)))
+        fit = (best[:, :j] >= 0) & (ids[:, :j] != -2) & (ids[:, j, None] != -1) & (km <= vmax_kn * 1.852 * np.maximum(t[:, j, None] - t[:, :j], 0) + 1e-9)
+        some = np.flatnonzero(fit.any(1))
+        if not len(some):
+            continue
+        fit, km = fit[some], km[some]
+        # Most detections, then the shortest way, then the first.
+        most = np.where(fit, best[some, :j], -1)
+        way = np.where(fit & (most == most.max(1)[:, None]), cost[some, :j] + km, np.inf)
+        i = way.argmin(1)
+        best[some, j], cost[some, j], back[some, j] = best[some, i] + (ids[some, j] >= 0), way[np.arange(len(some)), i], i
+    return best, cost, back
 
 
 def longest_chains(candidates: DataFrame, vmax_kn: float) -> DataFrame:
     """For each gap the longest chain of detections a vessel could have passed at its speed; ties go to the shortest way.
 
     candidates: gap_id, id, t (hours), lon, lat, with the gap's ends as ids -1 and -2. A gap holds the detections
-    inside its ellipse, a bounded group, and the search over it is quadratic.
+    inside its ellipse, a bounded group, and the search over it is quadratic. Gaps of one length are searched side by side, about
+    a thousand gaps in a group.
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["t", "id"]).reset_index(drop=True)
-        n = len(g)
-        ids, t, lon, lat = (g[c].to_numpy() for c in ("id", "t", "lon", "lat"))
-        rlat = np.radians(lat)
-        best, cost, back = np.full(n, -1), np.full(n, np.inf), np.full(n, -1)
-        start = np.flatnonzero(ids == -1)
-        if len(start):
-            best[start[0]], cost[start[0]] = 0, 0.0
-        for j in range(n):
-            if ids[j] == -1:
-                continue
-            i = np.flatnonzero((best >= 0) & (np.arange(n) < j) & (ids != -2))
-            if not len(i):
-                continue
-            h = np.sin((rlat[j] - rlat[i]) / 2) ** 2 + np.cos(rlat[i]) * np.cos(rlat[j]) * np.sin(np.radians(lon[j] - lon[i]) / 2) ** 2
-            km = 2 * 6371.0088 * np.arcsin(np.sqrt(np.minimum(1, h)))
-            fit = km <= vmax_kn * 1.852 * np.maximum(t[j] - t[i], 0) + 1e-9
-            i, km = i[fit], km[fit]
-            if not len(i):
-                continue
-            order = np.lexsort((i, cost[i] + km, -best[i]))[0]
-            best[j], cost[j], back[j] = best[i[order]] + (ids[j] >= 0), cost[i[order]] + km[order], i[order]
-        end = np.flatnonzero(ids == -2)
-        if not len(end) or best[end[0]] < 1:
-            return pd.DataFrame(columns=["gap_id", "ids", "length_km", "detections"])
-        chain, at = [], int(end[0])
-        while at >= 0:
-            if ids[at] >= 0:
-                chain.append(int(ids[at]))
-            at = int(back[at])
-        return pd.DataFrame({"gap_id": [int(g["gap_id"].iloc[0])], "ids": [chain[::-1]], "length_km": [float(cost[end[0]])], "detections": [len(chain)]})
-
-    return candidates.groupBy("gap_id").applyInPandas(run, CHAIN)
+        g = g.sort_values(["gap_id", "t", "id"])
+        gap, ids, t, lon, lat = (g[c].to_numpy() for c in ("gap_id", "id", "t", "lon", "lat"))
+        off = np.flatnonzero(np.append(True, gap[1:] != gap[:-1]))
+        size = np.diff(np.append(off, len(gap)))
+        out = []
+        for n in np.unique(size).tolist():
+            every = off[size == n]
+            step = max(1, CELLS // n)
+            for s in range(0, len(every), step):
+                at = every[s : s + step, None] + np.arange(n)
+                best, cost, back = _chains(ids[at], t[at], lon[at], lat[at], vmax_kn)
+                end = ids[at] == -2
+                for r in np.flatnonzero(end.any(1)).tolist():
+                    last = int(end[r].argmax())
+                    if best[r, last] < 1:
+                        continue
+                    chain, k = [], last
+                    while k >= 0:
+                        if ids[at[r, k]] >= 0:
+                            chain.append(int(ids[at[r, k]]))
+                        k = int(back[r, k])
+                    out.append((int(gap[at[r, 0]]), chain[::-1], float(cost[r, last]), len(chain)))
+        return pd.DataFrame(out, columns=["gap_id", "ids", "length_km", "detections"])
+
+    known = candidates.where("gap_id IS NOT NULL")
+    groups = max(candidates.sparkSession.sparkContext.defaultParallelism, math.ceil(known.agg(F.approx_count_distinct("gap_id")).first()[0] / GAPS))
+    dealt = known.withColumn("_group", F.pmod(F.xxhash64("gap_id"), F.lit(groups)))
+    return dealt.groupBy("_group").applyInPandas(run, CHAIN)
 
 
 def hull(points: np.ndarray) -> np.ndarray:
