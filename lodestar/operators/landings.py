@@ -9,22 +9,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.scratch import Rounds
+
 #: What priors are counted by.
 LEVELS = ("hex", "type", "family")
 
 
-def counts_before(asks: DataFrame, adds: DataFrame, keys: list[str], at: Column, added: Column, size: float, out: str) -> DataFrame:
+def counts_before(asks: DataFrame, adds: DataFrame, keys: list[str], at: Column, added: Column, size: float, out: str, among: DataFrame | None = None) -> DataFrame:
     """asks with out, the number of adds of equal keys whose time comes before the row's own.
 
     Time is cut into spans of `size`. Whole spans before count by one row each; inside a span the two sides are laid out
     together. So a key that holds most rows is spread over its spans, and no pair of rows is made. A null key meets no row.
+    among(keys and what `at` reads) names every span that asks have rows in, if asks cost more to read than once: they are read
+    a second time for it otherwise, so counts added one to another would double the work each.
     """
     one = adds.select(*keys, added.cast("double").alias("_t"), F.lit(1).alias("_add")).where("_t IS NOT NULL")
     spanned = one.withColumn("_span", F.floor(F.col("_t") / size))
     sums = spanned.groupBy(*keys, "_span").agg(F.count("*").alias("_n"))
-    numbered = asks.withColumn("_t", at.cast("double")).withColumn("_span", F.floor(F.col("_t") / size))
+    number = lambda df: df.withColumn("_t", at.cast("double")).withColumn("_span", F.floor(F.col("_t") / size))
+    numbered = number(asks)
     # A row for each span that a key has rows of either side in.
-    spans = sums.unionByName(numbered.select(*keys, "_span", F.lit(0).cast("long").alias("_n"))).groupBy(*keys, "_span").agg(F.sum("_n").alias("_n"))
+    spans = sums.unionByName(number(asks if among is None else among).select(*keys, "_span", F.lit(0).cast("long").alias("_n"))).groupBy(*keys, "_span").agg(F.sum("_n").alias("_n"))
     base = spans.withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     both = numbered.withColumn("_add", F.lit(0)).unionByName(spanned, allowMissingColumns=True)
     # Of equal times those that ask come first: what ends as they begin isn't known yet.
@@ -41,28 +46,35 @@ def observed(flights: DataFrame) -> DataFrame:
     return flights.where("hex IS NOT NULL AND field IS NOT NULL AND end IS NOT NULL").groupBy("hex", "end").agg(F.min(F.struct("type", "family", "field")).alias("x")).select("hex", "end", "x.*")
 
 
-def judged(flights: DataFrame, span: float = 86_400.0) -> DataFrame:
+def judged(flights: DataFrame, span: float = 86_400.0, rounds: Rounds | None = None) -> DataFrame:
     """flights(hex, type, family, field, start, end; times in seconds) that have landed, with what was known at their start.
 
     n_* counts the landings learned by then of the aircraft, its type and its family of callsigns, at_* those of them at the
-    flight's own field.
+    flight's own field. Flights and what is learned are written once, and every count reads them there.
     """
-    learned, out = observed(flights), flights.where("hex IS NOT NULL AND field IS NOT NULL AND start IS NOT NULL")
+    rounds = rounds or Rounds(flights.sparkSession)
+    flights = rounds.keep(flights, "flights")
+    learned = rounds.keep(observed(flights), "learned")
+    asks = out = flights.where("hex IS NOT NULL AND field IS NOT NULL AND start IS NOT NULL")
     for level in LEVELS:
-        out = counts_before(out, learned, [level], F.col("start"), F.col("end"), span, f"n_{level}")
-        out = counts_before(out, learned, [level, "field"], F.col("start"), F.col("end"), span, f"at_{level}")
+        out = counts_before(out, learned, [level], F.col("start"), F.col("end"), span, f"n_{level}", asks)
+        out = counts_before(out, learned, [level, "field"], F.col("start"), F.col("end"), span, f"at_{level}", asks)
     return out
 
 
-def candidates(flights: DataFrame, span: float = 86_400.0) -> DataFrame:
+def candidates(flights: DataFrame, span: float = 86_400.0, rounds: Rounds | None = None) -> DataFrame:
     """flights with a row for each field where their aircraft is ever learned to land: candidate, n (times before the start) and y (whether it landed there).
 
-    Fields not yet known when the flight began stay, with n = 0, if it landed there; others go.
+    Fields not yet known when the flight began stay, with n = 0, if it landed there; others go. Flights and what is learned
+    are written once; the spans of an aircraft are told apart before its fields are laid beside them.
     """
-    learned = observed(flights)
+    rounds = rounds or Rounds(flights.sparkSession)
+    flights = rounds.keep(flights, "flights")
+    learned = rounds.keep(observed(flights), "learned")
     ever = learned.select("hex", F.col("field").alias("candidate")).distinct()
     asked = flights.where("field IS NOT NULL AND start IS NOT NULL").join(ever, "hex")
-    counted = counts_before(asked, learned.withColumnRenamed("field", "candidate"), ["hex", "candidate"], F.col("start"), F.col("end"), span, "n")
+    spans = flights.where("field IS NOT NULL AND start IS NOT NULL").groupBy("hex", F.floor(F.col("start").cast("double") / span).alias("_of")).agg(F.min("start").alias("start")).join(ever, "hex")
+    counted = counts_before(asked, learned.withColumnRenamed("field", "candidate"), ["hex", "candidate"], F.col("start"), F.col("end"), span, "n", spans)
     y = F.col("candidate") == F.col("field")
     return counted.where((F.col("n") > 0) | y).withColumn("y", y.cast("int"))
 

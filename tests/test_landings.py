@@ -62,3 +62,9 @@ def test_snapshots_leave_out_the_last_step(spark):
     got = sorted((x["flight"], x["ts"], x["left"]) for x in landings.snapshots(points, "flight", "ts").collect())
     assert got == [("a", 299.0, 701.0), ("a", 300.0, 700.0), ("a", 700.0, 300.0)]
     assert landings.judged(spark.createDataFrame([], SCHEMA)).where(F.lit(True)).count() == 0
+
+
+def test_counts_one_to_another_read_the_flights_once_each(spark, rows):
+    """Every count used to read all counts before it twice, so that six made sixty-four readings."""
+    plan = landings.judged(spark.createDataFrame(rows, SCHEMA), 30.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and plan.count("Relation") <= 1 + 3 * 2 * len(landings.LEVELS)
