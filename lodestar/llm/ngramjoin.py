@@ -8,11 +8,13 @@ of them; the tokens are dealt to m groups by hash, two shared ones fall in one g
 group are indexed, which far fewer documents share than single tokens. m is 1 for short documents and grows with
 the length, which keeps the pairs of a set in proportion to its prefix.
 
-Frequencies come from one exchange of packed token arrays: a bucket of the token space counts its tokens and
-returns only those that another document has too. A token found twice or more in one batch of documents is sent
-as a count, so a bucket gets a very common token once a batch and not once a document. A document with more
-tokens of its own than the threshold lets differ has no partner and leaves here. Equal sets are one class from
-then on. Candidates are verified in full: first each index entry's smallest member with the others, then, among
+A document with more tokens of its own than the threshold lets differ has no partner. Most leave by half of their
+tokens: leading bits of these go to buckets of the token space, which return the documents of those met once; where
+two tokens share the bits, a document stays. Equal sets are one class from then on, and one document of each class
+is read again, by a filter of fixed size. Their frequencies come from an exchange of packed token arrays: a bucket
+counts its tokens and returns only those that another document has too; what has too many of its own leaves here.
+A token found twice or more in one batch of documents is sent as a count, so a bucket gets a very common token once
+a batch and not once a document. Candidates are verified in full: first each index entry's smallest member with the others, then, among
 what these links have not joined, all remaining pairs; entries with many members are compared block by block as
 matrix products.
 
@@ -32,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import _slot, filter_of
 from .common import Scratch, connected_components, partitions, text_batches
 
 WORDS, PERCENT = 3, 90
@@ -40,6 +43,8 @@ FREQUENT, PAIRS = 64, 128
 #: Prefix tokens up to which all pairs are indexed, and words a worker remembers.
 WHOLE, REMEMBER = 32, 100_000
 BUCKET_CHARS, BLOCK = 8 << 20, 256
+#: Documents and tokens that travel as one chunk: what stands for a chunk in each bucket grows with neither alone.
+ROWS, TOKENS = 8192, 1 << 20
 #: Stands for a missing document id while arrays of ids travel.
 NULL = -(1 << 63)
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
@@ -91,34 +96,111 @@ def _prints(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(int(np.bitwise_xor.reduce(mix(tokens + np.uint64(s))) ^ mix(tokens * np.uint64(s)).sum(dtype=np.uint64)) - (1 << 63) for s in (_ODD[1], _ODD[3]))
 
 
-def profile(docs: DataFrame, scratch: Scratch, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprint), own (tokens of no other document), and for documents that may have a
-    partner the tokens others have, in global order, with their document frequencies."""
+def _chunks(batches: Iterator[pa.RecordBatch], k: int, bits: np.ndarray | None = None) -> Iterator[tuple]:
+    """(ids, n, fingerprints, characters, tokens, place of each token's document) of many documents at a time; with bits, of those that the filter holds."""
+    hashes, ids, sets, chars, held = _Hashes(), [], [], [], 0
+    done = lambda: (np.array(ids, np.int64), np.array([len(s) for s in sets], np.int64), np.array([_prints(s) if len(s) else (0, 0) for s in sets], np.int64).reshape(-1, 2), np.array(chars, np.int64), np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets]))
+    for b in batches:
+        if bits is not None and b.num_rows:
+            slot = _slot(mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+            b = b.filter(pa.array((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1))
+        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            ids.append(i)
+            sets.append(shingles(t, hashes, k))
+            chars.append(len(t or ""))
+            held += len(sets[-1])
+            if len(ids) >= ROWS or held >= TOKENS:
+                yield done()
+                ids, sets, chars, held = [], [], [], 0
+    if ids:
+        yield done()
+
+
+def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL)).alias("doc_id"), F.col(text).alias("text"))
+
+
+def _edges(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins among ascending tokens, and where the last ends."""
+    return np.searchsorted(((tokens >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+
+
+def suspects(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
+    """doc_id, n, f1, f2 (fingerprint), chars, slot (of the filter) and may: false only if the document has no partner, not even a copy."""
     spark = docs.sparkSession
     text_batches(spark)
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    buckets = int(max(partitions(spark), -(-chars // (4 * BUCKET_CHARS))))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 24
+        for ids, n, prints, chars, tokens, doc in _chunks(batches, k):
+            half = tokens & np.uint64(1) == 0
+            tokens, doc = tokens[half], doc[half]
+            order = np.argsort(tokens, kind="stable")
+            tokens, doc = tokens[order], doc[order]
+            first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+            once = np.diff(np.append(first, len(tokens))) == 1
+            one, who, many = tokens[first[once]], doc[first[once]], tokens[first[~once]]
+            a, z = _edges(one, buckets), _edges(many, buckets)
+            at = [i for i in range(buckets) if a[i + 1] > a[i] or z[i + 1] > z[i] or i == chunk % buckets]
+            head = pickle.dumps((ids, n, prints, chars))
+            # Ascending, so the upper bits of a bucket's tokens are nearly one value.
+            high, low = lambda x: (x >> np.uint64(48)).astype(np.uint16).tobytes(), lambda x: (x >> np.uint64(16)).astype(np.uint32).tobytes()
+            parts = [[f(x[e[i] : e[i + 1]]) for i in at] for x, e in ((one, a), (many, z)) for f in (high, low)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at, pa.int32()), pa.array([chunk] * len(at), pa.int64()), pa.array([head if i == chunk % buckets else None for i in at], pa.binary()),
+                 pa.array([who[a[i] : a[i + 1]].tobytes() for i in at], pa.binary()), *(pa.array(x, pa.binary()) for x in parts)],
+                names=["bucket", "chunk", "head", "doc", "high", "low", "high2", "low2"])
+            chunk += 1
+
+    def count(g: pd.DataFrame) -> pd.DataFrame:
+        whole = lambda h, x: (np.frombuffer(h, np.uint16).astype(np.uint64) << np.uint64(32)) | np.frombuffer(x, np.uint32)
+        ones = [whole(h, x) for h, x in zip(g["high"], g["low"])]
+        every = np.concatenate([*ones, *(whole(h, x) for h, x in zip(g["high2"], g["low2"]))])
+        order = np.argsort(every, kind="stable")
+        same = every[order][1:] == every[order][:-1]
+        own = np.zeros(len(every), bool)
+        own[order] = ~(np.append(same, False) | np.insert(same, 0, False)) if len(every) else True
+        edge = np.cumsum([0, *map(len, ones)])
+        return pd.DataFrame({"chunk": g["chunk"], "head": g["head"], "doc": [np.frombuffer(d, np.uint16)[own[s:e]].tobytes() for d, s, e in zip(g["doc"], edge[:-1], edge[1:])]})
+
+    def gather(g: pd.DataFrame) -> pd.DataFrame:
+        ids, n, prints, chars = pickle.loads(next(h for h in g["head"] if h is not None))
+        own = np.zeros(len(ids), np.int64)
+        for x in g["doc"]:
+            own += np.bincount(np.frombuffer(x, np.uint16), minlength=len(ids))
+        slot = mix(ids.view(np.uint64)).view(np.int64)
+        return pd.DataFrame({"doc_id": ids, "n": n, "f1": prints[:, 0], "f2": prints[:, 1], "chars": chars, "slot": slot, "may": (n > 0) & (own <= allowance(n, percent))})
+
+    dealt = _named(docs, key, text).mapInArrow(deal, "bucket int, chunk long, head binary, doc binary, high binary, low binary, high2 binary, low2 binary")
+    counted = dealt.groupBy("bucket").applyInPandas(count, "chunk long, head binary, doc binary")
+    return counted.groupBy("chunk").applyInPandas(gather, "doc_id long, n long, f1 long, f2 long, chars long, slot long, may boolean")
+
+
+def profile(docs: DataFrame, key: str, text: str, k: int, percent: int, chars: int, bits: np.ndarray) -> DataFrame:
+    """Of the documents that the filter holds, with chars characters or a few more: doc_id, n, f1, f2 (fingerprint),
+    own (tokens of no other of them), and for those that may have a partner the tokens others have, in global order,
+    with their document frequencies."""
+    spark = docs.sparkSession
+    text_batches(spark)
     buckets = int(max(partitions(spark), -(-chars // BUCKET_CHARS)))
+    sent = spark.sparkContext.broadcast(bits)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        hashes = _Hashes()
         chunk = TaskContext.get().partitionId() << 24
-        for b in batches:
-            if not b.num_rows:
-                continue
-            sets = [shingles(t, hashes, k) for t in b.column(1).to_pylist()]
-            n = np.array([len(s) for s in sets], np.int64)
-            prints = np.array([_prints(s) if len(s) else (0, 0) for s in sets], np.int64).reshape(-1, 2)
-            tokens = np.concatenate(sets)
-            doc = np.repeat(np.arange(len(sets), dtype=np.uint16 if len(sets) < 1 << 16 else np.uint32), n)
+        for ids, n, prints, _, tokens, doc in _chunks(batches, k, sent.value):
             order = np.argsort(tokens, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], np.diff(tokens[order]) != 0])) if len(tokens) else np.zeros(0, np.int64)
             times = np.diff(np.append(first, len(tokens)))
             again = np.zeros(len(tokens), bool)
             again[order] = np.repeat(times > 1, times)
             # Which documents hold a token of several travels with the head; buckets get the token and its count.
-            head = pickle.dumps((b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), n, prints, doc[again], tokens[again]))
+            head = pickle.dumps((ids, n, prints, doc[again], tokens[again]))
             some = times > 1
             common, counts = tokens[order][first[some]], np.minimum(times[some], 65535).astype(np.uint16)
             tokens, doc = np.concatenate([tokens[~again], common]), np.concatenate([doc[~again], np.zeros(len(common), doc.dtype)])
@@ -130,7 +212,7 @@ def profile(docs: DataFrame, scratch: Scratch, key: str, text: str, k: int, perc
             at = [i for i in range(buckets) if edge[i + 1] > edge[i] or i == chunk % buckets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(at, pa.int32()), pa.array([chunk] * len(at), pa.int64()), pa.array([head if i == chunk % buckets else None for i in at], pa.binary()),
-                 pa.array([doc[edge[i] : edge[i + 1]].astype(np.uint32).tobytes() if len(sets) >= 1 << 16 else doc[edge[i] : edge[i + 1]].tobytes() for i in at], pa.binary()),
+                 pa.array([doc[edge[i] : edge[i + 1]].tobytes() for i in at], pa.binary()),
                  pa.array([tokens[edge[i] : edge[i + 1]].tobytes() for i in at], pa.binary()), pa.array([counts[edge[i] : edge[i + 1]].tobytes() for i in at], pa.binary())],
                 names=["bucket", "chunk", "head", "doc", "tokens", "times"])
             chunk += 1
@@ -148,11 +230,9 @@ def profile(docs: DataFrame, scratch: Scratch, key: str, text: str, k: int, perc
         for chunk, head, doc, t in zip(g["chunk"], g["head"], g["doc"], every):
             d, k = df[a : a + len(t)], times[a : a + len(t)]
             a += len(t)
-            width = np.uint16 if len(doc) == 2 * len(t) else np.uint32
-            where, one, shared = np.frombuffer(doc, width), k == 1, d > 1
-            own = np.bincount(where[~shared]).astype(np.uint32)
+            where, one, shared = np.frombuffer(doc, np.uint16), k == 1, d > 1
             mine, many = shared & one, ~one
-            out.append((chunk, head, own.tobytes(), where[mine].astype(np.uint32).tobytes(), t[mine].tobytes(), d[mine].tobytes(), t[many].tobytes(), d[many].tobytes()))
+            out.append((chunk, head, where[~shared].tobytes(), where[mine].tobytes(), t[mine].tobytes(), d[mine].tobytes(), t[many].tobytes(), d[many].tobytes()))
         return pd.DataFrame(out, columns=["chunk", "head", "own", "doc", "tokens", "df", "common", "common_df"])
 
     def gather(g: pd.DataFrame) -> pd.DataFrame:
@@ -160,12 +240,11 @@ def profile(docs: DataFrame, scratch: Scratch, key: str, text: str, k: int, perc
         m, f1, f2 = len(ids), prints[:, 0], prints[:, 1]
         own = np.zeros(m, np.int64)
         for x in g["own"]:
-            x = np.frombuffer(x, np.uint32)
-            own[: len(x)] += x
-        doc, tokens, df, common, common_df = (np.concatenate([np.frombuffer(x, t) for x in g[c]]) for c, t in (("doc", np.uint32), ("tokens", np.uint64), ("df", np.uint16), ("common", np.uint64), ("common_df", np.uint16)))
+            own += np.bincount(np.frombuffer(x, np.uint16), minlength=m)
+        doc, tokens, df, common, common_df = (np.concatenate([np.frombuffer(x, t) for x in g[c]]) for c, t in (("doc", np.uint16), ("tokens", np.uint64), ("df", np.uint16), ("common", np.uint64), ("common_df", np.uint16)))
         order = np.argsort(common)
         common, common_df = common[order], common_df[order]
-        doc, tokens, df = np.concatenate([doc, doc_c.astype(np.uint32)]), np.concatenate([tokens, tokens_c]), np.concatenate([df, common_df[np.searchsorted(common, tokens_c)]])
+        doc, tokens, df = np.concatenate([doc, doc_c]), np.concatenate([tokens, tokens_c]), np.concatenate([df, common_df[np.searchsorted(common, tokens_c)]])
         may = (n > 0) & (own <= allowance(n, percent))
         keep = may[doc]
         doc, tokens, df = doc[keep], tokens[keep], df[keep]
@@ -175,7 +254,7 @@ def profile(docs: DataFrame, scratch: Scratch, key: str, text: str, k: int, perc
         cut = lambda x: [x[edge[i] : edge[i + 1]].tobytes() if may[i] else None for i in range(m)]
         return pd.DataFrame({"doc_id": ids, "n": n, "f1": f1, "f2": f2, "own": own, "tokens": cut(tokens), "df": cut(df)})
 
-    dealt = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL)).alias("doc_id"), F.col(text).alias("text")).mapInArrow(deal, "bucket int, chunk long, head binary, doc binary, tokens binary, times binary")
+    dealt = _named(docs, key, text).mapInArrow(deal, "bucket int, chunk long, head binary, doc binary, tokens binary, times binary")
     counted = dealt.groupBy("bucket").applyInPandas(count, "chunk long, head binary, own binary, doc binary, tokens binary, df binary, common binary, common_df binary")
     return counted.groupBy("chunk").applyInPandas(gather, "doc_id long, n long, f1 long, f2 long, own long, tokens binary, df binary")
 
@@ -270,11 +349,14 @@ def _block_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 def join(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id reachable by links."""
-    rows = scratch.save(profile(docs, scratch, key, text, k, percent), "profile")
-    fit = rows.where((F.col("doc_id") != NULL) & F.col("tokens").isNotNull())
+    rows = scratch.save(suspects(docs, key, text, k, percent), "rows")
+    alike = rows.where("may").where(F.col("doc_id") != NULL).groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "slot", "chars")).alias("_one")).select("n", "f1", "f2", F.col("_one.doc_id").alias("rep"), F.col("_one.slot").alias("h1"), F.col("_one.chars").alias("chars"))
+    alike = scratch.save(alike, "alike")
+    chars = alike.agg(F.sum("chars")).first()[0] or 0
+    near = scratch.save(profile(docs, key, text, k, percent, chars, filter_of(alike)), "profile")
+    fit = near.where((F.col("doc_id") != NULL) & F.col("tokens").isNotNull())
     sets = fit.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("own").alias("own"), F.first("tokens").alias("tokens"), F.first("df").alias("df"))
     sets = scratch.save(sets, "sets")
-    rows = scratch.save(rows.select("doc_id", "n", "f1", "f2"), "rows")
     scratch.drop("profile")
     index = sets.where("n > 1").select("rep", "n", "own", "tokens", "df").mapInArrow(lambda it: _index(it, percent), "sig long, rep long, n long")
     index = scratch.save(index, "index")
@@ -303,10 +385,10 @@ def join(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "te
         more = more.unionByName(_block_links(many, sets, percent))
     links = scratch.save(links.unionByName(more), "all_links")
     part = connected_components(links, scratch, "last")
-    facts = sets.select("n", "f1", "f2", "rep").join(part.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
+    facts = alike.select("n", "f1", "f2", "rep").join(part.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     facts = scratch.save(facts, "facts")
     scratch.drop("sets", "open", "pairs", "stars")
-    found = rows.join(facts, ["n", "f1", "f2"], "left")
+    found = rows.select("doc_id", "n", "f1", "f2").join(facts, ["n", "f1", "f2"], "left")
     real = F.col("doc_id") != NULL
     return found.select(F.when(real, F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(real, F.coalesce("component_id", "doc_id")).alias("component_id"))
 

@@ -682,6 +682,17 @@ def test_signatures_meet_for_every_linked_pair():
         assert np.intersect1d(sa, sb).size
 
 
+def test_only_documents_with_a_partner_send_their_tokens(spark, folder, monkeypatch):
+    """One of each set of copies is read a second time, and none whose tokens no other document has."""
+    sent, profile = [], ngramjoin.profile
+    monkeypatch.setattr(ngramjoin, "profile", lambda *a, **k: sent.append(profile(*a, **k)) or sent[-1])
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40 + i)), None, None, None) for i in range(300)]
+    rows += [(1000 + i, rows[i % 4][1] + (" tail" if i % 8 > 3 else ""), None, None, None) for i in range(64)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in query_on("op9_ngram_join", spark, folder, rows).collect()}
+    assert got == plain_join(rows)
+    assert sorted(r["doc_id"] for r in sent[0].select("doc_id").collect()) == [0, 1, 2, 3, 1004, 1005, 1006, 1007]
+
+
 # Language
 
 
