@@ -14,6 +14,8 @@ are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +42,11 @@ def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def shingle_set(line: Column, size: int = SHINGLE) -> Column:
-    """Hashes of all shingles of a line, each once."""
-    every = F.when(F.length(line) < size, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
-    return F.array_distinct(F.transform(every, lambda s: F.xxhash64(s)))
+    """Hashes of all shingles of a line, each once. Four bytes a character, so that a shingle is cut out by its place."""
+    last = lambda b: F.greatest(F.octet_length(b) - 4 * size, F.lit(0)) + 1
+    hashed = lambda b: F.transform(F.sequence(F.lit(1), last(b), F.lit(4)), lambda p: F.xxhash64(F.substring(b, p, F.lit(4 * size))))
+    # Bound by a lambda, the line is encoded once and not for each of its shingles.
+    return F.array_distinct(F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), hashed)))
 
 
 def minima(lines: DataFrame, keys: list[str], size: int = SHINGLE) -> DataFrame:
@@ -68,15 +72,17 @@ def bitmaps(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     """id, n (shingles, each once) and two bitmaps of their hashes, b0.. and wide (a list of longs), for texts(id, line).
 
     Where two bitmaps differ, a shingle is in one line and not in the other, so the bits that differ bound the
-    common shingles from above.
+    common shingles from above. The short bitmap is the wide one folded, so both are functions of a hash.
     """
-    sets = texts.select("id", F.inline(F.array(F.struct(shingle_set(F.col("line"), size).alias("_s")))))
+    sets = texts.repartition("id").select("id", F.inline(F.array(F.struct(shingle_set(F.col("line"), size).alias("_s")))))
     hashed = sets.select("id", F.size("_s").alias("n"), F.explode("_s").alias("_h"))
-    bit = F.expr("shiftleft(1L, cast(_h & 63 as int))").alias("_1")
-    spot = hashed.select("id", "n", bit, *(F.pmod(F.shiftright("_h", 8), F.lit(longs)).alias(f"_{x}") for x, longs in (("b", BITMAP), ("w", WIDE))))
-    bits = lambda x, i: F.bit_or(F.when(F.col(f"_{x}") == i, F.col("_1")).otherwise(F.lit(0).cast("long"))).alias(f"{x}{i}")
-    found = spot.groupBy("id").agg(F.max("n").alias("n"), *(bits("b", i) for i in range(BITMAP)), *(bits("w", i) for i in range(WIDE)))
-    return found.select("id", "n", *(f"b{i}" for i in range(BITMAP)), F.array(*(f"w{i}" for i in range(WIDE))).alias("wide"))
+    # A long of the wide bitmap is one sum of its bits; only these longs, a few for many shingles, are laid side by side.
+    bit = F.expr("shiftleft(1L, cast(_h & 63 as int))")
+    longs = hashed.groupBy("id", "n", F.pmod(F.shiftright("_h", 8), F.lit(WIDE)).cast("int").alias("_w")).agg(F.bit_or(bit).alias("_1"))
+    found = longs.groupBy("id").agg(F.max("n").alias("n"), *(F.max(F.when(F.col("_w") == i, F.col("_1"))).alias(f"w{i}") for i in range(WIDE)))
+    wide = found.select("id", "n", *(F.coalesce(f"w{i}", F.lit(0).cast("long")).alias(f"w{i}") for i in range(WIDE)))
+    short = lambda j: reduce(Column.bitwiseOR, (F.col(f"w{i}") for i in range(j, WIDE, BITMAP)))
+    return wide.select("id", "n", *(short(j).alias(f"b{j}") for j in range(BITMAP)), F.array(*(f"w{i}" for i in range(WIDE))).alias("wide"))
 
 
 def _side(marks: DataFrame, name: str) -> DataFrame:

@@ -616,6 +616,26 @@ def test_rewrite_keeps_blank_lines_and_drops_emptied_documents(spark):
 # Shingle join
 
 
+def test_bitmaps_bound_the_shingles_of_lines(spark):
+    """Sets as characters have them, astral ones too; the short bitmap is the wide one folded, and both bound what differs."""
+    r = random.Random(3)
+    lines = ["a", "1234567", "12345678", "😀" * 9 + "é" * 9, "ab" * 40, "naïve 😀 text with words"] + ["".join(r.choice("abcde 😀é") for _ in range(n)) for n in (8, 9, 50, 700)]
+    lines += [x[:-1] + "z" for x in lines]
+    plain = [{x[i : i + 8] for i in range(max(1, len(x) - 7))} for x in lines]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    hashes = {x["id"]: x["s"] for x in df.select("id", linededup.shingle_set(F.col("line")).alias("s")).collect()}
+    marks = {x["id"]: x for x in linededup.bitmaps(df).collect()}
+    bits = lambda longs: {(i, b) for i, x in enumerate(longs) for b in range(64) if x >> b & 1}
+    wide = [bits(marks[i]["wide"]) for i in range(len(lines))]
+    short = [bits([marks[i][f"b{j}"] for j in range(linededup.BITMAP)]) for i in range(len(lines))]
+    for i, s in enumerate(plain):
+        assert len(hashes[i]) == len(set(hashes[i])) == marks[i]["n"] == len(s)
+        assert short[i] == {(w % linededup.BITMAP, b) for w, b in wide[i]}
+        for j in range(i):
+            assert len(set(hashes[i]) & set(hashes[j])) == len(s & plain[j])
+            assert max(len(wide[i] ^ wide[j]), len(short[i] ^ short[j])) <= len(s ^ plain[j])
+
+
 def plain_join(rows, percent=90, k=3):
     sets = {}
     for d, t, *_ in rows:
