@@ -16,7 +16,8 @@ counts its tokens and returns only those that another document has too; what has
 A token found twice or more in one batch of documents is sent as a count, so a bucket gets a very common token once
 a batch and not once a document. Candidates are verified in full: first each index entry's smallest member with the others, then, among
 what these links have not joined, all remaining pairs; entries with many members are compared block by block as
-matrix products.
+matrix products. Such entries share most of their members, so those that share any are one family, whose members meet
+once and not in every entry, wherever that is less work.
 
 Defined results: a text without words, or null, has the empty set and links with nothing; fewer words than a
 shingle make one shingle of all; repeated rows are copies of one another; a row without a doc_id links with
@@ -42,7 +43,7 @@ WORDS, PERCENT = 3, 90
 FREQUENT, PAIRS = 64, 128
 #: Prefix tokens up to which all pairs are indexed, and words a worker remembers.
 WHOLE, REMEMBER = 32, 100_000
-BUCKET_CHARS, BLOCK = 8 << 20, 256
+BUCKET_CHARS, BLOCK = 8 << 20, 512
 #: Documents and tokens that travel as one chunk: what stands for a chunk in each bucket grows with neither alone.
 ROWS, TOKENS = 8192, 1 << 20
 #: Stands for a missing document id while arrays of ids travel.
@@ -318,16 +319,43 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "ta", "nb", "tb").mapInArrow(run, "a long, b long")
 
 
+def _families(many: DataFrame, scratch: Scratch) -> DataFrame:
+    """family, sig, rep, n, part, chunks: the groups whose members all meet, of entries many(sig, a, rep, n, members, part).
+
+    Entries that share members, directly or by others, are one family. Its members meet once (sig is 0), if these are no
+    more pairs than those of its entries one by one; else each entry stays a group of its own.
+    """
+    family = connected_components(many.select("a", F.col("rep").alias("b")).distinct(), scratch, "family")
+    named = scratch.save(many.join(family.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep"), "named")
+    members = named.groupBy("family", "rep").agg(F.max("n").alias("n"), F.max("part").alias("part"), F.sum("members").alias("work"))
+    members = scratch.save(members, "relatives")
+    # Blocks hold so many members and tokens at most, a longest document apart.
+    chunks = F.greatest(F.ceil(F.count("*") / F.lit(float(BLOCK))), F.ceil(F.sum("n") / F.lit(float(TOKENS)))).cast("int").alias("chunks")
+    sizes = members.groupBy("family").agg(chunks, F.count("*").alias("size"), F.sum("work").alias("work"))
+    sizes = scratch.save(sizes.select("family", "chunks", (F.col("size") * F.col("size") <= F.col("work")).alias("once")), "families")
+    once, each = sizes.where("once").select("family", "chunks"), sizes.where("not once").select("family")
+    apart = named.join(each, "family").select("family", "sig", "rep", "n", "part")
+    apart = apart.join(apart.groupBy("sig").agg(chunks), "sig")
+    columns = ("family", "sig", "rep", "n", "part", "chunks")
+    groups_ = members.join(once, "family").withColumn("sig", F.lit(0).cast("long")).select(*columns).unionByName(apart.select(*columns))
+    groups_ = scratch.save(groups_, "groups")
+    scratch.drop("named", "relatives", "families")
+    return groups_
+
+
 def _block_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components in entries of many members: entries(sig, rep, n, part, chunks)."""
+    """Links across components in groups of many members: entries(family, sig, rep, n, part, chunks)."""
     own = entries.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    own = own.select("sig", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "mine", "rep", "n", "part").join(sets.select("rep", "tokens"), "rep")
+    own = own.select("family", "sig", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "mine", "rep", "n", "part").join(sets.select("rep", "tokens"), "rep")
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
         every = [np.frombuffer(t, np.uint64) for t in g["tokens"]]
-        universe, at = np.unique(np.concatenate(every), return_inverse=True)
+        universe, at, times = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(every)), [len(t) for t in every])
+        # A token of one member alone is common to no two.
+        row, at = row[times[at] > 1], (np.cumsum(times > 1) - 1)[at[times[at] > 1]]
+        universe = universe[times > 1]
         same = np.zeros((len(every), len(every)), np.float32)
         for s in range(0, len(universe), 8192):
             m = (at >= s) & (at < s + 8192)
@@ -344,7 +372,7 @@ def _block_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             edge.setdefault((min(part[a], part[b]), max(part[a], part[b])), (int(rep[a]), int(rep[b])))  # one link joins two components
         return pd.DataFrame(list(edge.values()), columns=["a", "b"]).astype("int64")
 
-    return own.groupBy("sig", "i", "j").applyInPandas(compare, "a long, b long")
+    return own.groupBy("family", "sig", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def join(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -368,7 +396,7 @@ def join(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "te
     stars = scratch.save(shared.where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "stars")
     links = scratch.save(_verify(stars, sets, percent), "links")
     part = scratch.save(connected_components(links, scratch, "first"), "parts")
-    grouped = shared.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "n", "members", F.coalesce("component", "rep").alias("part"))
+    grouped = shared.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "a", "rep", "n", "members", F.coalesce("component", "rep").alias("part"))
     grouped = scratch.save(grouped, "grouped")
     scratch.drop("shared", "parts")
     mixed = grouped.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("sig")
@@ -380,9 +408,9 @@ def join(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "te
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     )
     more = _verify(scratch.save(pairs, "pairs"), sets, percent)
-    many = open_.where(F.col("members") > PAIRS).withColumn("chunks", F.ceil(F.col("members") / F.lit(float(BLOCK))).cast("int"))
+    many = open_.where(F.col("members") > PAIRS)
     if not many.isEmpty():
-        more = more.unionByName(_block_links(many, sets, percent))
+        more = more.unionByName(_block_links(_families(many, scratch), sets, percent))
     links = scratch.save(links.unionByName(more), "all_links")
     part = connected_components(links, scratch, "last")
     facts = alike.select("n", "f1", "f2", "rep").join(part.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))

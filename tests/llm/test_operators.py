@@ -684,6 +684,17 @@ def test_shingle_join(frequent, pairs, spark, folder, monkeypatch):
     assert got == plain_join(rows)
 
 
+def test_members_of_many_entries_meet_once(spark):
+    """Entries of nearly the same members are one group of these; entries in a chain stay groups of their own."""
+    rows = [(e, 0, m, 9, 30, m) for e in range(20) for m in range(40) if m == 0 or (m + e) % 4]
+    rows += [(100 + e, 1000 + 9 * e, 1000 + 9 * e + m, 9, 10, m) for e in range(30) for m in range(10)]
+    many = spark.createDataFrame(rows, "sig long, a long, rep long, n long, members long, part long")
+    got = ngramjoin._families(many, Scratch(spark)).collect()
+    near = [(r["sig"], r["rep"]) for r in got if r["rep"] < 1000]
+    assert len(rows) - 300 > 500 and sorted(near) == [(0, m) for m in range(40)]
+    assert sorted((r["sig"], r["rep"]) for r in got if r["rep"] >= 1000) == sorted((s, rep) for s, _, rep, *_ in rows if rep >= 1000)
+
+
 def test_signatures_meet_for_every_linked_pair():
     r = np.random.default_rng(8)
     for _ in range(300):
