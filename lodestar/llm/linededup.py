@@ -171,27 +171,30 @@ def dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "t
     sketch = scratch.save(minima(hashed.select("id", "line"), ["id"], size), "sketch")
     rows = bands(sketch, "id")
     heads = scratch.save(rows.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("members")).where("members > 1"), "heads")
-    shared = scratch.save(rows.join(heads, "band").select("band", "id", "a", "members"), "shared")
+    # A hint spares the many rows of lines a sort; the side that is hashed has each key once and is a small part of them.
+    shared = scratch.save(rows.join(heads.hint("shuffle_hash"), "band").select("band", "id", "a", "members"), "shared")
     scratch.drop("heads")
     stars = scratch.save(_likely(shared.where("id <> a").select("a", F.col("id").alias("b")).distinct(), sketch, similar), "stars")
     # Where each line stands first; rows without a document id come last.
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_id", "line_no")
     counted = hashed.select("id", F.xxhash64(F.lit(5), "line").alias("check"), place.alias("place")).groupBy("id").agg(F.min("place").alias("first"), F.min("check").alias("check"), F.count("*").alias("times"))
-    lines = scratch.save(counted.join(shared.select("id").distinct().withColumn("shares", F.lit(True)), "id", "left").where("times > 1 or shares"), "lines")
+    lines = scratch.save(counted.join(shared.select("id").distinct().withColumn("shares", F.lit(True)).hint("shuffle_hash"), "id", "left").where("times > 1 or shares"), "lines")
     # The text of every line that shares a band comes from its first copy: no line is common there.
     wanted = lines.where("shares").select("id", F.col("first.doc_id").alias("first_doc"), F.col("first.text_id").alias("first_text"), F.col("first.line_no").alias("first_line"))
     here = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_id") == F.col("first_text")) & (F.col("line_no") == F.col("first_line"))
-    texts = hashed.withColumnRenamed("id", "of").join(wanted, here & (F.col("of") == F.col("id"))).select("id", "line")
+    texts = hashed.withColumnRenamed("id", "of").join(wanted.hint("shuffle_hash"), here & (F.col("of") == F.col("id"))).select("id", "line")
     texts = scratch.save(texts.dropDuplicates(["id"]), "texts")
     marks = scratch.save(bitmaps(texts, size), "marks")
     starred = stars.join(_side(marks, "a"), "a").join(_side(marks, "b"), "b").where(_possible(similar)).select("a", "b")
     links = _similar(scratch.save(starred, "starred"), texts, size, similar, scratch, "")
     scratch.drop("sketch", "stars", "starred")
     # Where many lines of a band are alike but for the smallest, meeting a few others joins most of them, in work that
-    # is linear; then all pairs that are still of different parts meet.
+    # is linear; then all pairs that are still of different parts meet. A band of one small block has had all its pairs
+    # compared by then, and what a comparison has ruled out stays so.
     for seed in (*SEEDS, 0):
         part = scratch.save(connected_components(links, scratch, f"cc{seed}"), f"part{seed}")
-        open_ = _open(shared, part, scratch, str(seed))
+        unmet = shared if seed or not SEEDS else shared.where(F.col("members") > NEAR)
+        open_ = _open(unmet, part, scratch, str(seed))
         maybe = scratch.save(_rest(open_, marks, similar, seed), f"maybe{seed}")
         links = links.unionByName(_similar(maybe, texts, size, similar, scratch, str(seed)))
         scratch.drop(f"open{seed}", f"maybe{seed}")
@@ -206,7 +209,7 @@ def dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "t
     keepers = scratch.save(fuzzy.unionByName(alone), "keepers")
     # Both sides are read anew, so adaptive execution may split the copies of one very common line.
     places = exploded(docs, key, text).select("doc_id", "text_id", "line_no", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(5), "line").alias("check"))
-    judged = places.join(keepers.withColumnRenamed("check", "right"), "id", "left")
+    judged = places.join(keepers.withColumnRenamed("check", "right").hint("shuffle_hash"), "id", "left")
     right = F.col("keep").isNotNull() & (F.col("check") == F.col("right"))  # a line that only shares a hash stays
     return judged.select(
         "doc_id", "text_id", "line_no",

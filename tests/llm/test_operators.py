@@ -552,6 +552,22 @@ def test_all_lines_of_a_band_meet(spark, monkeypatch):
     assert got == plain_lines(rows) and len(set(got.values())) == 30
 
 
+def test_lines_of_a_small_band_meet_once(spark, monkeypatch):
+    """What a small block has compared is not compared again with all blocks; larger bands are."""
+    met, rest = {}, linededup._rest
+    monkeypatch.setattr(linededup, "_rest", lambda rows, marks, similar, seed=0: met.setdefault(seed, rows) is None or rest(rows, marks, similar, seed))
+    monkeypatch.setattr(Scratch, "drop", lambda self, *names: None)
+    monkeypatch.setattr(linededup, "bands", lambda sketch, *keep: sketch.select(*keep, F.when(F.col("n") < 60, 1).otherwise(2).cast("long").alias("band")))
+    r = random.Random(4)
+    rows = []
+    for i in range(5 + 20):
+        line = "".join(r.choice("abcdefghijklmnop") for _ in range(50 if i < 5 else 90))
+        rows += [(2 * i, line + "0"), (2 * i + 1, line + "1")]
+    got = {(x["doc_id"], x["line_no"]): (x["keep_doc"], x["keep_line"]) for x in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect()}
+    assert got == plain_lines(rows) and len(set(got.values())) == 25
+    assert {x["members"] for x in met[7].select("members").collect()} == {10, 40} and {x["members"] for x in met[0].select("members").collect()} == {40}
+
+
 def edited(r, line, at_least=0.8):
     """line with as many changed, dropped or added characters as keep the shingles barely alike."""
     shingles = lambda x: {x[i : i + 8] for i in range(max(1, len(x) - 7))}
