@@ -47,7 +47,8 @@ e AS (SELECT hex, "end", min({'type': type, 'family': family, 'field': field}) A
 
 
 def _flights(t):
-    x = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
+    placed = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
+    x = t.lineitem.join(placed, F.col("o_orderkey") == F.col("l_orderkey")).join(t.part, F.col("p_partkey") == F.col("l_partkey"))
     seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
     return x.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("hex"), F.col("p_type").alias("type"), F.col("l_returnflag").alias("family"), F.col("c_nationkey").alias("field"), seconds("o_orderdate").alias("start"), seconds("l_shipdate").alias("end"))
 
@@ -72,7 +73,7 @@ SELECT x.candidate, x.y, count(*) AS rows, sum(x.n)::BIGINT AS n FROM (SELECT c.
 WHERE x.n > 0 OR x.y = 1 GROUP BY ALL""")
 def flight_candidates(t):
     """Rows of a ranker's training frame, summed up by candidate."""
-    rows = landings.candidates(_flights(t), span=30 * 86_400.0)
+    rows = landings.candidates(_flights(t), span=30 * 86_400.0, keep=["field"])
     return rows.groupBy("candidate", "y").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
 
 

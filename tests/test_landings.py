@@ -68,3 +68,25 @@ def test_counts_one_to_another_read_the_flights_once_each(spark, rows):
     """Every count used to read all counts before it twice, so that six made sixty-four readings."""
     plan = landings.judged(spark.createDataFrame(rows, SCHEMA), 30.0)._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" not in plan and plan.count("Relation") <= 1 + 3 * 2 * len(landings.LEVELS)
+
+
+@pytest.mark.parametrize("hot, few", [(5, 0), (5, 10**9), (10**9, 10**9), (10**9, 0)])
+def test_hot_keys_are_cut_and_few_moments_asked_once(spark, rows, monkeypatch, hot, few):
+    """Keys cut into spans or whole, moments of all levels joined or flights sent to each level: the same counts; sizes do not show."""
+    want = {span: sorted(map(tuple, landings.judged(spark.createDataFrame(rows, SCHEMA), span).collect()), key=str) for span in (7.0,)}
+    pairs = sorted(map(tuple, landings.candidates(spark.createDataFrame(rows, SCHEMA), 30.0).collect()), key=str)
+    for name, value in (("HOT", hot), ("FEW", few), ("GROUP", 40)):
+        monkeypatch.setattr(landings, name, value)
+    assert sorted(map(tuple, landings.judged(spark.createDataFrame(rows, SCHEMA), 7.0).collect()), key=str) == want[7.0]
+    assert sorted(map(tuple, landings.candidates(spark.createDataFrame(rows, SCHEMA), 30.0).collect()), key=str) == pairs
+
+
+def test_no_row_of_the_result_is_exchanged(spark, rows):
+    """Fields were laid beside flights before the exchange, and each of six counts sent the flights anew."""
+    plan = landings.candidates(spark.createDataFrame(rows, SCHEMA), 30.0)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("FlatMapGroupsInArrow")] and plan.count("_group#") and "candidate" not in plan[plan.index("FlatMapGroupsInArrow") :].split("\n", 1)[1]
+    plan = landings.judged(spark.createDataFrame(rows, SCHEMA), 30.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 * len(landings.LEVELS)
+    moments = spark.createDataFrame([("h%d" % (i % 3), "x", "q", "f%d" % (i % 2), float(i % 5), float(i % 7)) for i in range(900)], SCHEMA)
+    plan = landings.judged(moments, 30.0)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and plan.count("BroadcastHashJoin") == 3
