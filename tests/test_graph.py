@@ -217,3 +217,24 @@ def test_a_round_joins_links_once(spark):
     still = {r["node"] for r in state.where(~louvain.drawn(F.col("node"), 1)).collect()}
     got = {r["node"]: r for r in out.collect()}
     assert set(got) == set(range(6)) and all(got[i]["community"] == i and not got[i]["moved"] for i in still)
+
+
+def test_held_links_stay_where_they_are(spark):
+    """Links were exchanged by neighbour in every round, and what they found by node and community and again by node."""
+    state = spark.createDataFrame([(i, 2.0, i, False) for i in range(6)], "node long, degree double, community long, moved boolean")
+    links = [(i, (i + 1) % 6) for i in range(6)]
+    both = spark.createDataFrame([(a, b, 1.0, 2.0) for x, y in links for a, b in ((x, y), (y, x))], "a long, b long, weight double, degree double")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = louvain._by(both, "b", tasks).sortWithinPartitions("b").persist()
+    held.count()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = louvain._moved(state, held, 12.0, 1, tasks)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[plan.index("SortMergeJoin [b#") : plan.index("InMemoryTableScan")]
+        assert plan.count("Exchange hashpartitioning(node#") == 1 and ", to#" not in "".join(x for x in plan.split("\n") if "Exchange" in x)
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, louvain._moved(state, both, 12.0, 1).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        held.unpersist()
