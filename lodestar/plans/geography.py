@@ -195,7 +195,7 @@ _NOW = 1709280000.0
 def ground_tracks(t):
     """Where every satellite is, and the places of its coming 45 minutes; tested against published positions and a scalar scan."""
     x = orbits.ground_tracks(satellites(t), F.lit(_NOW))
-    return x.select("norad", F.round("lon", 3).alias("lon"), F.round("lat", 3).alias("lat"), F.round("alt_km", 1).alias("alt_km"), F.size("track").alias("points"))
+    return x.select("norad", F.round("lon", 3).alias("lon"), F.round("lat", 3).alias("lat"), F.round("alt_km", 1).alias("alt_km"), F.size("track").alias("points"), "track")
 
 
 @query("q16_passes", None)

@@ -90,3 +90,17 @@ def test_one_file_of_satellites_is_many_tasks(spark, data):
     sats = satellites(Tables(spark, data)).coalesce(1)
     x = orbits.positions(sats, F.lit(_NOW), 600, 60, ("access_km",))
     assert x.rdd.getNumPartitions() >= 4 and x.columns[3] == "access_km"
+
+
+def test_the_query_gives_every_place_of_a_track(spark, data):
+    """It gave their number alone."""
+    from lodestar import catalogue
+    from lodestar.plans import geography
+    from lodestar.registry import Tables
+
+    sats = geography.satellites(Tables(spark, data)).where("norad < 20")
+    want = {(x["norad"], x["k"]): (round(x["lon"], 3), round(x["lat"], 3)) for x in orbits.positions(sats, F.lit(geography._NOW), 45 * 60 + 1, 90).where("ok").collect()}
+    got = catalogue.QUERIES["v13_ground_tracks"](spark, data).where("norad < 20").collect()
+    found = {(x["norad"], k): (p["lon"], p["lat"]) for x in got for k, p in enumerate(x["track"])}
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k], abs=1e-3) for k in want)
+    assert all(len(x["track"]) == x["points"] == 31 for x in got)
